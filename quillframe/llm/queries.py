@@ -4,22 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash_dedup
+from pyspark.sql import functions as F
+
+from . import exact_dedup, fingerprint, language_id, packing, sharding, simhash_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(_docs(spark, sf_dir), context=2048, end=0), context=2048)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.lengths(_docs(spark, sf_dir)))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_docs(spark, sf_dir), shards=16, slots=4096)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_docs(spark, sf_dir), shingle=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(_docs(spark, sf_dir))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    docs = _docs(spark, sf_dir).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = language_id.learn(docs.filter("not held_out"))
+    return language_id.predict(docs, model, carry=["doc_id", "held_out"])
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op6_document_fingerprints, op8_url_filter, op9_language_id, op10_exact_dedup)
+}
 
 ORACLE = {
     "op10_exact_dedup": r"""
