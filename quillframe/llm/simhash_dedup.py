@@ -2,8 +2,9 @@
 
 Fingerprints: every shingle's XXH64 votes on 64 bits, summed JVM-side, two bits to a long. Equal fingerprints are
 folded into classes first, so copies never pair up. To link classes at `radius` differing bits or fewer, the 64 bits are
-cut into ceil((radius + 1) / 2) segments: at least one segment of a linked pair differs by one bit at most. Each segment
-is indexed once for each of its bits with that bit masked; linked pairs share such a key, are joined on it and verified.
+cut into ceil((radius + 1) / 2) segments: at least one segment of a linked pair differs by one bit at most. A segment is
+indexed once for each of its bits with that bit masked (for radius 2 the second one needs no mask: it agrees wholly where
+the first differs by two bits); linked pairs share such a key, are joined on it and verified.
 
 Buckets: a key of two classes gives its pair from the aggregation (minimum and maximum); keys of up to `bucket` classes
 are joined back and paired inside; for larger ones nothing is dropped and no pairs are listed: their classes are put
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, fingerprint_of, hex16, shingle_at, split_lookup, votes, words_of
+from .common import HOT_KEYS, Scratch, ascii_lower, fingerprint_of, hex16, shingle_at, split_lookup, votes, words_of
 from .components import components
 
 
@@ -39,13 +40,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _masks(radius: int) -> list[tuple[int, int, int]]:
-    """(number, bits kept of the fingerprint) of each one-wildcard segment variant."""
+    """(number, bits kept of the fingerprint) of each segment variant.
+
+    If every segment but the last differs by two bits or more, radius 2 leaves none for the last: it needs no wildcard.
+    """
     k = math.ceil((radius + 1) / 2)
     cuts = [64 * i // k for i in range(k + 1)]
     out = []
     for lo, hi in zip(cuts, cuts[1:]):
         whole = ((1 << (hi - lo)) - 1) << lo
-        out += [(bit, whole & ~(1 << bit)) for bit in range(lo, hi)]
+        out += [(64, whole)] if radius == 2 and hi == 64 else [(bit, whole & ~(1 << bit)) for bit in range(lo, hi)]
     return out
 
 
@@ -61,7 +65,7 @@ def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 64, salts: int = 16) -> DataFrame:
+def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 8) -> DataFrame:
     """(a, b), a < b: links among distinct fingerprints whose components are those of all pairs within the radius.
 
     classes: column fp, distinct. Radius 1 or 2.
@@ -69,19 +73,23 @@ def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 64, salts:
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     tmp = Scratch(classes.sparkSession, "hamming")
+    # Each class becomes 33 or 64 rows here, far more than the few files that it is read from suggest.
+    classes = classes.repartition(4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    key, group = ["variant", "part"], F.array_sort(F.collect_list("fp"))
     keyed = classes.select("fp", F.inline(_variants(F.col("fp"), radius)))
-    shared = tmp.keep(keyed.groupBy("variant", "part").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared")
+    shared = tmp.keep(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared")
     near = _differing(F.col("a"), F.col("b")) <= radius
     two = shared.filter("n = 2").select("a", "b").filter(near)
-    more = shared.filter("n > 2").select("variant", "part", F.col("n") > bucket, F.explode(F.sequence(F.lit(0), F.when(F.col("n") > bucket, F.lit(salts - 1)).otherwise(0))).alias("salt")).toDF("variant", "part", "large", "salt")
-    # A member of a small bucket looks for salt 0, of a large one for its own salt: both are in the one join.
-    own = F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")
-    salted = keyed.withColumn("salt", F.explode(F.array_distinct(F.array(F.lit(0), own)))).withColumn("own", own)
-    met = tmp.keep(salted.join(more, ["variant", "part", "salt"]).filter("not large or salt = own").select("variant", "part", "large", "fp"), "met")
-    group = F.array_sort(F.collect_list("fp"))
-    mid = met.filter("not large").groupBy("variant", "part").agg(group.alias("g"))
+    # A fingerprint has 64 variants at most, so fewer than 64 * HOT_KEYS keys hold over 1/HOT_KEYS of the classes: they
+    # are broadcast. The others meet their members by a sort-merge join in which no key is larger than that.
+    limit = max(classes.count() // HOT_KEYS, 1000)
+    huge = shared.filter(F.col("n") > limit).select(*key, F.lit(True).alias("huge"))
+    marked = keyed.join(F.broadcast(huge), key, "left")
+    more = shared.filter((F.col("n") > 2) & (F.col("n") <= limit)).select(*key, (F.col("n") > bucket).alias("large"))
+    met = tmp.keep(marked.filter("huge is null").drop("huge").join(more.hint("merge"), key), "met")
+    mid = met.filter("not large").groupBy(*key).agg(group.alias("g"))
     mid = mid.select("g", F.posexplode("g").alias("i", "b")).select(F.explode(F.slice("g", 1, F.col("i"))).alias("a"), "b").filter(near)
-    hot = met.filter("large").select("fp").distinct()
+    hot = met.filter("large").select("fp").unionByName(marked.filter("huge").select("fp")).distinct()
     bits = [F.lit(_signed(1 << i)) for i in range(64)]
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(x) for x in bits]) if radius == 2 else F.array(*[F.struct(F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(~(1 << i) & (1 << 64) - 1)))) for i in range(64)])
     stars = hot.select("fp", F.explode(points).alias("point")).groupBy("point").agg(group.alias("g")).filter(F.size("g") > 1)
@@ -89,7 +97,7 @@ def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 64, salts:
     return two.unionByName(mid).unionByName(stars).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, bucket: int = 64) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, bucket: int = 8) -> DataFrame:
     """One row per row of docs: row, doc_id, fingerprint (16 hexadecimal digits), component_id, group_rows (of equal fingerprints)."""
     tmp = Scratch(docs.sparkSession, "simhash")
     rows = tmp.keep(fingerprints(docs, id_col, text_col, shingle), "rows")
@@ -97,7 +105,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = tmp.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("group_rows")), "classes")
     roots = components(hamming_links(classes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
     tied = tmp.keep(classes.join(roots, "fp", "left"), "tied")
-    whole = tied.filter("root is not null").groupBy("root").agg(F.min("least").alias("least_of_all"))
-    table = tied.join(whole, "root", "left").select("fp", "group_rows", F.coalesce("least_of_all", "least").alias("component_id"))
+    linked = tied.filter("root is not null")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    alone = tied.filter("root is null").select("fp", "group_rows", F.col("least").alias("component_id"))
+    table = split_lookup(linked, sizes, "root", linked.count(), "classes").select("fp", "group_rows", "component_id").unionByName(alone)
     table = tmp.keep(table, "table")
     return split_lookup(rows, table, "fp", total).select("row", "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "group_rows")
