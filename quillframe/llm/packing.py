@@ -127,7 +127,7 @@ def linear_groups(hist: dict[int, int], groups: int) -> list[tuple[int, list[lis
 
 def plan(hist: dict[int, int], capacity: int, groups: int = 64, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """([(length, first rank, end rank, first sequence, pieces per sequence, offset)], number of sequences)."""
-    small = capacity // 16 if small is None else small
+    small = capacity // 4 if small is None else small
     rank: dict[int, int] = defaultdict(int)
     rows: list[tuple[int, int, int, int, int, int]] = []
     room: dict[int, list[list[int]]] = defaultdict(list)  # free tokens -> [first sequence, sequences]
@@ -194,13 +194,28 @@ def plan(hist: dict[int, int], capacity: int, groups: int = 64, small: int | Non
     return rows, used
 
 
+def best_plan(hist: dict[int, int], capacity: int, groups: int = 64) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """The shortest of the plans that call lengths over 1/8, 1/4, 1/3 and 1/2 of the context large.
+
+    Rounding costs most where configurations hold many lengths; best fit needs small pieces to fill with. Which end
+    wins depends on the corpus, and a plan costs a second or two on the driver, whatever the corpus.
+    """
+    least, best = -(-sum(k * v for k, v in hist.items()) // capacity), None
+    for share in (8, 4, 3, 2):
+        got = plan(hist, capacity, groups, capacity // share)
+        best = got if best is None or got[1] < best[1] else best
+        if best[1] == least:
+            break
+    return best
+
+
 def pack(cut: DataFrame, context: int = 2048, groups: int = 64, salts: int = 64) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns row, piece and length; others are carried)."""
     spark, tmp = cut.sparkSession, Scratch(cut.sparkSession, "packing")
     cut = tmp.keep(cut.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int")), "pieces")
     counts = tmp.keep(cut.groupBy("length", "salt").count(), "counts")
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # `context` rows at most
-    rows, _ = plan(hist, context, groups)
+    rows, _ = best_plan(hist, context, groups)
     places = spark.createDataFrame(rows, "length int, first bigint, ended bigint, sequence bigint, each bigint, place bigint")
     before = counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("row", "piece")

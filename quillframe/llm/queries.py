@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language_id, packing, sharding, simhash_dedup, token_counts, url_filter
+from . import exact_dedup, fingerprint, language_id, packing, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,19 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_docs(spark, sf_dir), shingle=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.synthetic_findings(spark))
+    return secret_scan.scan(_docs(spark, sf_dir), model).drop("row")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(_docs(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.report(_docs(spark, sf_dir))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
@@ -52,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op6_document_fingerprints, op8_url_filter, op9_language_id, op10_exact_dedup)
+    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup)
 }
 
 ORACLE = {
