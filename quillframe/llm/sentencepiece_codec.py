@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 
@@ -353,7 +354,7 @@ def codec(path: str) -> Codec:
     return Codec(Vocabulary.read(path))
 
 
-def _added(df: DataFrame, source: str, column: str, kind: str, arrow: pa.DataType, run) -> DataFrame:
+def _added(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa.DataType, run) -> DataFrame:
     """df with `column` computed from batches of `source`."""
     if column in df.columns:
         raise ValueError(f"{column} is a column already")
@@ -380,7 +381,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", id
         gc.enable()
         return [None if t is None else next(found) for t in texts]
 
-    return _added(docs, text_col, ids_col, "array<int>", pa.list_(pa.int32()), run)
+    return _added(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), run)
 
 
 def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -390,7 +391,7 @@ def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", text
         c = codec(path)
         return [None if ids is None else c.decode(ids) for ids in rows]
 
-    return _added(docs, ids_col, text_col, "string", pa.string(), run)
+    return _added(docs, ids_col, text_col, T.StringType(), pa.string(), run)
 
 
 def report(docs: DataFrame, model: str | None = None) -> DataFrame:
