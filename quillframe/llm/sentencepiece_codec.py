@@ -369,7 +369,7 @@ def _added(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa.
                 part = b.slice(lo, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(run(part.column(at).to_pylist()), arrow)], [*part.schema.names, "added"])
 
-    return plain.mapInArrow(mapped, plain.schema.add("added", kind)).toDF(*names, column)
+    return plain.mapInArrow(mapped, T.StructType([*plain.schema.fields, T.StructField("added", kind)])).toDF(*names, column)
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
