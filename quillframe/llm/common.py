@@ -60,6 +60,16 @@ def split_lookup(rows: DataFrame, table: DataFrame, key: str, total: int, count:
     return hot.unionByName(cold)
 
 
+#: Row numbers are broadcast up to this many (16 MB); beyond it the rows meet them by a merge join.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: str = "_row") -> DataFrame:
+    """docs, numbered in column `row`, without the rows whose numbers are in `dropped` (a kept table with that column)."""
+    small = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), row, "left_anti").drop(row)
+
+
 def ascii_lower(s: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII takes the fast path; what has no upper case is returned as it is."""
     low = F.lower(s)

@@ -16,9 +16,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, scratch_root, split_lookup
+from .common import SPACES, Scratch, split_lookup, without
 
-SCHEMA = "digest binary, keep_id bigint, keep_row bigint, batch string, n_chars int, group_rows bigint"
+COLUMNS = "digest binary, keep_id bigint, keep_row bigint, batch string, n_chars int, group_rows bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +32,7 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
         spark.sql(
-            f"create table if not exists {self.table} (digest binary, keep_id bigint, keep_row bigint, batch string, n_chars int, group_rows bigint) "
+            f"create table if not exists {self.table} ({COLUMNS}) "
             f"using parquet clustered by (digest) sorted by (digest) into {buckets} buckets location '{path}'"
         )
 
@@ -86,8 +86,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. The kept rows' numbers meet the same scan again, numbered alike."""
+    """The rows that stay, with all their columns. docs must be read from files: its rows are numbered by two scans alike."""
     tmp = Scratch(docs.sparkSession, "exact-dedup-kept")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = tmp.keep(dedup(docs, id_col, text_col).filter("kept").select(F.col("row").alias("_row")), "kept")
-    return numbered.join(kept.hint("merge"), "_row", "left_semi").drop("_row")
+    decisions = dedup(docs.select(id_col, text_col), id_col, text_col)
+    return without(docs.withColumn("_row", F.monotonically_increasing_id()), tmp.keep(decisions.filter("not kept").select(F.col("row").alias("_row")), "dropped"))

@@ -20,11 +20,14 @@ An empty table gives an empty result. Extra columns are neither read nor returne
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, Scratch, ascii_lower, fingerprint_of, hex16, shingle_at, split_lookup, votes, words_of
+from .common import BROADCAST_ROWS, HOT_KEYS, Scratch, ascii_lower, fingerprint_of, hex16, shingle_at, ship, split_lookup, votes, without, words_of
 from .components import components
 
 
@@ -39,17 +42,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return summed.select("row", "doc_id", fingerprint_of(F.col("n")).alias("fp"))
 
 
-def _masks(radius: int) -> list[tuple[int, int, int]]:
+def _masks(radius: int, bits: int = 64) -> list[tuple[int, int]]:
     """(number, bits kept of the fingerprint) of each segment variant.
 
     If every segment but the last differs by two bits or more, radius 2 leaves none for the last: it needs no wildcard.
     """
     k = math.ceil((radius + 1) / 2)
-    cuts = [64 * i // k for i in range(k + 1)]
+    cuts = [bits * i // k for i in range(k + 1)]
     out = []
     for lo, hi in zip(cuts, cuts[1:]):
         whole = ((1 << (hi - lo)) - 1) << lo
-        out += [(64, whole)] if radius == 2 and hi == 64 else [(bit, whole & ~(1 << bit)) for bit in range(lo, hi)]
+        out += [(bits, whole)] if radius == 2 and hi == bits else [(bit, whole & ~(1 << bit)) for bit in range(lo, hi)]
     return out
 
 
@@ -57,43 +60,44 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _variants(fp: Column, radius: int) -> Column:
-    return F.array(*[F.struct(F.lit(n).cast("byte").alias("variant"), fp.bitwiseAND(F.lit(_signed(mask))).alias("part")) for n, mask in _masks(radius)])
+def _variants(fp: Column, radius: int, bits: int) -> Column:
+    return F.array(*[F.struct(F.lit(n).cast("byte").alias("variant"), fp.bitwiseAND(F.lit(_signed(mask))).alias("part")) for n, mask in _masks(radius, bits)])
 
 
 def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 8) -> DataFrame:
-    """(a, b), a < b: links among distinct fingerprints whose components are those of all pairs within the radius.
+def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 8, bits: int = 64, by: list[str] | None = None) -> DataFrame:
+    """(*by, a, b), a < b: links among distinct fingerprints whose components are those of all pairs within the radius.
 
-    classes: column fp, distinct. Radius 1 or 2.
+    classes: columns fp and `by`, distinct; only fingerprints that agree in `by` are linked. Radius 1 or 2.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
+    by = by or []
     tmp = Scratch(classes.sparkSession, "hamming")
-    # Each class becomes 33 or 64 rows here, far more than the few files that it is read from suggest.
+    # Each class becomes tens of rows here, far more than the few files that it is read from suggest.
     classes = classes.repartition(4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    key, group = ["variant", "part"], F.array_sort(F.collect_list("fp"))
-    keyed = classes.select("fp", F.inline(_variants(F.col("fp"), radius)))
+    key, group = [*by, "variant", "part"], F.array_sort(F.collect_list("fp"))
+    keyed = classes.select(*by, "fp", F.inline(_variants(F.col("fp"), radius, bits)))
     shared = tmp.keep(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared")
     near = _differing(F.col("a"), F.col("b")) <= radius
-    two = shared.filter("n = 2").select("a", "b").filter(near)
-    # A fingerprint has 64 variants at most, so fewer than 64 * HOT_KEYS keys hold over 1/HOT_KEYS of the classes: they
-    # are broadcast. The others meet their members by a sort-merge join in which no key is larger than that.
+    two = shared.filter("n = 2").select(*by, "a", "b").filter(near)
+    # A class has 64 variants at most, so fewer than 64 * HOT_KEYS keys hold over 1/HOT_KEYS of the classes: they are
+    # broadcast. The others meet their members by a sort-merge join in which no key is larger than that.
     limit = max(classes.count() // HOT_KEYS, 1000)
     huge = shared.filter(F.col("n") > limit).select(*key, F.lit(True).alias("huge"))
     marked = keyed.join(F.broadcast(huge), key, "left")
     more = shared.filter((F.col("n") > 2) & (F.col("n") <= limit)).select(*key, (F.col("n") > bucket).alias("large"))
     met = tmp.keep(marked.filter("huge is null").drop("huge").join(more.hint("merge"), key), "met")
     mid = met.filter("not large").groupBy(*key).agg(group.alias("g"))
-    mid = mid.select("g", F.posexplode("g").alias("i", "b")).select(F.explode(F.slice("g", 1, F.col("i"))).alias("a"), "b").filter(near)
-    hot = met.filter("large").select("fp").unionByName(marked.filter("huge").select("fp")).distinct()
-    bits = [F.lit(_signed(1 << i)) for i in range(64)]
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(x) for x in bits]) if radius == 2 else F.array(*[F.struct(F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(~(1 << i) & (1 << 64) - 1)))) for i in range(64)])
-    stars = hot.select("fp", F.explode(points).alias("point")).groupBy("point").agg(group.alias("g")).filter(F.size("g") > 1)
-    stars = stars.select(F.get("g", F.lit(0)).alias("a"), F.explode(F.slice("g", 2, 65)).alias("b"))
+    mid = mid.select(*by, "g", F.posexplode("g").alias("i", "b")).select(*by, F.explode(F.slice("g", 1, F.col("i"))).alias("a"), "b").filter(near)
+    hot = met.filter("large").select(*by, "fp").unionByName(marked.filter("huge").select(*by, "fp")).distinct()
+    flips = [F.lit(_signed(1 << i)) for i in range(bits)]
+    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(x) for x in flips]) if radius == 2 else F.array(*[F.struct(F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(~(1 << i) & (1 << 64) - 1)))) for i in range(bits)])
+    stars = hot.select(*by, "fp", F.explode(points).alias("point")).groupBy(*by, "point").agg(group.alias("g")).filter(F.size("g") > 1)
+    stars = stars.select(*by, F.get("g", F.lit(0)).alias("a"), F.explode(F.slice("g", 2, bits + 1)).alias("b"))
     return two.unionByName(mid).unionByName(stars).distinct()
 
 
@@ -111,3 +115,76 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = split_lookup(linked, sizes, "root", linked.count(), "classes").select("fp", "group_rows", "component_id").unionByName(alone)
     table = tmp.keep(table, "table")
     return split_lookup(rows, table, "fp", total).select("row", "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "group_rows")
+
+
+def _sketch(seeds: int, bits: int):
+    import numpy as np
+    import xxhash
+
+    def mix(h: np.ndarray, seed: int) -> np.ndarray:
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def one(text: str | None) -> np.ndarray:
+        seen = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+        if not seen:
+            return np.zeros(seeds, dtype=np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
+        weight = np.sqrt(np.fromiter(seen.values(), dtype=np.float64, count=len(seen)))
+        votes_, step = np.zeros((seeds, 64)), 1 << 14
+        for lo in range(0, len(seen), step):
+            part, w = hashes[lo : lo + step], weight[lo : lo + step]
+            for s in range(seeds):
+                votes_[s] += w @ np.unpackbits(mix(part, s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        on = np.packbits(votes_ * 2 > weight.sum(), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        return (on & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([one(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1)
+            rows = np.repeat(b.column(0).to_numpy(), seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.tile(np.arange(seeds, dtype=np.int32), b.num_rows)), pa.array(prints)], ["row", "seed", "fp"])
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 8, bits: int = 48, text_col: str = "text") -> DataFrame:
+    """(a, b): row numbers of docs whose word shingles have at least that Jaccard similarity.
+
+    docs must be read from files; rows are numbered by monotonically_increasing_id. Two texts that share 80 % of their
+    five-word shingles differ in some 2 % of their words, which moves about five bits of a 64-bit fingerprint: too many for radius
+    2. So candidates come from `seeds` independent fingerprints of `bits` bits over single words, each weighted by the root
+    of its count; every fingerprint has its own deletion-variant index of radius 2. Shingles then decide exactly.
+    """
+    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "similar")
+    ship(spark)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = tmp.keep(texts.mapInArrow(_sketch(seeds, bits), "row bigint, seed int, fp bigint"), "rows")
+    classes = tmp.keep(rows.groupBy("seed", "fp").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")), "classes")
+    links = hamming_links(classes.select("seed", "fp"), 2, bits=bits, by=["seed"])
+    ends = [classes.select("seed", F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in "ab"]
+    across = links.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    keyed = [x.withColumn("class", F.struct("seed", "fp")).drop("seed", "fp") for x in (rows, classes.filter("group_rows > 1"))]
+    inside = split_lookup(keyed[0], keyed[1], "class", rows.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = tmp.keep(across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
+    asked = tmp.keep(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "asked")
+    met = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge"), "row")
+    words = met.select("row", words_of(ascii_lower(F.col("text"))).alias("words"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    sets = tmp.keep(words.select("row", F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(F.col("words"), i, shingle)))).alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of each group of similar texts the one with the smallest id. docs must be read from files."""
+    tmp = Scratch(docs.sparkSession, "simhash-kept")
+    roots = components(tmp.keep(similar_pairs(docs.select(id_col, text_col), shingle, similarity, text_col=text_col), "links"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"))
+    grouped = tmp.keep(numbered.join(roots, "node"), "grouped")
+    stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")).select(F.col("best.node").alias("node"))
+    dropped = tmp.keep(grouped.join(stay, "node", "left_anti").select(F.col("node").alias("_row")), "dropped")
+    return without(docs.withColumn("_row", F.monotonically_increasing_id()), dropped)
