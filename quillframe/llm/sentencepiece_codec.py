@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import functools
 import gc
+import hashlib
 import heapq
-import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,8 @@ from .common import ship
 
 SPACE = "▁"
 CHUNK = 1 << 19
-CACHE = 300_000
+CACHE = 100_000
+SLICE = 1 << 22  # characters of text that are worked on at a time
 LONG = 40
 GAP = 0x110000  # between words; no code point
 
@@ -132,7 +135,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     for i in range(width):
         key = key << bits | _ahead(code, i)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.diff(key[order], prepend=-1) != 0
         if width >= depth or new.all():
             return order
@@ -176,10 +179,11 @@ def edges(text: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
     order = suffix_array(text, vocabulary.depth)
     low, high = occurrences(text, order, vocabulary)
     counts = high - low
-    piece = np.repeat(np.arange(len(counts)), counts)
-    at = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    key = order[at] * (vocabulary.depth + 1) + vocabulary.lengths[piece]
-    by = np.argsort(key, kind="stable")
+    piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    key = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    key += np.arange(len(key))
+    key = order[key] * (vocabulary.depth + 1) + vocabulary.lengths[piece]
+    by = np.argsort(key)  # no two edges are equal
     return key[by], piece[by]
 
 
@@ -288,22 +292,25 @@ class _Chunk:
             starts.append(at)
         return base + np.array(starts[::-1], dtype=np.int64)
 
-    def ids(self) -> list[list[int]]:
+    def ids(self) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers."""
         if self.v.bpe:
             long = self.sizes > LONG
             found = self.merged(np.flatnonzero(~long)) + [self.merged_long(int(w)) for w in np.flatnonzero(long)]
         else:
             found = [self.best_path(w) for w in range(len(self.words))]
         starts = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        word = np.searchsorted(self.starts, starts, side="right") - 1
+        bounds = np.searchsorted(starts, np.append(self.starts, np.iinfo(np.int64).max))
+        word = np.repeat(np.arange(len(self.words)), np.diff(bounds))
         ends = np.minimum(np.append(starts[1:], np.iinfo(np.int64).max), (self.starts + self.sizes)[word])
         piece = self.find(starts, ends - starts)
-        flat = np.where(piece >= 0, self.v.id_of[piece], -1).tolist()
-        bounds = np.searchsorted(starts, np.append(self.starts, np.iinfo(np.int64).max)).tolist()
-        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        ids = self.v.id_of[piece].astype("<i4")
+        raw, at = ids.tobytes(), (bounds * 4).tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:])]
         for w in np.unique(word[piece < 0]).tolist():
-            chars = [self.words[w][int(x) - int(self.starts[w])] for x in starts[bounds[w] : bounds[w + 1]]]
-            out[w] = [y for x, c in zip(out[w], chars) for y in ([x] if x >= 0 else self.unknown(c))]
+            lo, hi = bounds[w], bounds[w + 1]
+            chars = [self.words[w][int(x) - int(self.starts[w])] for x in starts[lo:hi]]
+            out[w] = np.array([y for x, i, c in zip(piece[lo:hi], ids[lo:hi], chars) for y in ([i] if x >= 0 else self.unknown(c))], dtype="<i4").tobytes()
         return out
 
     def unknown(self, char: str) -> list[int]:
@@ -317,6 +324,10 @@ class Codec:
         self.v, self.known, self.older = vocabulary, {}, {}
         self.bytes_of = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in vocabulary.names.items()}
         self.bytes_of |= {i: bytes([b]) for b, i in vocabulary.byte_ids.items()} | {vocabulary.unk_id: " ⁇ ".encode()}
+        spans = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=0) + 1)] + [b""]  # the last: ids that mean no text
+        self.table = np.frombuffer(b"".join(spans), dtype=np.uint8)
+        self.size_of = np.array([len(x) for x in spans], dtype=np.int64)
+        self.place_of = np.cumsum(self.size_of) - self.size_of
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def words(self, text: str) -> list[str]:
@@ -325,7 +336,8 @@ class Codec:
         text = (SPACE if self.v.add_prefix else "") + text.replace(" ", SPACE)
         return self.cut(text) if self.v.splits else [text]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
         split = [self.words(t) for t in texts]
         need = set().union(*split)
         if len(self.known) > CACHE:
@@ -342,11 +354,19 @@ class Codec:
                 at += 1
             self.known |= zip(chunk, _Chunk(chunk, self.v).ids())
         of = self.known.__getitem__
-        return [list(itertools.chain.from_iterable(map(of, ws))) for ws in split]
+        return [b"".join(map(of, ws)) for ws in split]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.v.add_prefix and text.startswith(" ") else text
+    def decode(self, texts: list[bytes]) -> list[str]:
+        """Texts of ids: the bytes of all pieces are gathered at once."""
+        ids = np.frombuffer(b"".join(texts), dtype="<i4")
+        ids = np.where((ids >= 0) & (ids < len(self.size_of)), ids, len(self.size_of) - 1)
+        sizes = self.size_of[ids]
+        ends = np.cumsum(sizes)
+        raw = self.table[np.arange(int(sizes.sum())) + np.repeat(self.place_of[ids] - ends + sizes, sizes)].tobytes()
+        last = np.cumsum([len(t) // 4 for t in texts])
+        cuts = np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int64).tolist() if texts else [0]
+        out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if self.v.add_prefix and t.startswith(" ") else t for t in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -354,50 +374,83 @@ def codec(path: str) -> Codec:
     return Codec(Vocabulary.read(path))
 
 
-def _added(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa.DataType, run) -> DataFrame:
-    """df with `column` computed from batches of `source`."""
-    if column in df.columns:
-        raise ValueError(f"{column} is a column already")
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of about SLICE characters or ids."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= SLICE:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def _added(df: DataFrame, source: str, columns: list[tuple[str, T.DataType, pa.DataType]], run) -> DataFrame:
+    """df with columns computed from slices of `source` by run(list) -> one list per column."""
+    if {c[0] for c in columns} & set(df.columns):
+        raise ValueError("a column of that name is there already")
     ship(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index(source)
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"added{i}", c[1]) for i, c in enumerate(columns))])
+    kinds = [c[2] for c in columns]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(run(part.column(at).to_pylist()), arrow)], [*part.schema.names, "added"])
+            column = b.column(at)
+            sizes = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0).to_pylist()
+            for lo, hi in _slices(sizes):
+                part = b.slice(lo, hi - lo)
+                new = [pa.array(x, kind) for x, kind in zip(run(part.column(at).to_pylist()), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f"added{i}" for i in range(len(new)))])
+
+    return plain.mapInArrow(mapped, schema).toDF(*names, *(c[0] for c in columns))
 
-    return plain.mapInArrow(mapped, T.StructType([*plain.schema.fields, T.StructField("added", kind)])).toDF(*names, column)
+
+def _present(rows: list, run) -> list:
+    """run over the rows that aren't null."""
+    gc.disable()  # no cycles are made here, and hundreds of thousands of short objects would keep the collector busy
+    found = iter(run([x for x in rows if x is not None]))
+    gc.enable()
+    return [None if x is None else next(found) for x in rows]
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     path = model or default_model()
 
     def run(texts: list) -> list:
-        gc.disable()  # no cycles are made here, and a million short lists would keep the collector busy
-        found = iter(codec(path).encode([t for t in texts if t is not None]))
-        gc.enable()
-        return [None if t is None else next(found) for t in texts]
+        return [[None if x is None else np.frombuffer(x, dtype="<i4") for x in _present(texts, codec(path).encode)]]
 
-    return _added(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), run)
+    return _added(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], run)
 
 
 def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     path = model or default_model()
 
     def run(rows: list) -> list:
-        c = codec(path)
-        return [None if ids is None else c.decode(ids) for ids in rows]
+        return [_present([None if x is None else np.array(x, dtype="<i4").tobytes() for x in rows], codec(path).decode)]
+
+    return _added(docs, ids_col, [(text_col, T.StringType(), pa.string())], run)
 
-    return _added(docs, ids_col, text_col, T.StringType(), pa.string(), run)
 
+def report(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip (decoded is the text).
 
-def report(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip (decoded is the text)."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
-    # A marker of a space in the text itself comes back as a space.
-    same = F.col("decoded") == F.translate("text", SPACE, " ")
-    raw = F.unhex(F.array_join(F.transform("ids", lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])), ""))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(raw).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    Encodes and decodes in one worker. A marker of a space (U+2581) in the text itself comes back as a space.
+    """
+    path = model or default_model()
+
+    def run(texts: list) -> list:
+        ids = _present(texts, codec(path).encode)
+        back = _present(ids, codec(path).decode)
+        return [
+            [None if x is None else len(x) // 4 for x in ids],
+            [None if x is None else zlib.crc32(x) for x in ids],
+            [None if x is None else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back],
+            [None if t is None else x == t.replace(SPACE, " ") for x, t in zip(back, texts)],
+        ]
+
+    columns = [("n_ids", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()), ("decoded_sha256", T.StringType(), pa.string()), ("round_trip", T.BooleanType(), pa.bool_())]
+    return _added(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", columns, run).drop("text")
