@@ -57,8 +57,8 @@ def readable_lines(text: Column, most: int = 18) -> Column:
 
 def normalise_for_model(text: Column) -> Column:
     """Printable ASCII, single blanks, phone numbers and dates as placeholders, lower case."""
-    t = F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E]+", " "), r"\s+", " ")
-    t = F.regexp_replace(t, r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", "PHONE_NO")
-    t = F.regexp_replace(t, r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", "DATE_VAL")
-    t = F.regexp_replace(t, r"\d{4}-\d{2}-\d{2}", "DATE_VAL")
+    t = F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E]+", " "), " {2,}", " ")
+    t = F.regexp_replace(t, r"\(?\b\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b", "PHONE_NO")
+    t = F.regexp_replace(t, r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "DATE_VAL")
+    t = F.regexp_replace(t, r"\b\d{4}[/\-]\d{1,2}[/\-]\d{1,2}\b", "DATE_VAL")
     return F.lower(F.btrim(t))

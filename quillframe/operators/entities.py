@@ -12,19 +12,23 @@ from quillframe.functions.text import mask_ssn
 ENTITY = "struct<start:int,end:int,text:string,type:string>"
 
 
+def _found(text: Column, kind: str, pattern: str, not_names: list[str], state_codes: list[str]) -> Column:
+    """Matches of one pattern as entities, without what its type excludes."""
+    shown = (lambda t: mask_ssn(t)) if kind == "ssn" else (lambda t: F.btrim(t))
+    found = F.transform(spans(text, pattern), lambda s: F.struct(s["start"], s["end"], shown(s["text"]).alias("text"), F.lit(kind).alias("type")))
+    if kind == "organization":
+        return F.filter(found, lambda s: (F.char_length(s["text"]) >= 4) & ~s["text"].isin(state_codes))
+    if kind == "person_name":
+        return F.filter(found, lambda s: ~F.arrays_overlap(F.split(s["text"], r"\s+"), F.array(*[F.lit(w) for w in not_names])))
+    return found
+
+
 def extract(text: Column, patterns: list[tuple[str, str]] | None = None, not_names: list[str] = rules.NOT_NAMES, state_codes: list[str] = rules.STATE_CODES) -> Column:
     """Resolved entities of a text: array of (start, end, text, type); social-security numbers are masked.
 
     A text without any trigger (digit, @, :// or a capital) is not scanned.
     """
-    parts = []
-    for kind, pattern in patterns or rules.ENTITY_PATTERNS:
-        found = F.transform(spans(text, pattern), lambda s, kind=kind: F.struct(s["start"], s["end"], (mask_ssn(s["text"]) if kind == "ssn" else F.btrim(s["text"])).alias("text"), F.lit(kind).alias("type")))
-        if kind == "organization":
-            found = F.filter(found, lambda s: (F.char_length(s["text"]) >= 4) & ~s["text"].isin(state_codes))
-        if kind == "person_name":
-            found = F.filter(found, lambda s: ~F.arrays_overlap(F.split(s["text"], r"\s+"), F.array(*[F.lit(w) for w in not_names])))
-        parts.append(found)
+    parts = [_found(text, kind, pattern, not_names, state_codes) for kind, pattern in patterns or rules.ENTITY_PATTERNS]
     every = F.concat(*parts) if len(parts) > 1 else parts[0]
     empty = F.array().cast(f"array<{ENTITY}>")
     return F.when(text.rlike(r"[0-9@A-Z]|://"), resolve(every, ENTITY)).otherwise(empty)
@@ -32,10 +36,10 @@ def extract(text: Column, patterns: list[tuple[str, str]] | None = None, not_nam
 
 def by_category(entities: Column, types: list[str] = rules.ENTITY_TYPES) -> Column:
     """Map from every type, in fixed order, to its distinct texts in order of first sight."""
-    return F.map_from_arrays(
-        F.array(*[F.lit(t) for t in types]),
-        F.array(*[F.array_distinct(F.transform(F.filter(entities, lambda e, t=t: e["type"] == t), lambda e: e["text"])) for t in types]),
-    )
+    def texts(kind: str) -> Column:
+        return F.array_distinct(F.transform(F.filter(entities, lambda e: e["type"] == kind), lambda e: e["text"]))
+
+    return F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[texts(t) for t in types]))
 
 
 LEXICON_HIT = "struct<start:int,end:int,text:string,phrase:string>"

@@ -94,4 +94,4 @@ def merge_runs(df: DataFrame, job: str, order: str, sums: list[str], text: str,
     ordered = F.array_sort(F.collect_list(F.struct(order, text, *(lists or []))))
     merged = df.groupBy(job).agg(*[F.sum(c).alias(c) for c in sums], ordered.alias("_runs"))
     merged = merged.withColumn(text, F.array_join(F.transform("_runs", lambda x: x[text]), "\n\n"))
-    return merged.withColumns({c: F.flatten(F.transform("_runs", lambda x, c=c: x[c])) for c in lists or []}).drop("_runs")
+    return merged.withColumns({c: F.flatten(F.col("_runs")[c]) for c in lists or []}).drop("_runs")

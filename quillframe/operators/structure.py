@@ -19,10 +19,12 @@ ANY_NUMBER = r"^\s*(?:\d{1,3}[.)]\s+|[a-zA-Z][.)]\s+|(?:i{1,3}|iv|v|vi{0,3}|ix|x
 
 def key_values(df: DataFrame, key: str, text: str, labels: list[str] = rules.FORM_LABELS) -> DataFrame:
     """One row per pair: key, position, name, value, is_known_field. The first pair of a name (in any case) counts."""
-    parts = []
-    for n, pattern in enumerate(PAIR_PATTERNS):
-        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
-        parts.append(F.transform(both, lambda x, i, n=n: F.struct(F.lit(n).alias("pattern"), i.alias("i"), F.regexp_replace(strip(x["0"]), r"\.+$", "").alias("name"), strip(x["1"]).alias("value"))))
+    def pairs(n: int, pattern: str) -> Column:
+        names, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+        both = F.zip_with(names, values, lambda a, b: F.struct(F.regexp_replace(strip(a), r"\.+$", "").alias("name"), strip(b).alias("value")))
+        return F.transform(both, lambda x, i: F.struct(F.lit(n).alias("pattern"), i.alias("i"), x["name"], x["value"]))
+
+    parts = [pairs(n, pattern) for n, pattern in enumerate(PAIR_PATTERNS)]
     found = df.select(key, F.explode(F.concat(*parts)).alias("p")).select(key, "p.*")
     found = found.filter((F.char_length("name") >= 2) & (F.char_length("name") <= 50) & (F.char_length("value") >= 1) & ~F.col("name").rlike("^[0-9]") & F.col("name").rlike(r"\p{L}"))
     low = F.lower(strip(F.col("name")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import scoring
 
-from . import lookups, timeline  # noqa: F401  (they register their queries)
+from . import lookups, models, texts, timeline  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES, table
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

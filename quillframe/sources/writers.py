@@ -42,7 +42,12 @@ def html_report(sections: DataFrame, jobs: DataFrame, key: str, order: str) -> D
     item = F.concat(F.lit("<li><b>"), escaped(F.col("heading")), F.lit("</b> "), escaped(F.col("summary")), F.lit("</li>"))
     lists = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", F.col(order).alias("o"), item.alias("li")))).alias("items"))
     joined = jobs.join(lists, key, "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<bucket:int,o:bigint,li:string>>")))
-    cards = [F.concat(F.lit(f"<section><h2>{n}. {title}</h2><ul>"), F.array_join(F.transform(F.filter("items", lambda x, n=n: x["bucket"] == n), lambda x: x["li"]), ""), F.lit("</ul></section>")) for n, title in TITLES.items()]
+
+    def card(n: int, title: str) -> Column:
+        own = F.transform(F.filter("items", lambda x: x["bucket"] == n), lambda x: x["li"])
+        return F.concat(F.lit(f"<section><h2>{n}. {title}</h2><ul>"), F.array_join(own, ""), F.lit("</ul></section>"))
+
+    cards = [card(n, title) for n, title in TITLES.items()]
     title = F.when(F.coalesce("title", F.lit("")) == "", "not provided").otherwise(escaped(F.col("title")))
     return joined.select(key, F.concat(F.lit("<html><body><h1>"), title, F.lit("</h1>"), *cards, F.lit("<footer>"), F.size("items").cast("string"), F.lit(" items</footer></body></html>")).alias("html"))
 
