@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, ship
 from .tokens import default_tokenizer, encoder
 
 BLOCK = 1024
@@ -44,6 +44,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     quantile is the share of documents that fit into the limit. A limit between two lengths has the larger one's
     documents and tokens in docs_longer/tokens_longer; see `at_limits`.
     """
+    hist = Scratch(hist.sparkSession, "token-counts").keep(hist, "hist")  # it is read twice, encoded once
     base = hist.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = base.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
