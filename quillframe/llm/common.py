@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.shipping import ship as ship_sources
+
 # White space of every corpus operator: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -118,24 +120,28 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-_shipped: set[str] = set()
+#: Bytes of rows in one Arrow batch. Spark's own 64 MB are held several times over, in the JVM and in the worker.
+ARROW_BATCH = "4194304b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, which need not have it installed."""
-    import os
-    import zipfile
-
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quillframe-")), "quillframe_workers.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile("file://" + target)
-    _shipped.add(context.applicationId)
+    """Readies a session for Python workers: this package's sources and smaller Arrow batches (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "-1b"):
+        spark.conf.set(key, ARROW_BATCH)
+    ship_sources(spark)
+
+
+def give_back() -> None:
+    """At the end of a task in a Python worker, which lives on: returns freed memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, give_back, ship
 
 N = 3
 PIECE = 1 << 20
@@ -112,6 +112,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.clear()
         for lang, parts in by_lang.items():
             yield _folded(lang, parts)
+    give_back()
 
 
 def _folded(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, model: Filter, text_col: str = "text", carry: list
             found = [sent.value.predict(x.as_py()) for x in b.column(b.num_columns - 1)]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "lang_pred", "score"])
+        give_back()
 
     return base.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, give_back, ship
 from .tokens import default_tokenizer, encoder
 
 PIECES = "row bigint, doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, ids binary"
@@ -57,6 +57,7 @@ def _cut(path: str, context: int, end: int, keep_ids: bool):
                     yield batch(out)
                     out, held = [], 0
             yield batch(out)
+        give_back()
 
     return run
 

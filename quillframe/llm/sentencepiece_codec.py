@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import give_back, ship
 
 SPACE = "▁"
 CHUNK = 1 << 19
@@ -405,6 +405,7 @@ def _added(df: DataFrame, source: str, columns: list[tuple[str, T.DataType, pa.D
                 part = b.slice(lo, hi - lo)
                 new = [pa.array(x, kind) for x, kind in zip(run(part.column(at).to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f"added{i}" for i in range(len(new)))])
+        give_back()
 
     return plain.mapInArrow(mapped, schema).toDF(*names, *(c[0] for c in columns))
 

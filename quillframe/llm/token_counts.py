@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, give_back, ship
 from .tokens import default_tokenizer, encoder
 
 BLOCK = 1024
@@ -33,6 +33,7 @@ def lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text
         for b in batches:
             seen = Counter(len(encode(x.as_py() or "")) for x in b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "docs"])
+        give_back()
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length bigint, docs bigint")
     return parts.groupBy("length").agg(F.sum("docs").alias("docs"))
