@@ -92,14 +92,26 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return both.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def document_features(tables: Column, words: Column) -> dict[str, Column]:
-    """Rows of tables, the share of words in tables, cells per row; tables: array of tables of rows of cells."""
+def document_features(tables: Column, text_words: Column) -> dict[str, Column]:
+    """Rows of tables, the share of all words that are in tables, cells per row; tables: array of tables of rows of cells."""
     rows = F.flatten(tables)
     cells = F.aggregate(rows, F.lit(0), lambda a, r: a + F.size(r))
     in_tables = F.aggregate(F.flatten(rows), F.lit(0), lambda a, c: a + F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(F.trim(c), r"\s+"))))
+    words = text_words + in_tables
     return {"table_row_count": F.size(rows), "table_text_ratio": F.when(words > 0, in_tables / words).otherwise(0.0), "avg_cells_per_row": F.when(F.size(rows) > 0, cells / F.size(rows)).otherwise(0.0)}
 
 
+def fit_scale(train: DataFrame, features: list[str]) -> DataFrame:
+    """One row of means and (population) deviations, from the training rows only."""
+    return train.agg(*[x for f in features for x in (F.avg(f).alias(f"{f}_mean"), F.stddev_pop(f).alias(f"{f}_std"))])
+
+
+def scale(df: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:
+    """Features in deviations from the mean; a constant feature becomes 0."""
+    joined = df.join(F.broadcast(fitted))  # one row
+    return joined.withColumns({f: F.when(F.col(f"{f}_std") > 0, (F.col(f) - F.col(f"{f}_mean")) / F.col(f"{f}_std")).otherwise(0.0) for f in features}).drop(*fitted.columns)
+
+
 def train_logistic(df: DataFrame, label: str, text: str, features: int = 500):
     """TF-IDF with logistic regression as a saveable pipeline (hashing-free, fitted on the given rows only)."""
     from pyspark.ml import Pipeline

@@ -74,6 +74,24 @@ def candidate_boxes(df: DataFrame, width: Column, height: Column) -> DataFrame:
     return df.filter(share.between(0.001, 0.8) & (F.col("w") > 20) & (F.col("h") > 10))
 
 
+def element_kind(width: Column, height: Column) -> Column:
+    """The kind of a region (x, y, w, h) from its shape and pixel features (std, edges, density, lines across and down): the first rule that holds."""
+    c = F.col
+    aspect, share, top = c("w") / F.greatest(c("h"), F.lit(1)), c("w") * c("h") / (width * height), c("y") / height
+    return (
+        F.when((aspect > 5) & (top < 0.15) & (share > 0.02), "navbar").when((aspect > 5) & (top > 0.85), "footer")
+        .when((aspect > 1.5) & (aspect < 8) & (share < 0.02) & (c("h") > 20) & (c("h") < 80) & (c("std") < 50), "button")
+        .when((aspect > 3) & (c("h") > 20) & (c("h") < 60) & (share < 0.03) & (c("edges") > 0.05), "input_field")
+        .when((share > 0.03) & (c("density") < 0.1), "image").when((c("across") + c("down") > 6) & (c("across") > 2) & (c("down") > 2), "table").otherwise("text_block")
+    )
+
+
+def bordered_regions(df: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Regions of half a per cent of the image, 60 by 40 pixels, with line pixels both ways (counts across and down)."""
+    area = F.col("w") * F.col("h")
+    return df.filter((area >= 0.005 * width * height) & (F.col("w") >= 60) & (F.col("h") >= 40) & (F.col("across") / area > 0.005) & (F.col("down") / area > 0.005))
+
+
 def borderless_tables(lines: DataFrame, image: str, width: Column, bordered: DataFrame | None = None, gap: int = 40, least: int = 3) -> DataFrame:
     """Text lines stacked closely: groups of three or more, their hull over 100 by 60 pixels, not 30 % inside a bordered table."""
     good = lines.filter((F.col("w") > 0.15 * width) & (F.col("h") > 8) & (F.col("h") < 60))

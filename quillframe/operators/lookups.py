@@ -102,3 +102,19 @@ def update(df: DataFrame, condition: Column, changes: dict[str, Column]) -> Data
 def delete_cascade(tables: dict[str, DataFrame], jobs: DataFrame, job: str = "job_id") -> dict[str, DataFrame]:
     """All tables of a job store without the given jobs."""
     return {name: df.join(jobs.select(job), job, "left_anti") for name, df in tables.items()}
+
+
+def add_manual_frame(frames: DataFrame, job: Column, ms: Column, jobs: DataFrame, key: str = "job_id", index: str = "frame_index", ts: str = "timestamp_ms", first: int = 100_000) -> DataFrame:
+    """frames and one hand-picked frame per row of jobs, numbered from 100000 by how many the job has; other columns are null."""
+    manual = frames.filter(F.col(index) >= first).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    new = jobs.select(job.alias("_k"), ms.alias(ts)).join(manual, "_k", "left")
+    new = new.select(F.col("_k").alias(key), (F.lit(first) + F.coalesce("_n", F.lit(0))).cast(frames.schema[index].dataType).alias(index), ts)
+    return frames.unionByName(new, allowMissingColumns=True)
+
+
+def export_rows(frames: DataFrame, shots: DataFrame, key: str, ref: str, ts: str, order: str, shot_order: str, positions: list[int] | None = None) -> DataFrame:
+    """Frames in order of time with their last screenshot, numbered per job from 0; only the given positions, if any."""
+    cols = [c for c in shots.columns if c not in (key, ref)]
+    last = shots.groupBy(key, ref).agg(F.max_by(F.struct(*cols), F.col(shot_order)).alias("shot"))
+    numbered = frames.join(last, [key, ref], "left").withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(ts, order)) - 1)
+    return numbered if positions is None else numbered.filter(F.col("position").isin(positions))

@@ -226,3 +226,34 @@ def a10_recognised_words(spark: SparkSession, d: str) -> DataFrame:
     tsv = F.concat_ws("\n", F.lit(head), line(1, 30), line(2, "x"), third)
     c = table(spark, d, "customer").select("c_custkey", tsv.alias("tsv"))
     return readers.recognised_words(c, "c_custkey", "tsv").select("c_custkey", (F.col("ord") + 1).alias("ord"), "x", "conf", "text")
+
+
+@query(f"""with {FRAMES}, f as (select job_id, case when k % 20 = 0 then 100000 + frame_index else frame_index end as frame_index, timestamp_ms from frames)
+    select * from f union all select job_id, 100000 + count(*) filter (frame_index >= 100000), 5000 from f group by job_id""")
+def a4_manual_frames(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d)
+    made = f.select("job_id", F.when(F.col("k") % 20 == 0, 100000 + F.col("frame_index")).otherwise(F.col("frame_index")).cast("long").alias("frame_index"), "timestamp_ms")
+    return L.add_manual_frame(made, F.col("job_id"), F.lit(5000).cast("long"), made.select("job_id").distinct())
+
+
+@query(f"""with {FRAMES}, s as (select job_id, printf('frame_%06d', frame_index % 30) as ref, max(event_id) as note from frames group by all),
+    n as (select f.job_id, f.event_id, s.note, row_number() over (partition by f.job_id order by timestamp_ms, f.event_id) - 1 as position from frames f left join s on s.job_id = f.job_id and s.ref = printf('frame_%06d', f.frame_index))
+    select * from n where position in (0, 2, 5, 40)""")
+def b6_export_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).withColumn("ref", frame_ref(F.col("frame_index")))
+    shots = f.select("job_id", frame_ref(F.col("frame_index") % 30).alias("ref"), F.col("event_id").alias("note"))
+    return L.export_rows(f.select("job_id", "ref", "event_id", "timestamp_ms"), shots, "job_id", "ref", "timestamp_ms", "event_id", "note", [0, 2, 5, 40]).select("job_id", "event_id", "shot.note", F.col("position").cast("long").alias("position"))
+
+
+@query("""select event_id, event_type in ('click', 'view') and not (case event_id % 4 when 0 then 'a.png' when 1 then '../a.png' when 2 then 'x/y.png' else 'b..png' end like '%..%' or event_id % 4 = 2) as allowed from events""")
+def b10_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    from quillframe.sources.writers import artifact_allowed
+
+    n = F.col("event_id") % 4
+    name = F.when(n == 0, "a.png").when(n == 1, "../a.png").when(n == 2, "x/y.png").otherwise("b..png")
+    return table(spark, d, "events").select("event_id", artifact_allowed(F.col("event_type"), name, ["click", "view"]).alias("allowed"))
+
+
+@query("""select i as position, (i + 1) * 5000 as captured_at_ms, round(0.85 + 0.02 * i, 2) as confidence, ['demographics', 'income', 'household', 'eligibility', 'table', 'policy_guidance'][i + 1] as section_type from range(6) r(i)""")
+def a9_demo_sections(spark: SparkSession, d: str) -> DataFrame:
+    return readers.demo_sections(spark).select("position", "captured_at_ms", F.round("confidence", 2).alias("confidence"), "section_type")

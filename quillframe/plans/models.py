@@ -28,7 +28,7 @@ def m1_normalised(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", normalise_for_model(F.concat("text", F.lit(" 555-010-2000 1/2/1999 1999-01-02"))).alias("text"))
 
 
-@query("select c_custkey, 2 as table_row_count, round(7.0 / (c_custkey % 50 + 10), 6) as table_text_ratio, 2.5 as avg_cells_per_row from customer")
+@query("select c_custkey, 2 as table_row_count, round(7.0 / (c_custkey % 50 + 17), 6) as table_text_ratio, 2.5 as avg_cells_per_row from customer")
 def m2_document_features(spark: SparkSession, d: str) -> DataFrame:
     tables = F.array(F.array(F.array(F.lit("a b"), F.lit("c")), F.array(F.lit("d"), F.lit("e f g"), F.lit(" "))))
     f = C.document_features(tables, F.col("c_custkey") % 50 + 10)
@@ -222,3 +222,25 @@ def o15_suppressed_boxes(spark: SparkSession, d: str) -> DataFrame:
 def o17_distinct_tables(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.array((F.col("k") % 10).cast("string")))
     return X.distinct_tables(frames(spark, d).withColumn("rows", rows), "job_id", "event_id", "rows").select("job_id", "event_id")
+
+
+@query("""with t as (select avg(n_chars) as m, stddev_pop(n_chars) as s from documents where doc_id % 5 <> 0) select doc_id, round((n_chars - m) / s, 6) as n_chars from documents, t""")
+def m8_scaled(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    got = C.scale(t, C.fit_scale(t.filter("doc_id % 5 != 0"), ["n_chars"]), ["n_chars"])
+    return got.select("doc_id", F.round("n_chars", 6).alias("n_chars"))
+
+
+@query(f"""with {BOXES}, f as (select image, ord, w * 4 / greatest(h, 1) as aspect, w * 4 * h / (640 * 480.0) as share, y / 480 as top, h, ord % 90 as std, score % 1 as edges, score / 200 as density, ord % 9 as across, ord % 7 as down from b)
+    select image, ord, case when aspect > 5 and top < 0.15 and share > 0.02 then 'navbar' when aspect > 5 and top > 0.85 then 'footer'
+        when aspect > 1.5 and aspect < 8 and share < 0.02 and h > 20 and h < 80 and std < 50 then 'button' when aspect > 3 and h > 20 and h < 60 and share < 0.03 and edges > 0.05 then 'input_field'
+        when share > 0.03 and density < 0.1 then 'image' when across + down > 6 and across > 2 and down > 2 then 'table' else 'text_block' end as kind from f""")
+def o6_elements(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).withColumns({"w": F.col("w") * 4, "std": F.col("ord") % 90, "edges": F.col("score") % 1, "density": F.col("score") / 200, "across": F.col("ord") % 9, "down": F.col("ord") % 7})
+    return b.select("image", "ord", L.element_kind(F.lit(640), F.lit(480)).alias("kind"))
+
+
+@query(f"with {BOXES} select image, ord from b where w * h >= 0.005 * 640 * 480 and w >= 60 and h >= 40 and (score * 3) / (w * h) > 0.005 and (ord % 40) / (w * h) > 0.005")
+def o8_bordered_regions(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).withColumns({"across": F.col("score") * 3, "down": F.col("ord") % 40})
+    return L.bordered_regions(b, F.lit(640), F.lit(480)).select("image", "ord")

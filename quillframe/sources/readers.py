@@ -70,3 +70,14 @@ def recognised_words(df: DataFrame, key: str, tsv: str) -> DataFrame:
 def migrated(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """df with the columns that a newer schema added, null where it has none."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in df.columns})
+
+
+def demo_sections(spark: SparkSession) -> DataFrame:
+    """Six invented sections, five seconds apart, for demonstrations."""
+    texts = [
+        ("demographics", "APPLICANT DETAILS\nName: Ana Perez\nDate of Birth: 04/12/1988\nPhone: 555-010-2233"), ("income", "Employer: Harbor Foods\nMonthly income: $2,150.00\nHours: 38"),
+        ("household", "1. Ana Perez\n2. Luis Perez\n3. Mia Perez"), ("eligibility", "DETERMINATION\nStatus | Approved\nEffective Date: 01/05/2025"),
+        ("table", "Month | Amount\nMay | $210.00\nJune | $215.00"), ("policy_guidance", "GUIDANCE\n- report changes within ten days\n- keep receipts"),
+    ]
+    rows = [(i, kind, (i + 1) * 5000, 0.85 + 0.02 * i, text) for i, (kind, text) in enumerate(texts)]
+    return spark.createDataFrame(rows, "position bigint, section_type string, captured_at_ms bigint, confidence double, extracted_text string")
