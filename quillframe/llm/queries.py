@@ -64,7 +64,20 @@ QUERIES = {
     for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup)
 }
 
+def _quoted(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({_quoted(r.pattern)}, {_quoted(r.name)}, {_quoted(r.action)}, {r.weight}, {i})" for i, r in enumerate(url_filter.default_rules()))
+
 ORACLE = {
+    "op8_url_filter": rf"""
+        with rules(pattern, name, action, weight, ord) as (values {_RULES}),
+        p as (select row_number() over () as n, page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        f as (select p.*, r.pattern, r.name, r.action from p left join rules r on regexp_matches(p.host || p.path, r.pattern) qualify row_number() over (partition by n order by weight desc, ord) = 1)
+        select page_id, host, path, name as rule, coalesce(action, 'allow') as verdict, pattern from f
+    """,
     "op10_exact_dedup": r"""
         with n as (
             select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents
