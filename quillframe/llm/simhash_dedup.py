@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_KEYS, Scratch, ascii_lower, fingerprint_of, hex16, shingle_at, ship, split_lookup, votes, without, words_of
+from .common import BROADCAST_ROWS, HOT_KEYS, Scratch, ascii_lower, fingerprint_of, give_back, hex16, shingle_at, ship, split_lookup, votes, without, words_of
 from .components import components
 
 
@@ -132,7 +132,8 @@ def _sketch(seeds: int, bits: int):
         if not seen:
             return np.zeros(seeds, dtype=np.int64)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-        weight = np.sqrt(np.fromiter(seen.values(), dtype=np.float64, count=len(seen)))
+        size = np.minimum(np.fromiter(map(len, seen), dtype=np.float64, count=len(seen)), 8)
+        weight = np.sqrt(np.fromiter(seen.values(), dtype=np.float64, count=len(seen))) * size**1.5
         votes_, step = np.zeros((seeds, 64)), 1 << 14
         for lo in range(0, len(seen), step):
             part, w = hashes[lo : lo + step], weight[lo : lo + step]
@@ -146,6 +147,7 @@ def _sketch(seeds: int, bits: int):
             prints = np.array([one(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1)
             rows = np.repeat(b.column(0).to_numpy(), seeds)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.tile(np.arange(seeds, dtype=np.int32), b.num_rows)), pa.array(prints)], ["row", "seed", "fp"])
+        give_back()
 
     return run
 
@@ -155,8 +157,10 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, se
 
     docs must be read from files; rows are numbered by monotonically_increasing_id. Two texts that share 80 % of their
     five-word shingles differ in some 2 % of their words, which moves about five bits of a 64-bit fingerprint: too many for radius
-    2. So candidates come from `seeds` independent fingerprints of `bits` bits over single words, each weighted by the root
-    of its count; every fingerprint has its own deletion-variant index of radius 2. Shingles then decide exactly.
+    2. So candidates come from `seeds` independent fingerprints of `bits` bits over single words; every fingerprint has its
+    own deletion-variant index of radius 2. Shingles then decide exactly. A word weighs the root of its count times the
+    1.5th power of its length (to 8): the short words that all texts of a language share would make unrelated
+    fingerprints agree in whole segments.
     """
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "similar")
     ship(spark)
