@@ -43,17 +43,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _masks(radius: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(number, bits kept of the fingerprint) of each segment variant.
+    """(number, bits kept of the fingerprint) of each segment variant; the number of a wildcard is its bit.
 
-    If every segment but the last differs by two bits or more, radius 2 leaves none for the last: it needs no wildcard.
+    Numbers from `bits` on are whole segments. If every segment but the last differs by two bits or more, radius 2 leaves
+    none for the last: it needs no wildcard. The whole first segment holds the pairs that agree in it (see _shared).
     """
     k = math.ceil((radius + 1) / 2)
     cuts = [bits * i // k for i in range(k + 1)]
-    out = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        whole = ((1 << (hi - lo)) - 1) << lo
-        out += [(bits, whole)] if radius == 2 and hi == bits else [(bit, whole & ~(1 << bit)) for bit in range(lo, hi)]
-    return out
+    wholes = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
+    wild = cuts[1] if radius == 2 else bits
+    return [(bit, wholes[0] & ~(1 << bit)) for bit in range(wild)] + ([(bits + i, whole) for i, whole in enumerate(wholes)] if radius == 2 else [])
 
 
 def _signed(x: int) -> int:
@@ -61,7 +60,17 @@ def _signed(x: int) -> int:
 
 
 def _variants(fp: Column, radius: int, bits: int) -> Column:
-    return F.array(*[F.struct(F.lit(n).cast("byte").alias("variant"), fp.bitwiseAND(F.lit(_signed(mask))).alias("part")) for n, mask in _masks(radius, bits)])
+    def one(n: int, mask: int) -> Column:
+        bit = F.shiftrightunsigned(fp, n).bitwiseAND(F.lit(1)) if n < bits else F.lit(0).cast("long")
+        return F.struct(F.lit(n).cast("byte").alias("variant"), fp.bitwiseAND(F.lit(_signed(mask))).alias("part"), bit.alias("bit"))
+
+    return F.array(*[one(n, mask) for n, mask in _masks(radius, bits)])
+
+
+def _shared(keyed: DataFrame, key: list[str], bits: int) -> DataFrame:
+    """Keys of two classes and more. A wildcard key whose members agree in the masked bit adds nothing to the whole segment."""
+    grouped = keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.sum("bit").alias("ones")).filter("n > 1")
+    return grouped.filter((F.col("variant") >= bits) | ((F.col("ones") > 0) & (F.col("ones") < F.col("n")))).drop("ones")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -81,14 +90,14 @@ def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 8, bits: in
     classes = classes.repartition(4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     key, group = [*by, "variant", "part"], F.array_sort(F.collect_list("fp"))
     keyed = classes.select(*by, "fp", F.inline(_variants(F.col("fp"), radius, bits)))
-    shared = tmp.keep(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared")
+    shared = tmp.keep(_shared(keyed, key, bits), "shared")
     near = _differing(F.col("a"), F.col("b")) <= radius
     two = shared.filter("n = 2").select(*by, "a", "b").filter(near)
     # A class has 64 variants at most, so fewer than 64 * HOT_KEYS keys hold over 1/HOT_KEYS of the classes: they are
     # broadcast. The others meet their members by a sort-merge join in which no key is larger than that.
     limit = max(classes.count() // HOT_KEYS, 1000)
     huge = shared.filter(F.col("n") > limit).select(*key, F.lit(True).alias("huge"))
-    marked = keyed.join(F.broadcast(huge), key, "left")
+    marked = keyed.drop("bit").join(F.broadcast(huge), key, "left")
     more = shared.filter((F.col("n") > 2) & (F.col("n") <= limit)).select(*key, (F.col("n") > bucket).alias("large"))
     met = tmp.keep(marked.filter("huge is null").drop("huge").join(more.hint("merge"), key), "met")
     mid = met.filter("not large").groupBy(*key).agg(group.alias("g"))
