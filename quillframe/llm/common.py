@@ -35,6 +35,8 @@ class Scratch:
     """Tables of one operator call, written under the shared folder, so that a lost executor costs no lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # Small shuffles otherwise end in as many small tasks and files as there are partitions.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
