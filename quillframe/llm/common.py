@@ -23,9 +23,12 @@ HOT_KEYS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
