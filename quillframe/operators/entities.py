@@ -12,6 +12,19 @@ from quillframe.functions.text import mask_ssn
 ENTITY = "struct<start:int,end:int,text:string,type:string>"
 
 
+#: Types whose patterns can't match without a digit.
+WITH_DIGIT = {"ssn", "ein", "medical_code", "phone", "currency", "percentage", "date", "time_value", "zip_code", "policy_number", "address", "account_number", "npi"}
+
+
+def _trigger(text: Column, kind: str, own: bool) -> Column:
+    """A cheap test that a text passes if it has a match of a built-in pattern."""
+    if own and kind in WITH_DIGIT:
+        return text.rlike("[0-9]")
+    if own and kind in ("email", "url"):
+        return F.contains(text, F.lit("@" if kind == "email" else "://"))
+    return F.lit(True)
+
+
 def _found(text: Column, kind: str, pattern: str, not_names: list[str], state_codes: list[str]) -> Column:
     """Matches of one pattern as entities, without what its type excludes."""
     shown = (lambda t: mask_ssn(t)) if kind == "ssn" else (lambda t: F.btrim(t))
@@ -28,9 +41,9 @@ def extract(text: Column, patterns: list[tuple[str, str]] | None = None, not_nam
 
     A text without any trigger (digit, @, :// or a capital) is not scanned.
     """
-    parts = [_found(text, kind, pattern, not_names, state_codes) for kind, pattern in patterns or rules.ENTITY_PATTERNS]
-    every = F.concat(*parts) if len(parts) > 1 else parts[0]
     empty = F.array().cast(f"array<{ENTITY}>")
+    parts = [F.when(_trigger(text, kind, patterns is None), _found(text, kind, pattern, not_names, state_codes)).otherwise(empty) for kind, pattern in patterns or rules.ENTITY_PATTERNS]
+    every = F.concat(*parts) if len(parts) > 1 else parts[0]
     return F.when(text.rlike(r"[0-9@A-Z]|://"), resolve(every, ENTITY)).otherwise(empty)
 
 
