@@ -20,8 +20,8 @@ An empty table gives an empty result. Extra columns are neither read nor returne
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,76 +126,186 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return split_lookup(rows, table, "fp", total).select("row", "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "group_rows")
 
 
-def _sketch(seeds: int, bits: int):
+#: Rounds in which shared shingles are compared with one centre each before all remaining pairs are.
+STARS = 3
+#: Shingles that at least SEEN of every SAMPLEth document have are put last in the order of shingles (the most frequent OFTEN of them).
+SAMPLE, SEEN, OFTEN = 16, 8, 100_000
+#: Rows of a shared shingle that one task pairs with all the others.
+BLOCK = 2000
+
+
+def _mix(h, seed: int):
+    import numpy as np
+
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, shingle: int):
+    """The sorted 64-bit hashes of a text's distinct word shingles: one of all words if there are fewer, none without words."""
     import numpy as np
     import xxhash
 
-    def mix(h: np.ndarray, seed: int) -> np.ndarray:
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-    def one(text: str | None) -> np.ndarray:
-        seen = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
-        if not seen:
-            return np.zeros(seeds, dtype=np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-        size = np.minimum(np.fromiter(map(len, seen), dtype=np.float64, count=len(seen)), 8)
-        weight = np.sqrt(np.fromiter(seen.values(), dtype=np.float64, count=len(seen))) * size**1.5
-        votes_, step = np.zeros((seeds, 64)), 1 << 14
-        for lo in range(0, len(seen), step):
-            part, w = hashes[lo : lo + step], weight[lo : lo + step]
-            for s in range(seeds):
-                votes_[s] += w @ np.unpackbits(mix(part, s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        on = np.packbits(votes_ * 2 > weight.sum(), axis=1, bitorder="little").view(np.uint64)[:, 0]
-        return (on & np.uint64((1 << bits) - 1)).astype(np.int64)
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = max(len(words) - shingle + 1, 1)
+    total = np.zeros(n, dtype=np.uint64)
+    for i in range(min(shingle, len(words))):
+        total += _mix(hashes[i : i + n], i)
+    return np.unique(_mix(total, shingle))
+
+
+def prefix_of(hashes, similarity: float, often, rank):
+    """The hashes one of which any set of at least that similarity shares: the first in an order with the frequent ones (`often`, sorted) last."""
+    import numpy as np
+
+    if len(often) and len(hashes):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        hit = often[at] == hashes
+        hashes = np.concatenate([hashes[~hit], hashes[hit][np.argsort(rank[at[hit]])]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else hashes
+
+
+def _signatures(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            out = np.zeros((3, b.num_rows), dtype=np.int64)
+            for i, text in enumerate(b.column(1)):
+                s = shingle_set(text.as_py(), shingle)
+                out[:, i] = len(s), s.sum(dtype=np.uint64).view(np.int64), _mix(s, 77).sum(dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], ["row", "n", "s1", "s2"])
+        give_back()
+
+    return run
+
+
+def _tokens(shingle: int, similarity: float, often, rank):
+    """(row, n, at, h): the prefix of each row's set of n shingles with places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
-            prints = np.array([one(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1)
-            rows = np.repeat(b.column(0).to_numpy(), seeds)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.tile(np.arange(seeds, dtype=np.int32), b.num_rows)), pa.array(prints)], ["row", "seed", "fp"])
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            parts = [prefix_of(s, similarity, often, rank) for s in sets]
+            sizes = [len(p) for p in parts]
+            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *parts]).view(np.int64)
+            places = np.concatenate([np.zeros(0, dtype=np.int32), *[np.arange(k, dtype=np.int32) for k in sizes]])
+            columns = [np.repeat(b.column(0).to_numpy(), sizes), np.repeat(np.array([len(s) for s in sets], dtype=np.int32), sizes), places, flat]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "n", "at", "h"])
         give_back()
 
     return run
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 8, bits: int = 48, text_col: str = "text") -> DataFrame:
-    """(a, b): row numbers of docs whose word shingles have at least that Jaccard similarity.
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["row", "set"])
+        give_back()
+
+    return run
 
-    docs must be read from files; rows are numbered by monotonically_increasing_id. Two texts that share 80 % of their
-    five-word shingles differ in some 2 % of their words, which moves about five bits of a 64-bit fingerprint: too many for radius
-    2. So candidates come from `seeds` independent fingerprints of `bits` bits over single words; every fingerprint has its
-    own deletion-variant index of radius 2. Shingles then decide exactly. A word weighs the root of its count times the
-    1.5th power of its length (to 8): the short words that all texts of a language share would make unrelated
-    fingerprints agree in whole segments.
+
+def _frequent(texts: DataFrame, shingle: int):
+    """(hashes in order, their ranks) of at most OFTEN frequent shingles, estimated from a part of the documents: any order gives the same links."""
+    import numpy as np
+
+    part = texts.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).mapInArrow(_sets(shingle), "row bigint, set array<bigint>")
+    counts = part.select(F.explode("set").alias("h")).groupBy("h").count().filter(F.col("count") >= SEEN)
+    top = counts.orderBy(F.desc("count"), "h").limit(OFTEN).collect()  # OFTEN rows at most
+    hashes = np.array([r.h for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - np.arange(len(top)))[order]
+
+
+def _met(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge"), "row")
+
+
+def _star_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b): each row with the centre that it meets at most of its shingles, unless both are in one component already."""
+    met = members.filter("row != centre").groupBy("row", "comp", "centre").count()
+    if roots is not None:
+        met = met.join(roots.select(F.col("node").alias("centre"), "root"), "centre", "left").filter(F.coalesce("root", "centre") != F.col("comp"))
+    best = met.groupBy("row").agg(F.max(F.struct("count", "centre")).alias("best"))
+    return best.select(F.least("row", "best.centre").alias("a"), F.greatest("row", "best.centre").alias("b")).distinct()
+
+
+def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all rows of different components that share a prefix shingle and can be similar by sizes, places and number of shared ones.
+
+    Similar sets have `least` shingles in common. All of these are at or after the first shared one in both; and the prefix that
+    ends first holds at least `least` - similarity * size (of the larger set) of them, which the other one has too.
+    """
+    blocks = F.ceil(F.col("group_rows") / BLOCK).cast("int")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "at", "comp")]
+    left = members.select("h", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), *side("a"))
+    right = members.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("b"))
+    fits = (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+    both = left.join(right.hint("merge"), ["h", "block"]).filter(fits)
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    shared = both.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max(rest).alias("rest"))
+    least = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
+    can = (F.col("rest") >= least) & (F.col("shared") >= least - similarity * F.greatest("n_a", "n_b"))
+    return shared.filter(can).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """(a, b): pairs of row numbers of docs whose word shingles have at least that Jaccard similarity; components are those of all such pairs.
+
+    docs must be read from files; rows are numbered by monotonically_increasing_id. No candidate is left out: in any common
+    order of shingles, two sets of a similarity of t share one of the first n - ceil(t * n) + 1 of each, n being its size. So these are
+    joined, and the sets then decide exactly. The order is that of the hashes, with frequent shingles last.
+
+    Rows of equal sets (by 128 bits) are one class and meet only once. Of the rest, a shared shingle whose rows are of several
+    components first compares each with a centre, STARS times; then all pairs that are in different components still are compared.
     """
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "similar")
     ship(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = tmp.keep(texts.mapInArrow(_sketch(seeds, bits), "row bigint, seed int, fp bigint"), "rows")
-    classes = tmp.keep(rows.groupBy("seed", "fp").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")), "classes")
-    links = hamming_links(classes.select("seed", "fp"), 2, bits=bits, by=["seed"])
-    ends = [classes.select("seed", F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in "ab"]
-    across = links.join(ends[0], ["seed", "a"]).join(ends[1], ["seed", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
-    keyed = [x.withColumn("class", F.struct("seed", "fp")).drop("seed", "fp") for x in (rows, classes.filter("group_rows > 1"))]
-    inside = split_lookup(keyed[0], keyed[1], "class", rows.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = tmp.keep(across.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
-    asked = tmp.keep(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "asked")
-    met = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("merge"), "row")
-    words = met.select("row", words_of(ascii_lower(F.col("text"))).alias("words"))
-    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    sets = tmp.keep(words.select("row", F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(F.col("words"), i, shingle)))).alias("set")), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    rows = tmp.keep(texts.mapInArrow(_signatures(shingle), "row bigint, n bigint, s1 bigint, s2 bigint").select("row", F.struct("n", "s1", "s2").alias("class")), "rows")
+    classes = tmp.keep(rows.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")).filter("group_rows > 1"), "classes")
+    inside = split_lookup(rows, classes, "class", rows.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    links = [tmp.keep(inside, "inside")]
+    single = without(texts.withColumn("_row", F.col("row")), links[0].select(F.col("b").alias("_row")))
+    prefixes = tmp.keep(single.mapInArrow(_tokens(shingle, similarity, *_frequent(texts, shingle)), "row bigint, n int, at int, h bigint"), "prefixes")
+    met, sets, roots = prefixes.withColumn("comp", F.col("row")), None, None
+    for n in range(STARS + 1):
+        turn = F.xxhash64("h", F.lit(n)) if n else F.lit(0).cast("long")  # which row of a shingle is the centre
+        seen = met.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group_rows"), F.min(F.col("row").bitwiseXOR(turn)).alias("turned"))
+        mixed = tmp.keep(seen.filter("lo < hi").select("h", "group_rows", F.col("turned").bitwiseXOR(turn).alias("centre")), f"mixed{n}")
+        members = tmp.keep(split_lookup(met.select("h", "row", "n", "at", "comp"), mixed, "h", met.count()), f"members{n}")
+        if members.isEmpty():
+            break
+        if sets is None:
+            sets = tmp.keep(_met(texts, tmp.keep(members.select("row").distinct(), "asked")).mapInArrow(_sets(shingle), "row bigint, set array<bigint>"), "sets")
+        pairs = tmp.keep(_star_pairs(members, roots) if n < STARS else _all_pairs(members, similarity), f"pairs{n}")
+        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        links.append(tmp.keep(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{n}"))
+        if n < STARS:
+            roots = tmp.keep(components(reduce(DataFrame.unionByName, links[1:])), f"roots{n}")
+            joined = members.drop("comp").join(roots.withColumnRenamed("node", "row"), "row", "left")
+            met = tmp.keep(joined.select("h", "row", "n", "at", F.coalesce("root", "row").alias("comp")), f"met{n}")
+    return reduce(DataFrame.unionByName, links)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each group of similar texts the one with the smallest id. docs must be read from files."""
     tmp = Scratch(docs.sparkSession, "simhash-kept")
-    roots = components(tmp.keep(similar_pairs(docs.select(id_col, text_col), shingle, similarity, text_col=text_col), "links"))
+    roots = components(similar_links(docs.select(id_col, text_col), shingle, similarity, text_col))
     numbered = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"))
     grouped = tmp.keep(numbered.join(roots, "node"), "grouped")
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")).select(F.col("best.node").alias("node"))

@@ -170,3 +170,40 @@ def test_near_copies_go_and_others_stay(spark, tmp_path):
     assert all(a in kept or b in kept for a, b in near) and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "digest"]
     assert all((a in kept) and (b in kept) for a, b in near if not alike(a, b))
     assert out.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def kept_by_brute_force(rows):
+    """The ids that stay: the smallest of each component of pairs that share 80 % of their shingles."""
+    sets = [shingles(row[1]) for row in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    best = {}
+    for i, row in enumerate(rows):
+        best[find(i)] = min(row[0], best.get(find(i), row[0]))
+    return set(best.values())
+
+
+def test_appended_truncated_and_block_edited_copies_go(spark, tmp_path):
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for i in range(120):
+        base = words(r.choice([60, 120, 400]))
+        part = max(1, int(len(base) * r.uniform(0.04, 0.24)))
+        at = r.randrange(len(base) - part)
+        copy = [base + words(part), base[: len(base) - part], base[:at] + words(part // 3) + base[at + part // 3 :], base[part:]][i % 4]
+        texts += [" ".join(base), " ".join(copy)]
+    r.shuffle(texts)
+    rows = [(i, t, "en", "s", 1, 1, "d") for i, t in enumerate(texts)]
+    want = kept_by_brute_force(rows)
+    got = {x.doc_id for x in simhash_dedup.keep_one(stored(spark, tmp_path, rows)).collect()}
+    assert 60 < len(rows) - len(want) < 120 and got == want
