@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in DataFrame functions.
 
-Candidates are values assigned to a telling name (password, token, ...), private-key blocks and long runs of key-like
-characters with a digit. Each is described by its length, its character classes and their transitions, how many of its
+Candidates are values assigned to a telling name (password, token, ...), private-key blocks from BEGIN to END and long runs
+of key-like characters with a digit, without a name and sign before them. Each is described by its length, its character classes and their transitions, how many of its
 letter pairs and letters belong to common words, what is known of the path, and the neighbouring words; a random forest
 trained on labelled findings tells secrets from the rest. Training takes at most MAX_TRAINING labelled findings (a
 documented bound on the classifier's sample); scanning reads every whole text.
@@ -41,10 +41,18 @@ COMMON_PAIRS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti"
 DICTIONARY = ["password", "example", "changeme", "default", "secret", "token", "admin", "user", "test", "sample", "dummy", "placeholder", "your", "here", "insert", "null", "none", "true", "false", "string", "value", "name", "index", "page", "image", "file", "data", "report", "version", "update", "and", "the", "for", "with", "from", "that", "this", "tion", "ment", "ing", "ung", "keit", "heit", "lich", "schaft", "ción", "mente", "able", "ness", "less", "over", "under", "inter", "http", "https", "www", "com", "org", "html", "json", "config", "build", "release", "class", "import", "return"]
 KNOWN = r"^(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.?.*|-----BEGIN .*)$"
 
-_ASSIGNED = "(?i:(?:" + "|".join(TELLING) + r")s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?)"
-_KEY = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
-CANDIDATE = f"{_ASSIGNED}[^\\s\"'<>,;#]{{6,}}+|{_KEY}|{_RUN}"
+_ASSIGNED = "(?i:(?:" + "|".join(TELLING) + r")s?[\"']?\s*+(?::=|=>|=|:)\s*+[\"']?)"
+# From BEGIN to END, whatever is between but another marker; without an END, header lines and what may be base64.
+_LABEL = r"[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+_KEY = rf"-----BEGIN {_LABEL}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_LABEL}|(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]*+)"
+# Key-like characters with a digit, 16 or more with the signs of equality that pad them.
+_CHARS = "[A-Za-z0-9+/_-]"
+_LONG = f"(?=[A-Za-z+/_-]*+[0-9])(?:{_CHARS}{{16,}}+=*+|" + "|".join(f"{_CHARS}{{{n}}}={{{16 - n},}}+" for n in range(15, 0, -1)) + ")"
+_RUN = f"(?<!{_CHARS}){_LONG}"
+# A name and its sign before a run: one that is not such a run itself, or a telling one.
+_NAME = f"(?=[A-Za-z_][A-Za-z0-9_-]*+={_CHARS})(?:(?!{_LONG})|(?=[A-Za-z0-9_-]*?(?i:" + "|".join(TELLING) + r")))[A-Za-z0-9_-]++="
+_LEAD = f"(?:{_ASSIGNED}|(?<!{_CHARS}){_NAME})"
+CANDIDATE = f"{_ASSIGNED}(?:{_KEY}|[^\\s\"'<>,;#]{{6,}}+)|{_KEY}|(?<!{_CHARS}){_NAME}{_LONG}|{_RUN}"
 #: A cheap test that every text with a candidate passes.
 LIKELY = f"{_ASSIGNED}[^\\s]|-----BEGIN|{_RUN}"
 
@@ -65,7 +73,7 @@ def features(found: DataFrame) -> DataFrame:
     classes = v
     for pattern, mark in (("[a-z]+", "l"), ("[A-Z]+", "u"), ("[0-9]+", "d"), ("[^lud]+", "o")):
         classes = F.regexp_replace(classes, pattern, mark)
-    near = F.concat_ws(" ", F.right(F.col("before"), F.lit(24)), F.left(F.col("after"), F.lit(8)))
+    near = F.concat_ws(" ", F.right(F.regexp_replace("before", r"\s+", " "), F.lit(24)), F.left(F.col("after"), F.lit(8)))
     longest = F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), lambda x: F.char_length(x)))
     return found.withColumns({
         "length": F.least(n, F.lit(400)).cast("double"),
@@ -155,7 +163,7 @@ def candidates(docs: DataFrame, keys: list[str], text_col: str, path: Column) ->
     hits = docs.filter(text.rlike(LIKELY)).select(*keys, path.cast("string").alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split(text, CANDIDATE, -1).alias("gaps"))
     each = hits.select(*keys, "path", "gaps", F.posexplode("hits").alias("i", "hit"))
     gap, after = F.get("gaps", F.col("i")), F.get("gaps", F.col("i") + 1)
-    lead = F.regexp_extract("hit", f"^{_ASSIGNED}", 0)
+    lead = F.regexp_extract("hit", f"^{_LEAD}", 0)
     cut = each.select(
         *keys, "path", "i", F.char_length(gap).alias("gap_length"), F.char_length("hit").alias("hit_length"), F.char_length(lead).alias("lead_length"),
         F.concat(F.right(gap, F.lit(CONTEXT)), lead).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), F.substring(F.col("hit"), F.char_length(lead) + 1, F.char_length("hit")).alias("value"),
