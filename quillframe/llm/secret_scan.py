@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import string
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -30,6 +31,7 @@ from .common import Scratch
 
 MAX_TRAINING = 20_000
 CONTEXT = 48
+ALPHABET = 64  # distinct characters of a longer value are counted against this many
 MASK = "[SECRET]"
 
 # Names that announce a secret, words that announce something else, and parts of paths.
@@ -75,13 +77,16 @@ def features(found: DataFrame) -> DataFrame:
         classes = F.regexp_replace(classes, pattern, mark)
     near = F.concat_ws(" ", F.right(F.regexp_replace("before", r"\s+", " "), F.lit(24)), F.left(F.col("after"), F.lit(8)))
     longest = F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), lambda x: F.char_length(x)))
+    # Whole values of any length: no array of their characters but of the few that are not printable ASCII.
+    ascii_kinds = reduce(Column.__add__, [F.contains(v, F.lit(chr(c))).cast("int") for c in range(33, 127)])
+    other_kinds = F.size(F.array_distinct(F.split(F.regexp_replace(v, "[\\x21-\\x7E]+", ""), ""))) - F.when(v.rlike("[^\\x21-\\x7E]"), 0).otherwise(1)
     return found.withColumns({
-        "length": F.least(n, F.lit(400)).cast("double"),
+        "length": n.cast("double"),
         "transitions": (F.char_length(classes) - 1) / n,
         "digits": _share(v, "[0-9]"),
         "upper": _share(v, "[A-Z]"),
         "lower": _share(v, "[a-z]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(v, F.lit(400)), ""))) / F.least(n, F.lit(400)),
+        "distinct": (ascii_kinds + other_kinds) / F.least(n, F.lit(ALPHABET)),
         "pairs": F.regexp_count(F.lower(v), F.lit("(?=(?:" + "|".join(COMMON_PAIRS) + "))")) / n,
         "covered": _share(F.lower(v), "(?:" + "|".join(DICTIONARY) + ")"),
         "telling": _has(near, TELLING),

@@ -76,6 +76,14 @@ def test_secrets_in_wide_windows(spark, model):
     assert (20, odd[0][1].index("-----BEGIN", 9), len(values[3][1])) in got and (20, 0, odd[0][1].index("...")) in got and (21, 4, 16) in got
 
 
+def test_features_of_whole_values(spark):
+    """Length and distinct characters look past the first 400 characters."""
+    values = ["a" * 400 + "bcd1" * 50, "a" * 600, "abc", "", "é é1", "".join(map(chr, range(33, 97))) * 9]
+    found = spark.createDataFrame([(v, "", "", None) for v in values], "value string, before string, after string, path string")
+    got = {x.value: (x.length, x.distinct) for x in secret_scan.features(found).collect()}
+    assert got == {v: (max(len(v), 1), len(set(v)) / min(max(len(v), 1), 64)) for v in values}
+
+
 def test_scan_nothing(spark, model):
     assert secret_scan.scan(table(spark, []), model).collect() == [] and secret_scan.redact(table(spark, []), model).collect() == []
 
