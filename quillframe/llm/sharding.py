@@ -115,7 +115,8 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, store: str | Non
     return place(rows, maps.frame())
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", parts: int = 8) -> None:
-    """Writes docs into shard=N folders, each by `parts` tasks."""
-    found = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "virtual_slot").dropDuplicates([id_col]), id_col)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, parts: int = 8) -> None:
+    """Writes all rows of docs into shard=N folders, each by `parts` tasks. docs must be those that were placed, read from files: rows meet by number."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = numbered.join(placed.select(F.col("row").alias("_row"), "shard", "virtual_slot"), "_row").drop("_row")
     found.repartition(F.col("shard"), F.col("virtual_slot") % parts).drop("virtual_slot").write.partitionBy("shard").parquet(path)
