@@ -235,8 +235,8 @@ def _met(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(a, b): each row with the centre that it meets at most of its shingles, unless both are in one component already."""
-    met = members.filter("row != centre").groupBy("row", "comp", "centre").count()
+    """(a, b): each row with the centre that it meets at most of its shingles (and at a twentieth of them), unless both are in one component already."""
+    met = members.filter("row != centre").groupBy("row", "n", "comp", "centre").count().filter(F.col("count") >= 0.05 * F.col("n"))
     if roots is not None:
         met = met.join(roots.select(F.col("node").alias("centre"), "root"), "centre", "left").filter(F.coalesce("root", "centre") != F.col("comp"))
     best = met.groupBy("row").agg(F.max(F.struct("count", "centre")).alias("best"))
@@ -281,7 +281,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     links = [tmp.keep(inside, "inside")]
     single = without(texts.withColumn("_row", F.col("row")), links[0].select(F.col("b").alias("_row")))
     prefixes = tmp.keep(single.mapInArrow(_tokens(shingle, similarity, *_frequent(texts, shingle)), "row bigint, n int, at int, h bigint"), "prefixes")
-    met, sets, roots = prefixes.withColumn("comp", F.col("row")), None, None
+    met, roots = prefixes.withColumn("comp", F.col("row")), None
     for n in range(STARS + 1):
         turn = F.xxhash64("h", F.lit(n)) if n else F.lit(0).cast("long")  # which row of a shingle is the centre
         seen = met.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group_rows"), F.min(F.col("row").bitwiseXOR(turn)).alias("turned"))
@@ -289,16 +289,19 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, te
         members = tmp.keep(split_lookup(met.select("h", "row", "n", "at", "comp"), mixed, "h", met.count()), f"members{n}")
         if members.isEmpty():
             break
-        if sets is None:
-            sets = tmp.keep(_met(texts, tmp.keep(members.select("row").distinct(), "asked")).mapInArrow(_sets(shingle), "row bigint, set array<bigint>"), "sets")
+        tmp.drop(f"met{n - 1}" if n else "prefixes")
         pairs = tmp.keep(_star_pairs(members, roots) if n < STARS else _all_pairs(members, similarity), f"pairs{n}")
+        asked = tmp.keep(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), f"asked{n}")
+        sets = tmp.keep(_met(texts, asked).mapInArrow(_sets(shingle), "row bigint, set array<bigint>"), f"sets{n}")
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         links.append(tmp.keep(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{n}"))
+        tmp.drop(f"sets{n}")
         if n < STARS:
             roots = tmp.keep(components(reduce(DataFrame.unionByName, links[1:])), f"roots{n}")
             joined = members.drop("comp").join(roots.withColumnRenamed("node", "row"), "row", "left")
             met = tmp.keep(joined.select("h", "row", "n", "at", F.coalesce("root", "row").alias("comp")), f"met{n}")
+            tmp.drop(f"members{n}")
     return reduce(DataFrame.unionByName, links)
 
 
