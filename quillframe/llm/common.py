@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.shipping import ship as ship_sources
@@ -34,22 +37,78 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: While a scratch table is written: small shuffles end in few tasks and files, and shuffle files go when the write is over.
+WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session options for the length of a block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Scratch:
     """Tables of one operator call, written under the shared folder, so that a lost executor costs no lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        # Small shuffles otherwise end in as many small tasks and files as there are partitions.
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, WRITING):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more; without names, the whole folder."""
+        for path in [f"{self.root}/{name}" for name in names] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Files whose paths one task may number and a broadcast may hold (some 10 MB).
+FILES = 100_000
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, tmp: Scratch) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows, the same in each scan, and the name of that column.
+
+    Whole Parquet files are numbered by file and place in the file, which no new plan, core count or lost executor changes,
+    and are not copied. Anything else (other sources, filtered rows, joins) is written once with its numbers.
+    """
+    name = fresh(docs, "row_number")
+    try:
+        place = docs.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").cast("long").alias("i"))
+    except AnalysisException:
+        place = None
+    if place is not None:
+        wide = F.col("i").cast("decimal(38,0)")
+        files = tmp.keep(place.groupBy("f").agg(F.count("*").alias("n"), F.max("i").alias("last"), F.sum(wide).alias("s"), F.sum(wide * F.col("i")).alias("q")), "files")
+        n = F.col("n").cast("decimal(38,0)")
+        whole = (F.col("n") == F.col("last") + 1) & (F.col("s") * 2 == n * (n - 1)) & (F.col("q") * 6 == n * (n - 1) * (2 * n - 1))  # each place once
+        seen = files.agg(F.count("*").alias("files"), F.coalesce(F.bool_and(F.coalesce(whole, F.lit(False))), F.lit(True)).alias("whole")).first()
+        if seen.whole and seen.files <= FILES:
+            path, index = fresh(docs, "file_path"), fresh(docs, "file_place")
+            first = files.select(F.col("f").alias(path), ((F.row_number().over(Window.orderBy("f")).cast("long") - 1) * (1 << 40)).alias(name))  # FILES rows at most
+            placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+            met = placed.join(F.broadcast(tmp.keep(first, "ordinals")), path)
+            return met.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns], (F.col(name) + F.col(index)).alias(name)), name
+    return tmp.keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def split_lookup(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "group_rows") -> DataFrame:
@@ -71,10 +130,14 @@ def split_lookup(rows: DataFrame, table: DataFrame, key: str, total: int, count:
 BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, row: str = "_row") -> DataFrame:
+def light(table: DataFrame) -> DataFrame:
+    """A kept table of a few numbers a row, hinted for a join: broadcast if it is small, else merged."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """docs, numbered in column `row`, without the rows whose numbers are in `dropped` (a kept table with that column)."""
-    small = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if small else dropped.hint("merge"), row, "left_anti").drop(row)
+    return docs.join(light(dropped), row, "left_anti").drop(row)
 
 
 def ascii_lower(s: Column) -> Column:

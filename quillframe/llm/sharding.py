@@ -16,15 +16,19 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
+
+
+def virtual_slot(doc_id, crc, size, slots: int):
+    """The slot of a record for good: by its id, or by its text where that is null."""
+    return F.pmod(F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(crc, size)), F.lit(slots)).cast("int")
 
 
 def slot_rows(docs: DataFrame, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, size, text_crc32, virtual_slot)."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text_crc32", "size"))
-    return base.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    return base.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots))
 
 
 def assign(weights: dict[int, int], shards: int, slots: int) -> dict[int, int]:
@@ -115,8 +119,18 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, store: str | Non
     return place(rows, maps.frame())
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, parts: int = 8) -> None:
-    """Writes all rows of docs into shard=N folders, each by `parts` tasks. docs must be those that were placed, read from files: rows meet by number."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = numbered.join(placed.select(F.col("row").alias("_row"), "shard", "virtual_slot"), "_row").drop("_row")
-    found.repartition(F.col("shard"), F.col("virtual_slot") % parts).drop("virtual_slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = 4096, file_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes all rows of docs, with all their columns, into shard=N folders by a version of the map that was made for them.
+
+    A row finds its shard by its own slot, so nothing is joined but the map (one row per slot). Texts are shuffled once, into
+    files of some file_bytes of text (by the bytes in the map); a hot slot is dealt to as many tasks as its shard has files.
+    """
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    most = slot_map.groupBy("shard").agg(F.sum("bytes").alias("bytes")).agg(F.coalesce(F.max("bytes"), F.lit(0)), F.count("*")).first()
+    parts = max(-(-most[0] // file_bytes), 1)
+    slot, part, shard = fresh(docs, "virtual_slot"), fresh(docs, "part"), "shard"
+    if fresh(docs, shard) != shard:
+        raise ValueError("docs have a column named shard, which is the name of the folders")
+    named = docs.withColumn(slot, virtual_slot(F.col(id_col).cast("long"), F.crc32(raw), F.octet_length(raw).cast("long") + 1, slots))
+    named = named.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias(slot), shard)), slot).withColumn(part, F.pmod(F.xxhash64(id_col, F.crc32(raw)), F.lit(parts)))
+    named.repartition(max(most[1] * parts, 1), shard, part).drop(slot, part).write.partitionBy(shard).parquet(path)

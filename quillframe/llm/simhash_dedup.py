@@ -14,7 +14,8 @@ components. (For radius 1 the point of a star is the fingerprint with one bit ma
 
 Defined results: null and blank texts have fingerprint 0 and link like any other; rows with null ids are grouped, but the
 id of a component is its smallest non-null id (null if there is none). Repeated ids are separate rows.
-An empty table gives an empty result. Extra columns are neither read nor returned by `near_groups`.
+An empty table gives an empty result. Extra columns are neither read nor returned by `near_groups`; `keep_one` returns
+them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_KEYS, Scratch, ascii_lower, fingerprint_of, give_back, hex16, shingle_at, ship, split_lookup, votes, without, words_of
+from .common import HOT_KEYS, Scratch, ascii_lower, fingerprint_of, give_back, hex16, light, numbered, shingle_at, ship, split_lookup, votes, without, words_of
 from .components import components
 
 
@@ -126,12 +127,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return split_lookup(rows, table, "fp", total).select("row", "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "group_rows")
 
 
-#: Rounds in which shared shingles are compared with one centre each before all remaining pairs are.
-STARS = 3
+#: Rounds, at least and at most, in which shared shingles are compared with one centre each before all remaining pairs are.
+STARS, MOST_STARS = 2, 10
+#: All remaining pairs are compared once they are at most this many for each row of a shared shingle.
+EACH = 16
 #: Shingles that at least SEEN of every SAMPLEth document have are put last in the order of shingles (the most frequent OFTEN of them).
 SAMPLE, SEEN, OFTEN = 16, 8, 100_000
-#: Rows of a shared shingle that one task pairs with all the others.
-BLOCK = 2000
+#: Rows of a shared shingle that one task pairs with all the others; pairs of one row that one task compares.
+BLOCK, SHARE = 2000, 1000
 
 
 def _mix(h, seed: int):
@@ -159,6 +162,17 @@ def shingle_set(text: str | None, shingle: int):
     return np.unique(_mix(total, shingle))
 
 
+def voted(hashes) -> int:
+    """The SimHash of a set: a bit is 1 if over half the hashes have it."""
+    import numpy as np
+
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 15)]).astype("<u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def prefix_of(hashes, similarity: float, often, rank):
     """The hashes one of which any set of at least that similarity shares: the first in an order with the frequent ones (`often`, sorted) last."""
     import numpy as np
@@ -170,35 +184,26 @@ def prefix_of(hashes, similarity: float, often, rank):
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else hashes
 
 
-def _signatures(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+def _lists(arrays: list):
+    import numpy as np
 
-        for b in batches:
-            out = np.zeros((3, b.num_rows), dtype=np.int64)
-            for i, text in enumerate(b.column(1)):
-                s = shingle_set(text.as_py(), shingle)
-                out[:, i] = len(s), s.sum(dtype=np.uint64).view(np.int64), _mix(s, 77).sum(dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], ["row", "n", "s1", "s2"])
-        give_back()
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *[x.view(np.int64) for x in arrays]])))
 
-    return run
 
-
-def _tokens(shingle: int, similarity: float, often, rank):
-    """(row, n, at, h): the prefix of each row's set of n shingles with places in it."""
+def _described(shingle: int, similarity: float, often, rank):
+    """(row, n, s1, s2, fp, prefix): size, 128-bit digest and SimHash of each row's shingle set, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
-            parts = [prefix_of(s, similarity, often, rank) for s in sets]
-            sizes = [len(p) for p in parts]
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *parts]).view(np.int64)
-            places = np.concatenate([np.zeros(0, dtype=np.int32), *[np.arange(k, dtype=np.int32) for k in sizes]])
-            columns = [np.repeat(b.column(0).to_numpy(), sizes), np.repeat(np.array([len(s) for s in sets], dtype=np.int32), sizes), places, flat]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "n", "at", "h"])
+            out, prefixes = np.zeros((4, b.num_rows), dtype=np.int64), []
+            for i, text in enumerate(b.column(1)):
+                s = shingle_set(text.as_py(), shingle)
+                out[:, i] = len(s), s.sum(dtype=np.uint64).view(np.int64), _mix(s, 77).sum(dtype=np.uint64).view(np.int64), voted(s)
+                prefixes.append(prefix_of(s, similarity, often, rank))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out), _lists(prefixes)], ["row", "n", "s1", "s2", "fp", "prefix"])
         give_back()
 
     return run
@@ -206,13 +211,8 @@ def _tokens(shingle: int, similarity: float, often, rank):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["row", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t.as_py(), shingle) for t in b.column(1)])], ["row", "set"])
         give_back()
 
     return run
@@ -230,15 +230,9 @@ def _frequent(texts: DataFrame, shingle: int):
     return hashes[order], (len(top) - np.arange(len(top)))[order]
 
 
-def _met(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge"), "row")
-
-
-def _star_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _star_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each row with the centre that it meets at most of its shingles (and at a twentieth of them), unless both are in one component already."""
-    met = members.filter("row != centre").groupBy("row", "n", "comp", "centre").count().filter(F.col("count") >= 0.05 * F.col("n"))
-    if roots is not None:
-        met = met.join(roots.select(F.col("node").alias("centre"), "root"), "centre", "left").filter(F.coalesce("root", "centre") != F.col("comp"))
+    met = members.filter("row != centre and comp != centre_comp").groupBy("row", "n", "centre").count().filter(F.col("count") >= 0.05 * F.col("n"))
     best = met.groupBy("row").agg(F.max(F.struct("count", "centre")).alias("best"))
     return best.select(F.least("row", "best.centre").alias("a"), F.greatest("row", "best.centre").alias("b")).distinct()
 
@@ -262,55 +256,115 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return shared.filter(can).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """(a, b): pairs of row numbers of docs whose word shingles have at least that Jaccard similarity; components are those of all such pairs.
+class _Links:
+    """The verified links found so far, and the components that they make."""
+
+    def __init__(self, texts: DataFrame, shingle: int, similarity: float):
+        self.texts, self.shingle, self.similarity = texts, shingle, similarity
+        self.tmp, self.found, self.sizes = Scratch(texts.sparkSession, "links"), [], []
 
-    docs must be read from files; rows are numbered by monotonically_increasing_id. No candidate is left out: in any common
-    order of shingles, two sets of a similarity of t share one of the first n - ceil(t * n) + 1 of each, n being its size. So these are
-    joined, and the sets then decide exactly. The order is that of the hashes, with frequent shingles last.
+    def add(self, links: DataFrame) -> int:
+        self.found.append(self.tmp.keep(links, f"links{len(self.found)}"))
+        self.sizes.append(self.found[-1].count())
+        return self.sizes[-1]
 
-    Rows of equal sets (by 128 bits) are one class and meet only once. Of the rest, a shared shingle whose rows are of several
-    components first compares each with a centre, STARS times; then all pairs that are in different components still are compared.
+    def verify(self, pairs: DataFrame) -> int:
+        """Adds those of the pairs (a, b) whose shingle sets are similar; each set is made once, from the whole text."""
+        pairs = self.tmp.keep(pairs, "pairs")
+        asked = self.tmp.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+        sets = self.tmp.keep(self.texts.join(light(asked), "row").mapInArrow(_sets(self.shingle), "row bigint, set array<bigint>"), "sets")
+        both = self._beside(self._beside(pairs, sets, "a", "b", "x"), sets, "b", "a", "y")
+        common = F.size(F.array_intersect("x", "y"))
+        n = self.add(both.filter(common >= self.similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        self.tmp.drop("sets", "asked", "pairs")
+        return n
+
+    def _beside(self, pairs: DataFrame, sets: DataFrame, row: str, other: str, name: str) -> DataFrame:
+        """pairs with the set of `row`. A row with over SHARE pairs is dealt, with copies of its set, to as many tasks as it takes."""
+        hot = self.tmp.keep(self.pairs_of(pairs, row), f"hot_{name}")
+        dealt = pairs.join(light(hot), row, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)))
+        copies = sets.withColumnsRenamed({"row": row, "set": name}).join(light(hot), row, "left").select(row, name, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+        return dealt.drop("parts").join(copies, [row, "part"]).drop("part")
+
+    @staticmethod
+    def pairs_of(pairs: DataFrame, row: str) -> DataFrame:
+        return pairs.groupBy(row).agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts")).filter("parts > 1")
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.found)
+
+    def roots(self) -> DataFrame:
+        """Of the rows that stand for their classes."""
+        return components(reduce(DataFrame.unionByName, self.found[1:]))
+
+
+def _hamming_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b) by deletion-variant signatures. sets: row, fp. Rows of a fingerprint meet its first one, and first rows of linked fingerprints each other."""
+    tmp = Scratch(sets.sparkSession, "hamming-pairs")
+    fps = tmp.keep(sets.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")), "fps")
+    crowded = fps.filter("group_rows > 1")
+    same = split_lookup(sets.select("row", "fp"), crowded, "fp", sets.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    near = tmp.keep(hamming_links(fps.select("fp"), radius), "near")
+    first = fps.select("fp", "first")
+    met = near.join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
+    return same.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", row_col: str = "row", radius: int = 2) -> DataFrame:
+    """(a, b): pairs of rows whose word shingles have at least that Jaccard similarity; their components are those of all such pairs.
+
+    rows: a column row_col with distinct numbers, the same in each scan. Rows of equal sets (by 128 bits) are one class and meet once.
+
+    1. Deletion-variant signatures: the sets' SimHashes within `radius` bits give pairs, which the sets decide exactly. This finds
+       the close copies, and joins large groups of them by stars.
+    2. A copy of which a fifth was cut off differs in nine bits of 64 on average, beyond any radius that can be indexed. The
+       rest is therefore found exactly, and no candidate is left out: in any common order of shingles, two sets of a similarity
+       of t share one of the first n - ceil(t * n) + 1 of each, n being its size. These prefixes are joined. The order is that
+       of the hashes, with frequent shingles last.
+
+    A shared shingle whose rows are of several components first compares each with a centre, at least STARS times and as long as
+    that leaves many pairs; then all pairs that are in different components still are compared.
     """
-    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "similar")
+    spark, tmp = rows.sparkSession, Scratch(rows.sparkSession, "similar")
     ship(spark)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = tmp.keep(texts.mapInArrow(_signatures(shingle), "row bigint, n bigint, s1 bigint, s2 bigint").select("row", F.struct("n", "s1", "s2").alias("class")), "rows")
-    classes = tmp.keep(rows.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")).filter("group_rows > 1"), "classes")
-    inside = split_lookup(rows, classes, "class", rows.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    links = [tmp.keep(inside, "inside")]
-    single = without(texts.withColumn("_row", F.col("row")), links[0].select(F.col("b").alias("_row")))
-    prefixes = tmp.keep(single.mapInArrow(_tokens(shingle, similarity, *_frequent(texts, shingle)), "row bigint, n int, at int, h bigint"), "prefixes")
-    met, roots = prefixes.withColumn("comp", F.col("row")), None
-    for n in range(STARS + 1):
-        turn = F.xxhash64("h", F.lit(n)) if n else F.lit(0).cast("long")  # which row of a shingle is the centre
-        seen = met.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group_rows"), F.min(F.col("row").bitwiseXOR(turn)).alias("turned"))
-        mixed = tmp.keep(seen.filter("lo < hi").select("h", "group_rows", F.col("turned").bitwiseXOR(turn).alias("centre")), f"mixed{n}")
-        members = tmp.keep(split_lookup(met.select("h", "row", "n", "at", "comp"), mixed, "h", met.count()), f"members{n}")
-        if members.isEmpty():
+    texts = rows.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = "row bigint, n bigint, s1 bigint, s2 bigint, fp bigint, prefix array<bigint>"
+    made = texts.mapInArrow(_described(shingle, similarity, *_frequent(texts, shingle)), schema)
+    made = tmp.keep(made.select("row", F.struct("n", "s1", "s2").alias("class"), "fp", "prefix"), "made")
+    classes = tmp.keep(made.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")).filter("group_rows > 1"), "classes")
+    links = _Links(texts, shingle, similarity)
+    links.add(split_lookup(made.select("row", "class"), classes, "class", made.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")))
+    single = made.join(light(links.found[0].select(F.col("b").alias("row"))), "row", "left_anti").select("row", F.col("class.n").cast("int").alias("n"), "fp", "prefix")
+    links.verify(_hamming_pairs(single, radius))
+    tokens = single.select("row", "n", F.posexplode("prefix").alias("at", "h"))
+    often = tmp.keep(tokens.groupBy("h").agg(F.count("*").alias("group_rows")).filter("group_rows > 1"), "often")
+    met = tmp.keep(split_lookup(tokens.select("h", "row", "n", "at"), often, "h", often.agg(F.coalesce(F.sum("group_rows"), F.lit(0))).first()[0]), "met")
+    tmp.drop("made", "often")
+    for turn in range(MOST_STARS + 1):
+        roots = tmp.keep(links.roots(), f"roots{turn}")
+        tied = tmp.keep(met.select("h", "row", "n", "at").join(light(roots.withColumnsRenamed({"node": "row", "root": "comp"})), "row", "left").withColumn("comp", F.coalesce("comp", "row")), f"tied{turn}")
+        key = F.col("row").bitwiseXOR(F.xxhash64("h", F.lit(turn)) if turn else F.lit(0).cast("long"))  # which row of a shingle is the centre
+        seen = tied.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("group_rows"), F.min(F.struct(key, "row", "comp")).alias("best"))
+        mixed = tmp.keep(seen.filter("lo < hi").select("h", "group_rows", F.col("best.row").alias("centre"), F.col("best.comp").alias("centre_comp")), f"mixed{turn}")
+        members, pairs = mixed.agg(F.coalesce(F.sum("group_rows"), F.lit(0)), F.coalesce(F.sum(F.col("group_rows") * (F.col("group_rows") - 1) / 2), F.lit(0.0))).first()
+        if not members:
             break
-        tmp.drop(f"met{n - 1}" if n else "prefixes")
-        pairs = tmp.keep(_star_pairs(members, roots) if n < STARS else _all_pairs(members, similarity), f"pairs{n}")
-        asked = tmp.keep(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), f"asked{n}")
-        sets = tmp.keep(_met(texts, asked).mapInArrow(_sets(shingle), "row bigint, set array<bigint>"), f"sets{n}")
-        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        links.append(tmp.keep(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{n}"))
-        tmp.drop(f"sets{n}")
-        if n < STARS:
-            roots = tmp.keep(components(reduce(DataFrame.unionByName, links[1:])), f"roots{n}")
-            joined = members.drop("comp").join(roots.withColumnRenamed("node", "row"), "row", "left")
-            met = tmp.keep(joined.select("h", "row", "n", "at", F.coalesce("root", "row").alias("comp")), f"met{n}")
-            tmp.drop(f"members{n}")
-    return reduce(DataFrame.unionByName, links)
+        met = tmp.keep(split_lookup(tied, mixed, "h", members), f"met{turn}")
+        tmp.drop(f"met{turn - 1}" if turn else "met", f"tied{turn}")
+        last = turn >= STARS and (pairs <= EACH * members or not links.sizes[-1] or turn == MOST_STARS)
+        links.verify(_all_pairs(met, similarity) if last else _star_pairs(met))
+        if last:
+            break
+    return links.all()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: of each group of similar texts the one with the smallest id. docs must be read from files."""
+    """The rows that stay, with all their columns: of each group of similar texts the one with the smallest id."""
     tmp = Scratch(docs.sparkSession, "simhash-kept")
-    roots = components(similar_links(docs.select(id_col, text_col), shingle, similarity, text_col))
-    numbered = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"))
-    grouped = tmp.keep(numbered.join(roots, "node"), "grouped")
+    rows, row = numbered(docs, tmp)
+    roots = tmp.keep(components(similar_links(rows, shingle, similarity, text_col, row)), "roots")
+    ids = rows.select(F.col(row).alias("node"), F.col(id_col).alias("id"))
+    grouped = tmp.keep(ids.join(light(roots), "node"), "grouped")
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")).select(F.col("best.node").alias("node"))
-    dropped = tmp.keep(grouped.join(stay, "node", "left_anti").select(F.col("node").alias("_row")), "dropped")
-    return without(docs.withColumn("_row", F.monotonically_increasing_id()), dropped)
+    dropped = tmp.keep(grouped.join(stay, "node", "left_anti").select(F.col("node").alias(row)), "dropped")
+    return without(rows, dropped, row)

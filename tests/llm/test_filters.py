@@ -244,8 +244,9 @@ def test_written_shards_have_all_rows(spark, tmp_path):
     rows = [(i % 40, f"text {i}") for i in range(120)] + [(None, f"none {i}") for i in range(30)] + [(None, None), (3, "text 3")]
     table(spark, rows).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    placed = sharding.shard(docs, shards=4, slots=64)
-    sharding.write_shards(docs, placed, str(tmp_path / "out"), parts=2)
+    store = str(tmp_path / "map")
+    placed = sharding.shard(docs, shards=4, slots=64, store=store)
+    sharding.write_shards(docs, sharding.SlotMap(spark, store).frame(), str(tmp_path / "out"), slots=64, file_bytes=100)
     got = Counter((x.doc_id, zlib.crc32((x.text or "").encode()), x.shard) for x in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == Counter((x.doc_id, x.text_crc32, x.shard) for x in placed.collect()) and got.total() == len(rows)
 
