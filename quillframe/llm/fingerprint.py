@@ -10,13 +10,12 @@ are cut into `blocks` blocks; a pair within the radius agrees on at least blocks
 many blocks there is one table whose key is those blocks' bits; queries and fingerprints meet by equality of table and
 key and are verified. Equal fingerprints are folded into one class before.
 
-`with_next` pairs every text with the next one in descending order of id without a global sort: ids are cut at
-quantiles into ranges, each range's rows meet in one task, and the first row of a range is also sent, as a guest, to
-the range before it.
+`with_next` pairs every text with the next one in descending order of id without a global sort: the order (id, then a hash of
+the text) is cut at quantiles of a sample into ranges of some RANGE_BYTES of text, each range's rows meet in one task, and the
+first row of a range is also sent, as a guest, to the range before it. Null and repeated ids are cut by the hash like others.
 
-Defined results: a null text counts as empty; a text without words has fingerprint 0. Null ids come last. Rows with one
-id are ordered by text. The only row of a table is its own next. An empty table gives an empty result. Extra columns are
-not read.
+Defined results: a null text counts as empty; a text without words has fingerprint 0. Null ids come last. The only row of a table is its own next. An empty table gives an empty result. Extra columns are
+not read. The order of rows with one id, and of those without an id, is that of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -27,9 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fingerprint_of, hex16, votes, words_of
+from .common import Scratch, fingerprint_of, hex16, split_lookup, votes, words_of
 
 LONGEST = 24
+#: Text of one range, ranges at most (their cuts are one row that is broadcast), and sampled rows for each cut.
+RANGE_BYTES, RANGES, SAMPLES = 64 << 20, 50_000, 20
 
 
 def fingerprinted(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -46,39 +47,51 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def _ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, DataFrame]:
-    """The range (0 has the largest ids) of an id, found in two levels, and (range, top, before): its largest id and the range before it."""
-    cuts = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
+def _place() -> Column:
+    """Where a row stands in the descending order: its id (null is lowest), then a hash of its text."""
+    return F.struct("doc_id", "h")
+
+
+def _cuts(light: DataFrame, parts: int | None) -> DataFrame:
+    """One row: chunks of places that cut the order into ranges of about equal numbers of rows, and how many cuts follow each chunk."""
+    spark = light.sparkSession
+    total = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = parts or min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total[1] // RANGE_BYTES)), RANGES)
+    every = max(total[0] // (SAMPLES * parts), 1)
+    sample = light.filter(F.pmod(F.xxhash64("doc_id", "h", F.monotonically_increasing_id()), F.lit(every)) == 0)
+    number = F.row_number().over(Window.orderBy("doc_id", "h"))  # some SAMPLES * parts rows
+    rows = sample.withColumn("n", number).filter(F.col("n") % SAMPLES == 0).select("doc_id", "h").distinct().collect()  # parts rows or so
+    cuts = sorted(((r.doc_id, r.h) for r in rows), key=lambda x: (x[0] is not None, x))
     step = max(math.isqrt(len(cuts)), 1)
     chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    key = F.col(id_col)
-    if chunks:
-        # Chunks that begin above the id lie wholly above it; the one before them is searched.
-        above = F.size(F.filter(F.array(*[F.lit(c[0]).cast("long") for c in chunks]), lambda b: b > key))
-        inner = F.array(*[F.array(*[F.lit(x).cast("long") for x in c]) for c in chunks])
-        mine = F.get(inner, F.lit(len(chunks) - 1) - above)
-        after = F.array(*[F.lit(len(cuts) - i) for i in range(0, len(cuts), step)])  # cuts from chunk i on
-        beyond = F.when(above == 0, F.lit(0)).otherwise(F.get(after, F.lit(len(chunks)) - above))
-        number = F.when(key.isNull(), F.lit(len(cuts) + 1)).otherwise(beyond + F.coalesce(F.size(F.filter(mine, lambda b: b > key)), F.lit(0)))
-    else:
-        number = F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0))
-    tops = docs.select(number.alias("range"), key.alias("id")).groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()  # one row per range
-    rows = [(r["range"], r["top"], tops[i - 1]["range"]) for i, r in enumerate(tops)]
-    return number, docs.sparkSession.createDataFrame(rows, "range int, top bigint, before int")
+    beyond = [len(cuts) - min(i + step, len(cuts)) for i in range(0, len(cuts), step)]
+    return spark.createDataFrame([([c[0] for c in chunks], chunks, beyond, len(cuts))], "firsts array<struct<doc_id:bigint,h:bigint>>, chunks array<array<struct<doc_id:bigint,h:bigint>>>, beyond array<int>, cuts int")
+
+
+def _number() -> Column:
+    """The range of a row beside the one row of cuts: how many cuts are above its place. The chunk to search is found first."""
+    place = _place()
+    above = F.size(F.filter("firsts", lambda b: b > place))  # chunks that begin above it lie wholly above it
+    mine = F.size("firsts") - 1 - above
+    inside = F.size(F.filter(F.get("chunks", mine), lambda b: b > place))
+    return F.when(mine < 0, F.col("cuts")).otherwise(F.get("beyond", mine) + inside).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """range, place, guest, doc_id, text, next_text: place numbers a range's rows; guests, last, are copies of the next range's first row."""
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    number, tops = _ranges(base.select("doc_id"), "doc_id", parts)
-    placed = base.withColumn("range", number).join(F.broadcast(tops), "range")  # one row per range
+    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "next")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    light = tmp.keep(base.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")), "light")
+    cuts = F.broadcast(tmp.keep(_cuts(light, parts), "cuts"))  # one row
+    found = light.join(cuts).select(_number().alias("range"), _place().alias("at")).groupBy("range").agg(F.max("at").alias("top"))
+    tops = found.orderBy("range").collect()  # one row per range
+    rows = [(r["range"], r["top"], tops[i - 1]["range"]) for i, r in enumerate(tops)]
+    tops = spark.createDataFrame(rows, "range int, top struct<doc_id:bigint,h:bigint>, before int")
+    placed = base.join(cuts).select("doc_id", "h", "text", _number().alias("range")).join(F.broadcast(tops), "range")
     home = F.struct(F.col("range"), F.lit(False).alias("guest"))
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(home, F.struct(F.col("before").alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(home))))
-    dealt = dealt.select("to.range", "to.guest", "doc_id", "text")
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    both = F.array(home, F.struct(F.col("before").alias("range"), F.lit(True).alias("guest")))
+    dealt = placed.withColumn("to", F.explode(F.when(_place() == F.col("top"), both).otherwise(F.array(home)))).select("to.range", "to.guest", "doc_id", "h", "text")
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), "text")
     return dealt.select("range", F.row_number().over(order).alias("place"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
@@ -126,7 +139,7 @@ def fingerprint_report(docs: DataFrame, radius: int = 3, blocks: int = 6, every:
     rows = tmp.keep(fingerprint_edits(docs), "rows")
     classes = tmp.keep(rows.groupBy("fp").agg(F.count("*").alias("docs"), F.max(F.pmod("doc_id", F.lit(every)) == 0).alias("asked")), "classes")
     found = within_radius(classes.filter("asked").select("fp"), classes.select("fp"), radius, blocks)
-    near = found.join(classes.select("fp", "docs"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near_classes"), F.sum("docs").alias("near_documents"))
+    near = found.join(classes.select("fp", "docs"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near_classes"), F.sum("docs").alias("near_documents"), F.max(F.when(F.col("fp") == F.col("query_fp"), F.col("docs"))).alias("group_rows"))
     asked = F.pmod("doc_id", F.lit(every)) == 0
-    told = rows.filter(asked).join(near, "fp", "left").unionByName(rows.filter(F.coalesce(~asked, F.lit(True))), allowMissingColumns=True)
+    told = split_lookup(rows.filter(asked), tmp.keep(near, "near"), "fp", rows.count()).drop("group_rows").unionByName(rows.filter(F.coalesce(~asked, F.lit(True))), allowMissingColumns=True)
     return told.select("doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "near_classes", "near_documents")
