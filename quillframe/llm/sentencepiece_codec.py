@@ -39,7 +39,8 @@ from .common import give_back, ship
 
 SPACE = "▁"
 CHUNK = 1 << 19
-CACHE = 100_000
+#: Bytes of words and ids that a worker keeps (and as many from before), what a kept word costs besides, and the longest word that is kept.
+CACHE_BYTES, EACH_WORD, KEPT_WORD = 16 << 20, 200, 100
 SLICE = 1 << 22  # characters of text that are worked on at a time
 LONG = 40
 GAP = 0x110000  # between words; no code point
@@ -318,10 +319,10 @@ class _Chunk:
 
 
 class Codec:
-    """Encodes batches of texts and decodes ids. Keeps the ids of the last CACHE words and some, and as many before those."""
+    """Encodes batches of texts and decodes ids. Keeps the ids of short words it has met lately, within CACHE_BYTES, and as many of those before."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known, self.older = vocabulary, {}, {}
+        self.v, self.known, self.older, self.held = vocabulary, {}, {}, 0
         self.bytes_of = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in vocabulary.names.items()}
         self.bytes_of |= {i: bytes([b]) for b, i in vocabulary.byte_ids.items()} | {vocabulary.unk_id: " ⁇ ".encode()}
         spans = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=0) + 1)] + [b""]  # the last: ids that mean no text
@@ -340,11 +341,12 @@ class Codec:
         """The ids of each text, as little-endian 32-bit numbers."""
         split = [self.words(t) for t in texts]
         need = set().union(*split)
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         missing = need.difference(self.known)
         again = missing.intersection(self.older)
         self.known |= {w: self.older[w] for w in again}
+        self.held += sum(EACH_WORD + len(w) + len(self.older[w]) for w in again)
         new, at = list(missing - again), 0
         while at < len(new):
             chunk, size = [], 0
@@ -354,7 +356,13 @@ class Codec:
                 at += 1
             self.known |= zip(chunk, _Chunk(chunk, self.v).ids())
         of = self.known.__getitem__
-        return [b"".join(map(of, ws)) for ws in split]
+        out = [b"".join(map(of, ws)) for ws in split]
+        for w in new:
+            if len(w) > KEPT_WORD:  # in scripts without spaces a word is a whole text
+                del self.known[w]
+            else:
+                self.held += EACH_WORD + len(w) + len(self.known[w])
+        return out
 
     def decode(self, texts: list[bytes]) -> list[str]:
         """Texts of ids: the bytes of all pieces are gathered at once."""

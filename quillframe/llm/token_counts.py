@@ -39,13 +39,17 @@ def lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text
     return parts.groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
-def suffix_sums(hist: DataFrame) -> DataFrame:
-    """For each length as a context limit: what is at least as long, what is cut, and the total after truncation.
+def suffix_sums(hist: DataFrame, limits: list[int] | None = None) -> DataFrame:
+    """For each length, and each of `limits`, as a context limit: what is longer, what is cut, and the total after truncation.
 
-    quantile is the share of documents that fit into the limit. A limit between two lengths has the larger one's
-    documents and tokens in docs_longer/tokens_longer; see `at_limits`.
+    quantile is the share of documents that fit into the limit. A limit that no document has for its length is a length of no
+    documents. Over an empty histogram the limits have no totals, and nothing is returned.
     """
-    hist = Scratch(hist.sparkSession, "token-counts").keep(hist, "hist")  # it is read twice, encoded once
+    spark = hist.sparkSession
+    hist = Scratch(spark, "token-counts").keep(hist, "hist")  # it is read several times, encoded once
+    if limits:
+        asked = spark.createDataFrame([(int(x), 0) for x in set(limits)], "length bigint, docs bigint")
+        hist = hist.unionByName(asked).groupBy("length").agg(F.sum("docs").alias("docs"))
     base = hist.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = base.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,16 +59,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     inside = Window.partitionBy("block").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
     got = base.select("*", F.coalesce(F.sum("docs").over(inside), zero).alias("d_in"), F.coalesce(F.sum("tokens").over(inside), zero).alias("t_in")).join(blocks, "block")
     longer, tokens = F.col("d_in") + F.col("d_later"), F.col("t_in") + F.col("t_later")
-    return got.select(
+    return got.filter("d_all > 0").select(
         "length", "docs", "tokens", longer.alias("docs_longer"), tokens.alias("tokens_longer"), F.col("d_all").alias("docs_all"), F.col("t_all").alias("tokens_all"),
         (F.col("t_all") - tokens + longer * F.col("length")).alias("truncated_tokens"), ((F.col("d_all") - longer) / F.col("d_all")).alias("quantile"),
     )
-
-
-def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """limits: column `limit`. Total, cut documents and truncated total at any limit, observed as a length or not."""
-    spans = sums.select("length", "docs_longer", "tokens_longer", "tokens_all", F.lead("length").over(Window.partitionBy().orderBy("length")).alias("next"))
-    met = limits.join(spans, (F.col("limit") >= F.col("length")) & (F.col("next").isNull() | (F.col("limit") < F.col("next"))), "left")
-    whole = sums.agg(F.max("docs_all").alias("d"), F.max("tokens_all").alias("t"))
-    longer, tokens = F.coalesce("docs_longer", "d"), F.coalesce("tokens_longer", "t")
-    return met.crossJoin(F.broadcast(whole)).select("limit", longer.alias("docs_cut"), F.col("t").alias("tokens_all"), (F.col("t") - tokens + longer * F.col("limit")).alias("truncated_tokens"))

@@ -100,13 +100,16 @@ def test_token_histogram_and_suffix_sums(spark):
         assert r.tokens_longer == sum(n for n in lengths if n > r.length)
         assert r.truncated_tokens == sum(min(n, r.length) for n in lengths)
         assert abs(r.quantile - sum(n <= r.length for n in lengths) / len(lengths)) < 1e-12
-    limits = spark.createDataFrame([(0,), (1,), (7,), (1000,), (10**6,)], "limit bigint")
-    for r in token_counts.at_limits(token_counts.suffix_sums(token_counts.lengths(docs(spark))), limits).collect():
-        assert r.truncated_tokens == sum(min(n, r.limit) for n in lengths) and r.docs_cut == sum(n > r.limit for n in lengths)
+    limits = [0, 1, 7, 1000, 10**6]
+    told = {r.length: r for r in token_counts.suffix_sums(token_counts.lengths(docs(spark)), limits).collect()}
+    assert set(told) == set(lengths) | set(limits)
+    for x, r in told.items():
+        assert r.docs == lengths.count(x) and r.truncated_tokens == sum(min(n, x) for n in lengths) and r.docs_longer == sum(n > x for n in lengths)
 
 
 def test_counting_nothing(spark):
-    assert token_counts.suffix_sums(token_counts.lengths(spark.createDataFrame([], SCHEMA))).collect() == []
+    empty = token_counts.lengths(spark.createDataFrame([], SCHEMA))
+    assert token_counts.suffix_sums(empty).collect() == [] and token_counts.suffix_sums(empty, [5]).collect() == []
 
 
 ODD = ["  a  b\nc é☃ \U0001f600 x▁y", "", " ", "a" * 3000, "ab\x00c￿d", "<0x0A><s></s><unk>", "x" * 41 + " " + "the" * 30, "İİ ﬁ", "   ", " lead", "trail ", "The quick brown fox. " * 40]
@@ -121,6 +124,17 @@ def test_codec_equals_the_library():
     assert mine.decode(ids) == [sp.decode(sp.encode(t)) for t in ODD]
 
 
+def test_codec_keeps_few_bytes(monkeypatch):
+    """Long words are not kept, short ones within a bound, and what was dropped is encoded again."""
+    whole = codec.Codec(codec.Vocabulary.read(codec.default_model()))
+    monkeypatch.setattr(codec, "CACHE_BYTES", 2000)
+    mine = codec.Codec(whole.v)
+    texts = [f"word{i % 40} {'é' * (i % 150)} tail{i % 7}" for i in range(300)] + ODD
+    for at in range(0, len(texts), 10):
+        assert mine.encode(texts[at : at + 10]) == whole.encode(texts[at : at + 10])
+        assert max(map(len, [*mine.known, *mine.older])) <= codec.KEPT_WORD and len(mine.known) + len(mine.older) < 150
+
+
 def test_codec_frames(spark):
     df = spark.createDataFrame([*((i, t, "keep") for i, t in enumerate(ODD)), (99, None, None)], "doc_id bigint, text string, other string")
     both = codec.decode(codec.encode(df)).collect()
