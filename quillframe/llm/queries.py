@@ -19,7 +19,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.lengths(_docs(spark, sf_dir)))
+    return token_counts.suffix_sums(token_counts.lengths(_docs(spark, sf_dir)), limits=[512, 1024, 2048, 4096, 8192, 16384, 32768])
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.synthetic_findings(spark))
-    return secret_scan.scan(_docs(spark, sf_dir), model).drop("row")
+    docs = _docs(spark, sf_dir)
+    language = secret_scan.learn_words(docs)
+    model = secret_scan.train(secret_scan.synthetic_findings(spark, language=language), language)
+    return secret_scan.scan(docs, model).drop("row")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
