@@ -94,6 +94,53 @@ def histogram_correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float((x * y).sum() / norm) if norm else 1.0
 
 
+def _slid(z: np.ndarray, height: int, width: int, best) -> np.ndarray:
+    """The largest or smallest value under a window around each pixel; windows end at the edges."""
+    edge = -np.inf if best is np.max else np.inf
+    for axis, n in ((0, height), (1, width)):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (n // 2, n // 2)
+        z = best(np.lib.stride_tricks.sliding_window_view(np.pad(z, pad, constant_values=edge), n, axis), axis=-1)
+    return z
+
+
+def text_density(image: np.ndarray) -> float:
+    """Share of pixels in closed areas (15 x 3) of what is 10 darker than its Gaussian surroundings (15 taps)."""
+    g = grey(image).astype(float)
+    sigma = 0.3 * ((15 - 1) * 0.5 - 1) + 0.8
+    taps = np.exp(-((np.arange(15) - 7) ** 2) / (2 * sigma**2))
+    taps /= taps.sum()
+    mean = g
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (7, 7)
+        mean = np.lib.stride_tricks.sliding_window_view(np.pad(mean, pad, mode="edge"), 15, axis) @ taps
+    ink = (g <= np.round(mean) - 10).astype(float)
+    return float((_slid(_slid(ink, 3, 15, np.max), 3, 15, np.min) > 0).mean())
+
+
+def hash_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """First pass of the change detector: share of equal low frequencies."""
+    return float((dct_hash(a) == dct_hash(b)).mean())
+
+
+def precise_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Second pass: 0.65 of structural similarity and 0.35 of the correlation of colour histograms."""
+    return 0.65 * ssim(a, b) + 0.35 * histogram_correlation(a, b)
+
+
+def thumbnail_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The sampler's: mean-centred correlation of 160 x 90 grey thumbnails; 1 if either is flat."""
+    x, y = shrink(a, 90, 160), shrink(b, 90, 160)
+    x, y = x - x.mean(), y - y.mean()
+    norm = np.sqrt((x * x).sum() * (y * y).sum())
+    return 1.0 if norm < 1e-6 else float((x * y).sum() / norm)
+
+
+def image(raw: bytes, height: int, width: int, channels: int = 3) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape((height, width) if channels == 1 else (height, width, channels))
+
+
 def kernel_udf(kernel: Callable[[np.ndarray], float], channels: int = 1):
     """An Arrow UDF (height, width, pixels) -> kernel value for a column of raw images; null for an unreadable one."""
     @F.pandas_udf("double")

@@ -97,6 +97,28 @@ NORMALIZATION = [
     ("managed long-term services and supports", "MLTSS", "PAYMENT_OR_DELIVERY_MODEL"), ("managed long term services and supports", "MLTSS", "PAYMENT_OR_DELIVERY_MODEL"),
 ]
 
+# The labels of the domain tagger and what they stand for.
+ENTITY_LABELS = {
+    "PROGRAM_BRAND": "State-specific Medicaid program names",
+    "PROGRAM_TYPE": "Program categories (Medicaid, CHIP, managed care, etc.)",
+    "AGENCY_OR_GOV_BODY": "Government agencies and bodies",
+    "ELIGIBILITY_GROUP": "Population/eligibility categories",
+    "PERSON_ROLE": "Roles in the Medicaid system",
+    "FINANCIAL_TERM": "Financial and eligibility terms",
+    "APPLICATION_PROCESS": "Enrollment/application process terms",
+    "BENEFIT_OR_SERVICE": "Covered benefits and services",
+    "CARE_SETTING": "Healthcare settings and facilities",
+    "PROVIDER_TYPE": "Provider categories",
+    "PAYMENT_OR_DELIVERY_MODEL": "Payment and delivery models",
+    "WAIVER_OR_AUTHORITY": "Federal waivers and authorities",
+    "DOCUMENT_OR_RECORD": "Documents, records, and forms",
+    "QUALITY_OR_COMPLIANCE": "Quality, fraud, and compliance terms",
+    "TECH_OR_SYSTEM": "Technology and system terms",
+    "SOCIAL_SUPPORT_OR_COMMUNITY_NEED": "Social determinants and community needs",
+    "LOCATION": "Geographic references",
+    "ACRONYM": "Medicaid/healthcare acronyms",
+}
+
 # The order of entity types in category maps.
 ENTITY_TYPES = """date time_value currency email phone percentage ssn ein npi medical_code claim_number group_number policy_number case_number
 address zip_code state account_number person_name organization url id_number""".split()
@@ -126,7 +148,7 @@ ENTITY_PATTERNS = [
     ("address", r"\b\d{1,6}\s+(?:[A-Z][a-z]+\s+){0,3}" + _STREET + r"\.?(?:,?\s+(?:[A-Z][a-z]+\.?\s*)+,?\s+(?:" + "|".join(STATE_CODES) + r")\s+\d{5}(?:-\d{4})?)?"),
     ("account_number", r"(?i)\b(?:(?:Account|Acct|A/C)[\s:#]*\d{6,17}|(?:Routing|ABA|RTN)[\s:#]*\d{9}|(?:IBAN)[\s:]*[A-Z]{2}\d{2}[A-Z0-9]{4,30})\b"),
     ("id_number", r"(?i)\b(?:ID[\s:]+\d{4,12}|No\.\s*\d{4,12}|#\d{4,12}|(?:License|DL|Driver'?s?\s*License)[\s:#]*[A-Z0-9]{5,15}|(?:Passport)[\s:#]*[A-Z0-9]{6,12}|(?:VIN)[\s:#]*[A-HJ-NPR-Z0-9]{17})\b"),
-    ("npi", r"(?i)(?<=\bNPI[\s:#]{1,8}|\bNational\sProvider\s(?:Identifier|ID)[\s:#]{1,8})\d{10}\b"),
+    ("npi", r"(?i)\b(?:NPI|National\s+Provider\s+(?:Identifier|ID))[\s:#]*\d{10}\b"),  # the span is that of the ten digits
     ("state", r"\b(?:" + "|".join(sorted(STATE_NAMES, key=len, reverse=True)) + r")\b"),
     ("organization", r"\b(?:[A-Z]{2,}(?:\s+[A-Z]{2,})+)\b"),
     ("organization", r"\b(?:[A-Z][A-Za-z&]+(?:\s+[A-Z][A-Za-z&]+)*)\s+" + _ORG + r"\b"),

@@ -5,44 +5,89 @@ Positions are code points from 0; ends are exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string>"
+PART = 128
+#: Put around matches while a text is cut up. Unicode keeps both for internal use; a text that has one all the same takes two passes.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Running totals (inclusive) of an array under an associative merge, in parts, so that time stays near linear in its length."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def scan(part: Column) -> Column:
+        return F.aggregate(part, empty, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) > 0, merge(F.element_at(acc, -1), v)).otherwise(v))))
+
+    def joined(inner: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast(kind)), scan(F.transform(inner, lambda p: F.element_at(p, -1))))
+        return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda p, o: F.when(o.isNull(), p).otherwise(F.transform(p, lambda v: merge(o, v)))))
+
+    parts = bound(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(PART)), lambda at: scan(F.slice(v, at, PART))))
+    return F.when(F.size(values) == 0, empty).when(F.size(values) <= PART, scan(values)).otherwise(bound(parts, joined))
 
 
 def spans(text: Column, pattern: str) -> Column:
     """All matches of a pattern that has no capturing group: array of (start, end, text).
 
-    Matches and the gaps between them, whose lengths add up to the positions.
+    One pass marks the matches; they and the gaps between them have lengths that add up to the positions.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def placed(pieces: Column) -> Column:
+        """pieces: array of (gap, hit)."""
+        ends = running(F.transform(pieces, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])), lambda a, b: a + b, "int")
+        return F.zip_with(ends, pieces, lambda end, x: F.struct((end - F.char_length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("text")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def cut(parts: Column) -> Column:
+        """parts: what OPEN separates, that is, the first gap and then hit, CLOSE, gap."""
+        gaps = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.substring_index(p, CLOSE, -1)))
+        hits = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.substring_index(p, CLOSE, 1))
+        return F.when(F.size(parts) > 1, bound(F.zip_with(F.slice(gaps, 1, F.size(parts) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), placed)).otherwise(none)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    once = bound(F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1), cut)
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    twice = bound(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), placed)
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    return F.when(marked, twice).otherwise(once)
 
 
 def resolve(items: Column, kind: str, rank: list[str] | None = None) -> Column:
     """Longest spans first, then the earlier item; whatever overlaps a kept span goes; the rest in order of start.
 
-    items: array of a struct (schema `kind`) with start and end. rank: fields that come before the length.
+    items: array of a struct (schema `kind`) with start and end (start < end). rank: fields that come before the length. Sorted by
+    start, the items fall into clusters that don't overlap each other; the choice is made in each, so that only its own size counts.
     """
-    keyed = F.transform(items, lambda x, i: F.struct(*[x[r].alias(f"r{n}") for n, r in enumerate(rank or [])], (x["start"] - x["end"]).alias("less"), i.alias("i"), x.alias("x")))
+    none = F.array().cast(f"array<{kind}>")
 
     def keep(kept: Column, y: Column) -> Column:
         x = y["x"]
         return F.when(F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"])), kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate(F.array_sort(keyed), F.array().cast(f"array<{kind}>"), keep)
-    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x.alias("x")))), lambda y: y["x"])
+    def chosen(cluster: Column) -> Column:
+        ranked = F.array_sort(F.transform(cluster, lambda y: F.struct(*[y["x"][r].alias(f"r{n}") for n, r in enumerate(rank or [])], (y["x"]["start"] - y["x"]["end"]).alias("less"), y["i"].alias("i"), y["x"].alias("x"))))
+        kept = F.aggregate(ranked, none, keep)
+        ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x.alias("x"))))
+        return F.when(F.size(cluster) == 1, F.transform(cluster, lambda y: y["x"])).otherwise(F.transform(ordered, lambda y: y["x"]))
+
+    def clusters(order: Column) -> Column:
+        reach = running(F.transform(order, lambda y: y["x"]["end"]), lambda a, b: F.greatest(a, b), "int")
+        begins = F.zip_with(order, F.concat(F.array(F.lit(None).cast("int")), F.slice(reach, 1, F.size(order) - 1)), lambda y, r: F.coalesce(y["x"]["start"] >= r, F.lit(True)))
+        at = F.filter(F.transform(begins, lambda b, i: F.when(b, i + 1)), lambda i: i.isNotNull())
+        spread = bound(at, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(order) + 1)), lambda lo, hi: F.struct(lo.alias("lo"), (hi - lo).alias("n"))))
+        return F.flatten(F.transform(spread, lambda c: chosen(F.slice(order, c["lo"], c["n"]))))
+
+    order = F.array_sort(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), i.alias("i"), x.alias("x"))))
+    return F.when(F.size(items) == 0, none).otherwise(bound(order, clusters))
 
 
 def snippets(text: Column, query: str, around: int = 60, most: int = 5) -> Column:

@@ -25,11 +25,11 @@ def tf_idf(df: DataFrame, key: str, text: str, features: int = 500, least_docs:
 
     The vocabulary, `features` words at most, is broadcast; words are counted map-side before any shuffle.
     """
-    n = df.count()
+    n = df.agg(F.count("*").alias("n"))
     counts = df.select(key, F.explode(tokens(F.col(text), stop)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
     vocabulary = counts.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= least_docs)
     vocabulary = vocabulary.orderBy(F.col("total").desc(), "word").limit(features).select("word", "df")
-    raw = counts.join(F.broadcast(vocabulary), "word").withColumn("raw", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
+    raw = counts.join(F.broadcast(vocabulary.join(F.broadcast(n))), "word").withColumn("raw", F.col("tf") * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1))  # n: one row
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "word", "tf", "df", (F.col("raw") / norm).alias("weight"))
 
@@ -83,6 +83,20 @@ def metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.agg(n.alias("n"), (F.count_if(right) / n).alias("accuracy"), u.alias("unknown"), (u / n).alias("unknown_rate"), (F.count_if(right & ~unknown) / F.nullif(n - u, F.lit(0))).alias("committed_accuracy"))
 
 
+def oov_rate(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """One row: the mean, over rows with tokens, of the share of a row's tokens that the vocabulary (column word, distinct) lacks."""
+    words = df.select(key, F.posexplode(tokens(F.col(text), [])).alias("_p", "word"))
+    known = words.join(vocabulary.select("word", F.lit(1).alias("_known")), "word", "left")
+    per = known.groupBy(key).agg((1 - F.count("_known") / F.count("*")).alias("_rate"))
+    return per.agg(F.count("*").alias("rows"), F.avg("_rate").alias("oov_rate"))
+
+
+def fold_summary(df: DataFrame, fold: str, truth: str, predicted: str) -> DataFrame:
+    """One row over the folds of a cross-validation: mean, (population) deviation, least and greatest accuracy."""
+    per = df.groupBy(fold).agg((F.count_if(F.col(truth) == F.col(predicted)) / F.count("*")).alias("_accuracy"))
+    return per.agg(F.count("*").alias("folds"), F.avg("_accuracy").alias("mean"), F.stddev_pop("_accuracy").alias("std"), F.min("_accuracy").alias("min"), F.max("_accuracy").alias("max"))
+
+
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support per label; one pass over the rows."""
     sides = df.select(F.explode(F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("hit")))).alias("s")).select("s.*")
@@ -112,15 +126,47 @@ def scale(df: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:
     return joined.withColumns({f: F.when(F.col(f"{f}_std") > 0, (F.col(f) - F.col(f"{f}_mean")) / F.col(f"{f}_std")).otherwise(0.0) for f in features}).drop(*fitted.columns)
 
 
-def train_logistic(df: DataFrame, label: str, text: str, features: int = 500):
-    """TF-IDF with logistic regression as a saveable pipeline (hashing-free, fitted on the given rows only)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+def _text_stages(label: str, text: str, features: int) -> list:
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer
 
-    stages = [
+    return [
         StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"), RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[A-Za-z0-9_]{2,}", gaps=False),
         StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=STOP_WORDS), CountVectorizer(inputCol="_t", outputCol="_tf", vocabSize=features, minDF=2.0), IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_f"), LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, family="multinomial", regParam=0.01),
+        Normalizer(inputCol="_idf", outputCol="_f"),
     ]
-    return Pipeline(stages=stages).fit(df)
+
+
+def train_logistic(df: DataFrame, label: str, text: str, features: int = 500):
+    """TF-IDF with logistic regression as a saveable pipeline (hashing-free, fitted on the given rows only)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    model = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, family="multinomial", regParam=0.01)
+    return Pipeline(stages=[*_text_stages(label, text, features), model]).fit(df)
+
+
+def train_linear_svm(df: DataFrame, label: str, text: str, features: int = 500):
+    """TF-IDF with a linear support-vector machine per label against the rest, as a saveable pipeline (margins, no probabilities)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    model = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01), featuresCol="_f", labelCol="_label")
+    return Pipeline(stages=[*_text_stages(label, text, features), model]).fit(df)
+
+
+def predicted_label(fitted, df: DataFrame, name: str = "predicted") -> DataFrame:
+    """Adds the label that a fitted pipeline predicts."""
+    from pyspark.ml.feature import IndexToString
+
+    labels = fitted.stages[0].labels
+    out = IndexToString(inputCol="prediction", outputCol=name, labels=[*labels, "Unknown"]).transform(fitted.transform(df))
+    return out.select(*df.columns, name)
+
+
+def cross_validated(df: DataFrame, label: str, key: str, text: str, train=train_logistic, k: int = 5, seed: int = 42) -> DataFrame:
+    """df with fold and predicted: each fold is predicted by a model of the others (k fits, k a small constant). See fold_summary."""
+    dealt, out = folds(df, label, key, k, seed), None
+    for i in range(k):
+        part = predicted_label(train(dealt.filter(F.col("fold") != i), label, text), dealt.filter(F.col("fold") == i))
+        out = part if out is None else out.unionByName(part)
+    return out

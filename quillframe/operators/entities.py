@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
@@ -28,7 +28,9 @@ def _trigger(text: Column, kind: str, own: bool) -> Column:
 def _found(text: Column, kind: str, pattern: str, not_names: list[str], state_codes: list[str]) -> Column:
     """Matches of one pattern as entities, without what its type excludes."""
     shown = (lambda t: mask_ssn(t)) if kind == "ssn" else (lambda t: F.btrim(t))
-    found = F.transform(spans(text, pattern), lambda s: F.struct(s["start"], s["end"], shown(s["text"]).alias("text"), F.lit(kind).alias("type")))
+    first = (lambda s: s["end"] - 10) if kind == "npi" else (lambda s: s["start"])  # the name before the digits is no part of it
+    shown = (lambda t: F.right(t, F.lit(10))) if kind == "npi" else shown
+    found = F.transform(spans(text, pattern), lambda s: F.struct(first(s).alias("start"), s["end"], shown(s["text"]).alias("text"), F.lit(kind).alias("type")))
     if kind == "organization":
         return F.filter(found, lambda s: (F.char_length(s["text"]) >= 4) & ~s["text"].isin(state_codes))
     if kind == "person_name":
@@ -55,7 +57,8 @@ def by_category(entities: Column, types: list[str] = rules.ENTITY_TYPES) -> Colu
     return F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[texts(t) for t in types]))
 
 
-LEXICON_HIT = "struct<start:int,end:int,text:string,phrase:string>"
+#: A lexicon of more phrases than this is not broadcast.
+BROADCAST_PHRASES = 100_000
 
 
 def lexicon_spans(text: Column, phrases: list[str]) -> Column:
@@ -79,7 +82,8 @@ def lexicon_entities(df: DataFrame, key: str, text: str, lexicon: list[tuple[str
     lex = spark.createDataFrame(list(last.values()), "phrase string, canonical string, label string")
     norm = spark.createDataFrame(list(normalization), "phrase string, n_canonical string, n_label string")
     hits = df.select(key, F.explode(lexicon_spans(F.col(text), list(last))).alias("e")).select(key, "e.*")
-    joined = hits.join(F.broadcast(lex), "phrase").join(F.broadcast(norm), "phrase", "left")
+    hint = F.broadcast if len(last) + len(normalization) <= BROADCAST_PHRASES else (lambda t: t)
+    joined = hits.join(hint(lex), "phrase").join(hint(norm), "phrase", "left")
     canonical = F.coalesce("n_canonical", "canonical")
     acronym = F.when((canonical == F.upper(canonical)) & (F.char_length(canonical) <= 8), canonical).otherwise(F.col("n_canonical"))
     return joined.select(key, "start", "end", "text", F.coalesce("n_label", "label").alias("label"), canonical.alias("canonical_name"), F.lit(0.95).alias("confidence"), F.lit("dictionary").alias("source"), acronym.alias("normalized_acronym"))
@@ -96,6 +100,11 @@ def layered(layers: list[DataFrame], key: str) -> DataFrame:
     return kept.select(key, F.explode(resolve(F.col("es"), kind, ["layer"])).alias("e")).select(key, "e.*")
 
 
+def label_table(spark: SparkSession, labels: dict[str, str] = rules.ENTITY_LABELS) -> DataFrame:
+    """One row per label of the domain tagger: position, label, description."""
+    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labels.items())], "position int, label string, description string")
+
+
 def label_summary(found: DataFrame, labels: list[str]) -> DataFrame:
     """One row per label, those without entities too: total and distinct canonical names."""
     every = found.sparkSession.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, position int")
@@ -110,7 +119,8 @@ def normalize(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], nor
     lex = spark.createDataFrame(list(last.values()), "_p string, _c string, _l string")
     norm = spark.createDataFrame(list(normalization), "_p string, _nc string, _nl string")
     keyed = df.withColumn("_p", F.lower(F.trim(text)))
-    joined = keyed.join(F.broadcast(norm), "_p", "left").join(F.broadcast(lex), "_p", "left")
+    hint = F.broadcast if len(last) + len(normalization) <= BROADCAST_PHRASES else (lambda t: t)
+    joined = keyed.join(hint(norm), "_p", "left").join(hint(lex), "_p", "left")
     canonical = F.coalesce("_nc", "_c")
     return joined.withColumns({"canonical": canonical, "label": F.coalesce("_nl", "_l"), "matched": canonical.isNotNull()}).drop("_p", "_c", "_l", "_nc", "_nl")
 

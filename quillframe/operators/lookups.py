@@ -22,6 +22,40 @@ def screenshots_of(shots: DataFrame, section_type: str | None = None, accepted_o
     return shots.orderBy("order_index", "captured_at_ms")
 
 
+def in_order(df: DataFrame, job: str, order: list, position: str = "position") -> DataFrame:
+    """Rows of each job numbered from 1 in the given order (sections by final order)."""
+    return df.withColumn(position, F.row_number().over(Window.partitionBy(job).orderBy(*order)))
+
+
+def newest_first(df: DataFrame, at: str, tie: str, tie_up: bool = True) -> DataFrame:
+    return df.orderBy(F.col(at).desc(), F.col(tie) if tie_up else F.col(tie).desc())
+
+
+def results(df: DataFrame, job_id=None, frame_id=None, limit: int = 100, most: int = 500, at: str = "created_at", tie: str = "id") -> DataFrame:
+    """Classification results, newest first, of a job, of a frame, of both or of all; `most` rows at most."""
+    for column, wanted in (("job_id", job_id), ("frame_id", frame_id)):
+        if wanted is not None:
+            df = df.filter(F.col(column) == wanted)
+    return newest_first(df, at, tie, tie_up=False).limit(min(limit, most))
+
+
+def decoded(text: Column, schema: str = "array<string>") -> Column:
+    """A JSON text as a value; null where it is none."""
+    return F.from_json(text, schema)
+
+
+def shown_of_total(df: DataFrame, job: str, confidence: str, least: float) -> DataFrame:
+    """Per job, how many of how many rows a confidence threshold shows; 0 shows all, also those without a confidence."""
+    shown = F.lit(True) if least == 0 else F.coalesce(F.col(confidence) >= least, F.lit(False))
+    return df.groupBy(job).agg(F.count_if(shown).alias("shown"), F.count("*").alias("total"))
+
+
+def with_last(left: DataFrame, right: DataFrame, on: str, order: str) -> DataFrame:
+    """left with the last matching row of right as a struct `last`, null where there is none."""
+    cols = [c for c in right.columns if c != on]
+    return left.join(right.groupBy(on).agg(F.max_by(F.struct(*cols), F.col(order)).alias("last")), on, "left")
+
+
 def newest(df: DataFrame, key: str | list[str], at: str, tie: str) -> DataFrame:
     """The newest row per key; the larger tie value wins."""
     keys = [key] if isinstance(key, str) else key

@@ -15,18 +15,19 @@ def match_count(text: Column, query: str) -> Column:
 
 
 def search(sources: list[tuple[DataFrame, str]], query: str, ref: str, text: str, order: str) -> DataFrame:
-    """Rows of several sources whose text has the query: what an earlier source shows is not shown again; best count first.
+    """Rows of several sources whose text has the query: a reference found in an earlier source is not shown again; best count first.
 
-    sources: (table with ref, text and order columns, name). The query is trimmed and lower-cased.
+    sources: (table with ref, text and order columns, name). The query is trimmed and lower-cased. A reference whose text in
+    an earlier source lacks the query hides nothing.
     """
     q = query.strip().lower()
     found, seen = None, None
     for rank, (df, name) in enumerate(sources):
         hits = df.select(ref, text, order).filter(F.contains(F.lower(text), F.lit(q)))
+        own = hits.select(ref)
         hits = hits if seen is None else hits.join(seen, ref, "left_anti")
         hits = hits.select(ref, text, order, F.lit(name).alias("source"), F.lit(rank).alias("rank"), match_count(F.col(text), q).alias("match_count"))
         found = hits if found is None else found.unionByName(hits)
-        own = df.select(ref)
         seen = own if seen is None else seen.unionByName(own)
     return found.orderBy(F.col("match_count").desc(), "rank", order).drop("rank")
 
@@ -45,6 +46,28 @@ def data_rich(tables: Column, pairs: Column, lists: Column, boxes: Column, field
     return 10 * tables + 3 * pairs + 2 * lists + boxes + fields
 
 
+def entity_diverse(categories: Column) -> Column:
+    """How many types of a map from type to texts have any."""
+    return F.size(F.filter(F.map_values(categories), lambda texts: F.size(texts) > 0))
+
+
+def chip_counts(df: DataFrame, group: list[str], categories: str) -> DataFrame:
+    """Per group and type of a map from type to texts: how many texts, empty types included."""
+    each = df.select(*group, F.explode(categories).alias("type", "texts"))
+    return each.groupBy(*group, "type").agg(F.sum(F.size("texts")).alias("total"))
+
+
+def distinct_texts(categories: Column) -> Column:
+    """The map with each type's texts once, in order of first sight."""
+    return F.transform_values(categories, lambda _, texts: F.array_distinct(texts))
+
+
+def run_summary(text: Column, categories: Column, tables: Column, confidence: Column, strategy: Column) -> Column:
+    """What is told of a recognised frame: text_length, entity_count, table_count, confidence, strategy."""
+    entities = F.aggregate(F.map_values(categories), F.lit(0), lambda n, texts: n + F.size(texts))
+    return F.struct(F.coalesce(F.char_length(text), F.lit(0)).alias("text_length"), entities.alias("entity_count"), tables.alias("table_count"), confidence.alias("confidence"), strategy.alias("strategy"))
+
+
 def word_set(text: Column) -> Column:
     """Distinct lower-case words of three characters or more."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: F.char_length(w) > 2))
@@ -77,11 +100,12 @@ def top_half(df: DataFrame, job: str, score: str, order: str) -> DataFrame:
     return positive.withColumns({"_rank": rank, "_n": n}).filter(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.5))).drop("_rank", "_n")
 
 
-def title_words(df: DataFrame, job: str, text: str, order: str, stop: list[str] = rules.TITLE_STOP_WORDS, frames: int = 5, most: int = 5) -> DataFrame:
-    """(job, title): the commonest words of a job's first frames with text; ties by first occurrence; over 60 characters cut."""
-    with_text = df.filter(F.trim(F.coalesce(text, F.lit(""))) != "")
+def title_words(df: DataFrame, job: str, text: str, order: str, stop: list[str] = rules.TITLE_STOP_WORDS, frames: int = 5, most: int = 5, among: int = 50) -> DataFrame:
+    """(job, title): the commonest words of the first frames with text among a job's first 50; ties by first occurrence; over 60 characters cut."""
+    early = df.withColumn("_e", F.row_number().over(Window.partitionBy(job).orderBy(order))).filter(F.col("_e") <= among).drop("_e")
+    with_text = early.filter(F.trim(F.coalesce(text, F.lit(""))) != "")
     first = with_text.withColumn("_f", F.row_number().over(Window.partitionBy(job).orderBy(order))).filter(F.col("_f") <= frames)
-    words = first.select(job, "_f", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("_p", "word")).filter(~F.col("word").isin(stop))
+    words = first.select(job, "_f", F.posexplode(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("_p", "word")).withColumn("word", F.lower("word")).filter(~F.col("word").isin(stop))
     counted = words.groupBy(job, "word").agg(F.count("*").alias("n"), F.min(F.struct("_f", "_p")).alias("first"))
     best = counted.withColumn("_r", F.row_number().over(Window.partitionBy(job).orderBy(F.col("n").desc(), "first"))).filter(F.col("_r") <= most)
     title = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.initcap("word").alias("w")))), lambda x: x["w"]), " ")

@@ -1,11 +1,16 @@
 """Operators on the frames of a job, in order of time.
 
 Frames of a job are one group by nature (a recording), so per-job windows and folds are as parallel as there are jobs. All
-take the names of the job, time and order columns; ties in time go by the order column.
+take the names of the job, time and order columns; ties in time go by the order column. The folds (`sample_adaptive`,
+`detect_changes`) stream a job's sorted frames and hold one state; `anchors` and `greedy_distinct` hold a job's times or
+hashes, some bytes a frame, in one row, so a job should not have more than some ten million frames there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +18,14 @@ from pyspark.sql import types as T
 
 from quillframe.shipping import ship
 
+# Limits of the change detector and of the adaptive sampler.
 SAME, CHANGE = 0.95, 0.60
 BASE, LOW, HIGH = 0.85, 0.80, 0.92
 COOLDOWN_MS, HISTORY = 2000, 20
+STATIC, DENSE, DENSE_FACTOR = 0.98, 0.93, 0.75
+
+#: likeness(last kept frame, frame), 1 for equal ones.
+Likeness = Callable[[Any, Any], float]
 
 
 def in_order(job: str, ts: str, order: str):
@@ -118,46 +128,100 @@ def sign_hash(vector: Column) -> Column:
     return bits
 
 
-def change_step(state: dict | None, ts: int, value: float | None, scale: float) -> tuple[dict, float, bool]:
-    """One frame of the change detector: (state, score, is_change). State: last kept value and time, recent similarities.
+def scalar_likeness(scale: float) -> Likeness:
+    """For frames that are described by one number."""
+    return lambda a, b: max(0.0, 1 - abs(b - a) / scale)
+
+
+def missing(frame: Any) -> bool:
+    return frame is None or (isinstance(frame, float) and frame != frame)
+
+
+def change_step(state: dict | None, ts: int, frame: Any, first: Likeness, second: Likeness | None = None) -> tuple[dict, float, bool]:
+    """One frame of the change detector: (state, score, is_change). State: last kept frame and time, recent likenesses.
 
-    The first frame is a change. A frame is compared with the last kept one: over 0.95 it is the same, below 0.60 it
-    changed, between them the threshold decides, which follows the variance of recent similarities. A change within two seconds
-    of the last kept frame is not one. An unreadable frame (no value) leaves the state alone.
+    The first frame is a change. A frame is compared with the last kept one. First pass: over 0.95 it is the same, below 0.60 it
+    changed. Between them the second, more precise likeness (that of the first pass if there is none) is below the threshold or
+    not; the threshold follows the variance of recent first-pass likenesses. A change within two seconds of the last kept frame is
+    not one. An unreadable frame (null) leaves the state alone.
     """
-    if value is None:
+    if missing(frame):
         return state or {}, 0.0, False
     if not state:
-        return {"value": value, "ts": ts, "recent": []}, 1.0, True
-    similarity = max(0.0, 1 - abs(value - state["value"]) / scale)
-    recent = [*state["recent"], similarity][-HISTORY:]
-    changed = similarity < CHANGE
-    if CHANGE <= similarity <= SAME:
+        return {"frame": frame, "ts": ts, "recent": []}, 1.0, True
+    likeness = first(state["frame"], frame)
+    recent = [*state["recent"], likeness][-HISTORY:]
+    changed = likeness < CHANGE
+    if CHANGE <= likeness <= SAME:
         limit = BASE
         if len(recent) >= 5:
             mean = sum(recent) / len(recent)
             var = sum((x - mean) ** 2 for x in recent) / len(recent)
             limit = min(BASE + 0.03, HIGH) if var > 0.02 else max(BASE - 0.02, LOW) if var < 0.005 else BASE
-        changed = similarity < limit
+        likeness = second(state["frame"], frame) if second else likeness
+        changed = likeness < limit
     changed = changed and ts - state["ts"] >= COOLDOWN_MS
-    new = {"value": value, "ts": ts, "recent": recent} if changed else state | {"recent": recent}
-    return new, round(max(0.0, 1 - similarity), 4), changed
+    new = {"frame": frame, "ts": ts, "recent": recent} if changed else state | {"recent": recent}
+    return new, round(max(0.0, 1 - likeness), 4), changed
 
 
-def detect_changes(df: DataFrame, job: str, ts: str, value: str, order: str, scale: float) -> DataFrame:
-    """Adds score and is_change by folding change_step over each job's frames (the state is the last kept frame, so no window does it)."""
+def sample_step(state: dict | None, ts: float, frame: Any, likeness: Likeness, interval: float) -> tuple[dict, bool]:
+    """One frame of the adaptive sampler: (state, kept). State: last kept frame, next time to look.
+
+    The first frame is kept. A frame before the next time is passed over. One that is over 0.98 like the last kept frame is
+    passed over too, and the next look is an interval later. Others are kept; the next look follows after an interval, or
+    after 0.75 of one where the likeness is below 0.93. An unreadable frame (null) is like no other.
+    """
+    if not state:
+        return {"frame": frame, "next": ts + interval}, True
+    if ts < state["next"]:
+        return state, False
+    alike = 0.0 if missing(frame) or missing(state["frame"]) else likeness(state["frame"], frame)
+    if alike > STATIC:
+        return state | {"next": ts + interval}, False
+    return {"frame": frame, "next": ts + (interval * DENSE_FACTOR if alike < DENSE else interval)}, True
+
+
+def folded(df: DataFrame, job: str, ts: str, order: str, step: Callable[[Any, dict], tuple[Any, dict | None]], added: list[T.StructField]) -> DataFrame:
+    """Folds step(state, row) -> (state, new columns, or None to drop the row) over each job's rows in order.
+
+    Jobs are sorted inside their partitions and streamed batch by batch, so that a job may be of any length; one state is held.
+    """
     ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("is_change", T.BooleanType())])
+    same = lambda a, b: a == b or (missing(a) and missing(b))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for b in batches:
+            kept, out = [], []
+            for i, row in enumerate(b.to_dict("records")):
+                if not same(at, row[job]):
+                    at, state = row[job], None
+                state, new = step(state, row)
+                if new is not None:
+                    kept.append(i)
+                    out.append(new)
+            yield b.iloc[kept].reset_index(drop=True).assign(**{f.name: [x[f.name] for x in out] for f in added})
+
+    return df.repartition(job).sortWithinPartitions(job, ts, order).mapInPandas(run, T.StructType([*df.schema.fields, *added]))
+
+
+def detect_changes(df: DataFrame, job: str, ts: str, frame: str, order: str, first: Likeness, second: Likeness | None = None) -> DataFrame:
+    """Adds score and is_change by folding change_step over each job's frames (the state is the last kept frame, so no window does it)."""
+    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        state, score, changed = change_step(state, int(row[ts]), row[frame], first, second)
+        return state, {"score": score, "is_change": changed}
+
+    return folded(df, job, ts, order, step, [T.StructField("score", T.DoubleType()), T.StructField("is_change", T.BooleanType())])
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        state, out = None, []
-        for t, v in zip(pdf[ts], pdf[value]):
-            state, score, changed = change_step(state, int(t), None if pd.isna(v) else float(v), scale)
-            out.append((score, changed))
-        return pdf.assign(score=[o[0] for o in out], is_change=[o[1] for o in out])
+def sample_adaptive(df: DataFrame, job: str, ts: str, frame: str, order: str, interval: float, likeness: Likeness) -> DataFrame:
+    """The frames that the adaptive sampler keeps, by folding sample_step over each job."""
+    def step(state: dict | None, row: dict) -> tuple[dict, dict | None]:
+        state, kept = sample_step(state, float(row[ts]), row[frame], likeness, interval)
+        return state, {} if kept else None
 
-    return df.groupBy(job).applyInPandas(fold, schema)
+    return folded(df, job, ts, order, step, [])
 
 
 def ticks(duration_ms: Column) -> Column:

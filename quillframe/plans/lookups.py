@@ -27,15 +27,13 @@ def c2_screenshots_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_custkey as job_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as position from orders")
 def c3_sections_in_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("id"), F.row_number().over(w).alias("position"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("final_order"))
+    return L.in_order(o, "job_id", ["final_order", "id"]).drop("final_order")
 
 
 @query("select o_orderkey as job_id, o_orderstatus as status, o_totalprice as size from orders order by o_orderdate desc, o_orderkey")
 def c4_jobs_newest_first(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("size"))
+    return L.newest_first(table(spark, d, "orders"), "o_orderdate", "o_orderkey").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("size"))
 
 
 @query(f"with {FRAMES} select job_id, event_id, timestamp_ms, section from frames qualify row_number() over (partition by job_id order by timestamp_ms desc, event_id desc) = 1")
@@ -43,20 +41,22 @@ def c5_latest_report(spark: SparkSession, d: str) -> DataFrame:
     return L.newest(frames(spark, d).select("job_id", "event_id", "timestamp_ms", "section"), "job_id", "timestamp_ms", "event_id").select("job_id", "event_id", "timestamp_ms", "section")
 
 
-@query(f"with {FRAMES} select event_id, job_id, section, k from frames where section = 'view' or k is null order by timestamp_ms desc, event_id desc limit 500")
+@query(f"with {FRAMES} select event_id, job_id, section, k from frames where section = 'view' order by timestamp_ms desc, event_id desc limit 500")
 def c6_results_newest(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).filter((F.col("section") == "view") | F.col("k").isNull())
-    return f.orderBy(F.col("timestamp_ms").desc(), F.col("event_id").desc()).limit(500).select("event_id", "job_id", "section", "k")
+    f = frames(spark, d).withColumn("frame_id", F.col("section"))
+    return L.results(f, frame_id="view", limit=1000, at="timestamp_ms", tie="event_id").select("event_id", "job_id", "section", "k")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as int) as k, length(props) as size from events")
 def c7_json_decode(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.char_length("props").alias("size"))
+    return table(spark, d, "events").select("event_id", L.decoded(F.col("props"), "k int")["k"].alias("k"), F.char_length("props").alias("size"))
 
 
-@query("select page_id, regexp_extract(url, '\\.([^./?#]+)$', 1) as extension, length(url) > 40 as long_url, url like 'https://%' as secure from pages")
+@query("""with p as (select page_id, url, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) as extension from pages)
+    select page_id, extension, case when coalesce(url, '') = '' then 'no path' when extension not in ('org', 'com', 'net') then 'unsupported extension: ' || extension when length(url) = 0 then 'empty file' when length(url) > 60 then 'too large' end as error from p""")
 def c8_predicates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^./?#]+)$", 1).alias("extension"), (F.char_length("url") > 40).alias("long_url"), F.col("url").startswith("https://").alias("secure"))
+    p = table(spark, d, "pages")
+    return p.select("page_id", readers.extension(F.col("url")).alias("extension"), readers.file_error(F.col("url"), F.char_length("url"), ["org", "com", "net"], 60).alias("error"))
 
 
 @query("""select d.doc_id, coalesce(nullif(case when l.quality = 1 then '' else d.source end, ''), d.lang) as shown
@@ -85,7 +85,7 @@ def c11_nearest_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {FRAMES} select job_id, count(*) filter (value >= 50) as shown, count(*) as total from frames group by job_id")
 def c12_confidence_filter(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).groupBy("job_id").agg(F.count_if(F.col("value") >= 50).alias("shown"), F.count("*").alias("total"))
+    return L.shown_of_total(frames(spark, d), "job_id", "value", 50)
 
 
 @query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
@@ -105,8 +105,8 @@ def d1_shots_with_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select o_custkey as c_custkey, max(o_orderkey) as shot from orders group by 1) select c.c_custkey, c.c_name, s.shot from customer c left join s using (c_custkey)""")
 def d2_frames_with_shots(spark: SparkSession, d: str) -> DataFrame:
-    shots = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("shot"))
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(shots, "c_custkey", "left")
+    shots = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("shot"))
+    return L.with_last(table(spark, d, "customer").select("c_custkey", "c_name"), shots, "c_custkey", "shot").select("c_custkey", "c_name", "last.shot")
 
 
 @query("""with f as (select o_custkey as c_custkey, arg_min(o_orderpriority, o_orderkey) as heading from orders group by 1)

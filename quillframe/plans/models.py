@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import normalise_for_model
 from quillframe.operators import classify as C
 from quillframe.operators import layout as L
 from quillframe.operators import structure as X
+from quillframe.operators.batch import batch_counts, batch_map
 
 from .registry import FRAMES, frames, query, table
 
@@ -28,11 +29,17 @@ def m1_normalised(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", normalise_for_model(F.concat("text", F.lit(" 555-010-2000 1/2/1999 1999-01-02"))).alias("text"))
 
 
-@query("select c_custkey, 2 as table_row_count, round(7.0 / (c_custkey % 50 + 17), 6) as table_text_ratio, 2.5 as avg_cells_per_row from customer")
+# Tables of a document: its pipe-separated lines.
+@query("""with l as (select doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(x, '|')) as rows from documents),
+    c as (select doc_id, len(rows) as n_rows, list_sum(list_transform(rows, lambda r: len(string_split(r, '|')))) as cells, list_sum(list_transform(rows, lambda r: list_sum(list_transform(string_split(r, '|'), lambda x: case when trim(x) = '' then 0 else len(string_split_regex(trim(x), '\\s+')) end)))) as words,
+        len(regexp_extract_all(coalesce(text, ''), '[a-z]+')) as n from l)
+    select doc_id, n_rows as table_row_count, round(case when n + coalesce(words, 0) > 0 then coalesce(words, 0) / (n + coalesce(words, 0)) else 0 end, 6) as table_text_ratio, round(case when n_rows > 0 then cells / n_rows else 0 end, 6) as avg_cells_per_row from c""")
 def m2_document_features(spark: SparkSession, d: str) -> DataFrame:
-    tables = F.array(F.array(F.array(F.lit("a b"), F.lit("c")), F.array(F.lit("d"), F.lit("e f g"), F.lit(" "))))
-    f = C.document_features(tables, F.col("c_custkey") % 50 + 10)
-    return table(spark, d, "customer").select("c_custkey", *[(F.round(v, 6) if k == "table_text_ratio" else v).alias(k) for k, v in f.items()])
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.contains(x, F.lit("|")))
+    tables = F.array(F.transform(lines, lambda x: F.split(x, r"\|", -1)))
+    f = C.document_features(tables, F.size(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))))
+    return t.select("doc_id", F.col("doc_id").alias("k"), *[v.alias(k) for k, v in f.items()]).select("doc_id", F.col("table_row_count").cast("long").alias("table_row_count"), F.round("table_text_ratio", 6).alias("table_text_ratio"), F.round("avg_cells_per_row", 6).alias("avg_cells_per_row"))
 
 
 @query(f"with {TF_IDF} select doc_id, word, tf, df, round(weight, 6) as weight from u")
@@ -70,10 +77,10 @@ def m9_fold_sizes(spark: SparkSession, d: str) -> DataFrame:
 PREDICTED = "case when n_chars % 7 = 0 then 'Unknown' when n_chars > 1500 then '1' else '0' end"
 
 
-def _predicted(spark: SparkSession, d: str) -> DataFrame:
+def _predicted(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     n = F.col("n_chars")
     guess = F.when(n % 7 == 0, "Unknown").when(n > 1500, "1").otherwise("0")
-    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("string").alias("truth"), guess.alias("predicted"))
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").cast("string").alias("truth"), guess.alias("predicted"), *more)
 
 
 @query(f"""with p as (select cast(quality as varchar) as truth, {PREDICTED} as predicted from labels join documents using (doc_id))
@@ -84,6 +91,41 @@ def m10_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("n", "unknown", *[F.round(c, 6).alias(c) for c in ("accuracy", "unknown_rate", "committed_accuracy")])
 
 
+@query(f"""with p as (select doc_id % 5 as fold, cast(quality as varchar) as truth, {PREDICTED} as predicted from labels join documents using (doc_id)),
+    a as (select fold, count(*) filter (truth = predicted) / count(*) as accuracy from p group by fold)
+    select count(*) as folds, round(avg(accuracy), 6) as mean, round(stddev_pop(accuracy), 6) as std, round(min(accuracy), 6) as min, round(max(accuracy), 6) as max from a""")
+def m9_fold_summary(spark: SparkSession, d: str) -> DataFrame:
+    got = C.fold_summary(_predicted(spark, d, (F.col("doc_id") % 5).alias("fold")), "fold", "truth", "predicted")
+    return got.select("folds", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) as word from documents), v as (select word from t where doc_id % 4 <> 0 group by word having count(*) >= 3),
+    r as (select doc_id, 1 - count(v.word) / count(*) as rate from t left join v using (word) group by doc_id) select count(*) as rows, round(avg(rate), 6) as oov_rate from r""")
+def m10_oov_rate(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    seen = docs.filter("doc_id % 4 <> 0").select(F.explode(C.tokens(F.col("text"), [])).alias("word")).groupBy("word").count().filter("count >= 3")
+    got = C.oov_rate(docs, "doc_id", "text", seen)
+    return got.select("rows", F.round("oov_rate", 6).alias("oov_rate"))
+
+
+def _rule_label(text: str | None, n_chars: int) -> tuple[str, float]:
+    if n_chars % 7 == 0:
+        raise ValueError("image not found")
+    return ("long" if len(text or "") > 1000 else "short"), n_chars % 10 / 10
+
+
+@query("""select doc_id, case when n_chars % 7 = 0 then null when length(coalesce(text, '')) > 1000 then 'long' else 'short' end as label, case when n_chars % 7 <> 0 then n_chars % 10 / 10 end as confidence,
+    case when n_chars % 7 = 0 then 'ValueError: image not found' end as error from documents""")
+def m13_batch_classified(spark: SparkSession, d: str) -> DataFrame:
+    done = batch_map(table(spark, d, "documents"), "doc_id", ["text", "n_chars"], _rule_label, "struct<label:string,confidence:double>")
+    return done.select("doc_id", "result.label", "result.confidence", "error")
+
+
+@query("select count(*) filter (n_chars % 7 <> 0) as done, count(*) filter (n_chars % 7 = 0) as errors from documents")
+def o16_batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    return batch_counts(batch_map(table(spark, d, "documents"), "doc_id", ["text", "n_chars"], _rule_label, "struct<label:string,confidence:double>"))
+
+
 @query(f"""with p as (select cast(quality as varchar) as truth, {PREDICTED} as predicted from labels join documents using (doc_id)), l as (select truth as label from p union select predicted from p),
     c as (select label, (select count(*) from p where truth = label) as support, (select count(*) from p where predicted = label) as claimed, (select count(*) from p where truth = label and predicted = label) as hits from l),
     r as (select label, support, coalesce(hits / nullif(claimed, 0), 0) as precision, coalesce(hits / nullif(support, 0), 0) as recall from c)

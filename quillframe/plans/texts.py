@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
@@ -15,7 +15,8 @@ from quillframe.sources import writers
 
 from .registry import FRAMES, frames, query, table
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+RULE = dict(rules.ENTITY_PATTERNS)
+EMAIL = RULE["email"]
 
 
 def span_sql(source: str, key: str, text: str, pattern: str) -> str:
@@ -35,20 +36,52 @@ def e2_email_spans(spark: SparkSession, d: str) -> DataFrame:
     return _spans(table(spark, d, "documents"), "doc_id", "text", EMAIL)
 
 
-@query(span_sql("(select page_id, html || ' ' || url || ', ' || url as html from pages)", "page_id", "html", "https?://[A-Za-z0-9\\-._~:/?#\\[\\]@!$&()*+,;=%]+"))
+@query(span_sql("(select page_id, html || ' ' || url || ', ' || url as html from pages)", "page_id", "html", RULE["url"]))
 def e2_url_spans(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", F.concat("html", F.lit(" "), "url", F.lit(", "), "url").alias("html"))
-    return _spans(p, "page_id", "html", r"https?://[A-Za-z0-9\-._~:/?#\[\]@!$&()*+,;=%]+")
+    return _spans(p, "page_id", "html", RULE["url"])
 
 
-@query(span_sql("documents", "doc_id", "text", r"[0-9]+(?:\.[0-9]+)?%"))
+@query(span_sql("documents", "doc_id", "text", RULE["percentage"]))
 def e3_percentage_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(table(spark, d, "documents"), "doc_id", "text", r"[0-9]+(?:\.[0-9]+)?%")
+    return _spans(table(spark, d, "documents"), "doc_id", "text", RULE["percentage"])
 
 
-@query(span_sql("documents", "doc_id", "text", "[A-Z][a-z]+ [A-Z][a-z]+"))
+@query(span_sql("documents", "doc_id", "text", RULE["person_name"]))
 def e6_capital_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(table(spark, d, "documents"), "doc_id", "text", "[A-Z][a-z]+ [A-Z][a-z]+")
+    return _spans(table(spark, d, "documents"), "doc_id", "text", RULE["person_name"])
+
+
+def _quoted(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def entities_sql(source: str, key: str) -> str:
+    """All entity rules in SQL, whose expressions have no look-around: a ZIP code is found with its state, a number with its name.
+
+    source has key and text. Spans that overlap fall into clusters; in each the longest is taken, then the earlier rule, and so on.
+    """
+    parts = []
+    for n, (kind, pattern) in enumerate(rules.ENTITY_PATTERNS):
+        pieces = [(pattern.replace(r"(?!\d)", ""), 0)]
+        if kind == "zip_code":
+            pieces = [(r"\b(?:ZIP|Zip|zip)[\s:]*\d{5}(?:-\d{4})?\b", 0), (r"[A-Z]{2}\s\d{5}(?:-\d{4})?\b", 3)]
+        for p, skip in pieces:
+            at, shown = f"start + {skip}", f"substr(value, {skip + 1})"
+            if kind == "npi":
+                at, shown = "start + length(value) - 10", "right(value, 10)"
+            where = {"organization": f"length(trim(value)) >= 4 and trim(value) not in {_quoted(rules.STATE_CODES)}", "person_name": f"not list_has_any(string_split_regex(trim(value), '\\s+'), [{_quoted(rules.NOT_NAMES)[1:-1]}])"}.get(kind, "true")
+            text = "case when true then regexp_replace(value, '^\\d{3}-\\d{2}', '***-**') end" if kind == "ssn" else f"trim({shown})"
+            parts.append(f"select {key}, {n} as rule, '{kind}' as type, cast({at} as int) as start, cast(start + length(value) as int) as \"end\", {text} as text from ({span_sql(source, key, 'text', p)}) where {where}")
+    return f"""with recursive found as ({' union all '.join(parts)}),
+        reached as (select *, max("end") over (partition by {key} order by start, rule, "end" rows between unbounded preceding and 1 preceding) as reach from found),
+        clustered as (select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (partition by {key} order by start, rule, "end" rows between unbounded preceding and current row) as cluster from reached),
+        ranked as (select *, row_number() over (partition by {key}, cluster order by start - "end", rule, start) as n from clustered),
+        kept({key}, cluster, n, xs) as (
+            select {key}, cluster, n, [{{'s': start, 'e': "end", 'type': type, 'text': text}}] from ranked where n = 1 union all
+            select r.{key}, r.cluster, r.n, case when len(list_filter(k.xs, lambda x: r.start < x.e and x.s < r."end")) > 0 then k.xs else list_append(k.xs, {{'s': r.start, 'e': r."end", 'type': r.type, 'text': r.text}}) end
+            from kept k join ranked r on r.{key} = k.{key} and r.cluster = k.cluster and r.n = k.n + 1)
+        select {key}, x.type as type, x.s as start, x.e as "end", x.text as text from (select {key}, unnest(xs) as x from kept qualify n = max(n) over (partition by {key}, cluster))"""
 
 
 FORM = """concat('Invoice for Maria Lopez, Case #', 1000 + {n} % 900, chr(10), 'SSN 123-45-', 1000 + {n} % 9000, ' phone 555-010-', 1000 + {n} % 8999, chr(10),
@@ -62,31 +95,30 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.alias("text"))
 
 
-@query(f"""with t as (select c_custkey, {FORM.format(n="c_custkey")} as text from customer)
-    select c_custkey, type, case when type = 'ssn' then '***-**' || substr(value, 7) else value end as value from (
-        select c_custkey, 'ssn' as type, regexp_extract(text, '\\d{{3}}-\\d{{2}}-\\d{{4}}') as value from t union all
-        select c_custkey, 'phone', regexp_extract(text, '\\d{{3}}-\\d{{3}}-\\d{{4}}') from t union all
-        select c_custkey, 'date', regexp_extract(text, '0\\d/15/1990') from t union all
-        select c_custkey, 'currency', regexp_extract(text, '\\$[\\d.]+') from t union all
-        select c_custkey, 'case_number', regexp_extract(text, 'Case #\\d+') from t union all
-        select c_custkey, 'person_name', 'Maria Lopez' from t union all
-        select c_custkey, 'organization', 'ELIGIBILITY NOTICE' from t)""")
+_FORMS = f"(select c_custkey, {FORM.format(n='c_custkey')} as text from customer)"
+
+
+@query(entities_sql(_FORMS, "c_custkey"))
 def e1_form_entities(spark: SparkSession, d: str) -> DataFrame:
-    found = _forms(spark, d).select("c_custkey", F.explode(E.extract(F.col("text"))).alias("e")).select("c_custkey", "e.type", F.col("e.text").alias("value"))
-    return found.filter(F.col("type").isin("ssn", "phone", "date", "currency", "case_number", "person_name", "organization"))
+    return _forms(spark, d).select("c_custkey", F.explode(E.extract(F.col("text"))).alias("e")).select("c_custkey", "e.type", "e.start", "e.end", "e.text")
 
 
-@query()
+@query(entities_sql("documents", "doc_id"))
 def e1_document_entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(E.extract(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
 
 
-@query(f"""with t as (select c_custkey, {FORM.format(n="c_custkey")} as text from customer)
-    select c_custkey, 22 as types, 1 as dates, 'Maria Lopez' as people from t""")
+@query(f"""with e as ({entities_sql(_FORMS, "c_custkey")}), f as (select c_custkey, type, text, min(start) as start from e group by all)
+    select c_custkey, {len(rules.ENTITY_TYPES)} as types, count(*) filter (type = 'date') as dates, coalesce(string_agg(text, ',' order by start) filter (type = 'person_name'), '') as people from f group by c_custkey""")
 def e1_categories(spark: SparkSession, d: str) -> DataFrame:
     found = _forms(spark, d).select("c_custkey", E.extract(F.col("text")).alias("e"))  # a column of its own: read 22 times, made once
     m = found.select("c_custkey", E.by_category(F.col("e")).alias("m"))
-    return m.select("c_custkey", F.size("m").alias("types"), F.size(F.element_at("m", F.lit("date"))).alias("dates"), F.array_join(F.element_at("m", F.lit("person_name")), ",").alias("people"))
+    return m.select("c_custkey", F.size("m").alias("types"), F.size(F.element_at("m", F.lit("date"))).cast("long").alias("dates"), F.array_join(F.element_at("m", F.lit("person_name")), ",").alias("people"))
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(rules.ENTITY_LABELS.items())) + ") l(position, label, description)")
+def e21_labels(spark: SparkSession, d: str) -> DataFrame:
+    return E.label_table(spark)
 
 
 # Spans of a job: the greedy choice as a recursion over the ranked spans.
@@ -205,9 +237,15 @@ LEXICON = [("token", "TOKEN", "TECH_OR_SYSTEM"), ("the other", "OTHER", "PERSON_
 LABELS = ["TECH_OR_SYSTEM", "PERSON_ROLE", "ACRONYM", "DOCUMENT_OR_RECORD", "APPLICATION_PROCESS", "FINANCIAL_TERM"]
 
 
-@query(f"""with t as (select c_custkey, {FORM.format(n="c_custkey")} as text from customer)
-    select c_custkey, 'renewal form' as text, 'DOCUMENT_OR_RECORD' as label, 'FORM' as canonical_name, 'FORM' as normalized_acronym, cast(strpos(text, 'renewal form') - 1 as int) as start from t union all
-    select c_custkey, 'chip', 'ACRONYM', 'CHIP', 'CHIP', cast(strpos(text, 'chip') - 1 as int) from t""")
+#: The lexicon in SQL: phrases longest first, the last declared entry of each, normalization over both.
+_LEX = dict((p, (c, label)) for p, c, label in LEXICON)
+_LEX_SQL = f"""lex(phrase, canonical, label) as (values {", ".join(f"('{p}', '{c}', '{x}')" for p, (c, x) in _LEX.items())}), norm(phrase, canonical, label) as (values {", ".join("('" + "', '".join(r) + "')" for r in rules.NORMALIZATION)}),
+    hits as ({span_sql(_FORMS, "c_custkey", "text", "(?i)" + chr(92) + "b(?:" + "|".join(sorted(_LEX, key=lambda p: (-len(p), p))) + ")" + chr(92) + "b")}),
+    named as (select c_custkey, h.value as text, coalesce(n.label, l.label) as label, coalesce(n.canonical, l.canonical) as canonical_name, n.canonical as n_canonical, start
+        from hits h join lex l on l.phrase = lower(h.value) left join norm n on n.phrase = lower(h.value))"""
+
+
+@query(f"""with {_LEX_SQL} select c_custkey, text, label, canonical_name, case when canonical_name = upper(canonical_name) and length(canonical_name) <= 8 then canonical_name else n_canonical end as normalized_acronym, start from named""")
 def e14_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return E.lexicon_entities(_forms(spark, d), "c_custkey", "text", LEXICON).select("c_custkey", "text", "label", "canonical_name", "normalized_acronym", "start")
 
@@ -226,8 +264,8 @@ def e18_layers(spark: SparkSession, d: str) -> DataFrame:
     return E.layered([layer(50, 10), layer(37, 20)], "event_id").select("event_id", "layer", "start")
 
 
-@query("""select label, position, case label when 'ACRONYM' then n when 'DOCUMENT_OR_RECORD' then n else 0 end as total, case label when 'ACRONYM' then 1 when 'DOCUMENT_OR_RECORD' then 1 else 0 end as names
-    from (values ('TECH_OR_SYSTEM', 0), ('PERSON_ROLE', 1), ('ACRONYM', 2), ('DOCUMENT_OR_RECORD', 3), ('APPLICATION_PROCESS', 4), ('FINANCIAL_TERM', 5)) l(label, position), (select count(*) as n from customer)""")
+@query(f"""with {_LEX_SQL} select l.label, l.position, (select count(*) from named n where n.label = l.label) as total, (select count(distinct canonical_name) from named n where n.label = l.label) as names
+    from (values {", ".join(f"('{x}', {i})" for i, x in enumerate(LABELS))}) l(label, position)""")
 def e19_label_summary(spark: SparkSession, d: str) -> DataFrame:
     return E.label_summary(E.lexicon_entities(_forms(spark, d), "c_custkey", "text", LEXICON), LABELS)
 
@@ -250,8 +288,8 @@ def e17_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with h as (select doc_id as id, 'documents' as source, (length(lower(text)) - length(replace(lower(text), 'mail', ''))) // 4 as match_count, doc_id as pos from documents where contains(lower(text), 'mail')),
-    b as (select item_id as id, 'benchmark' as source, (length(lower(text)) - length(replace(lower(text), 'mail', ''))) // 4, item_id from benchmark where contains(lower(text), 'mail') and item_id not in (select doc_id from documents))
-    select id, source, match_count from h union all select id, source, 3 from b""")
+    b as (select item_id as id, 'benchmark' as source, (length(lower(text)) - length(replace(lower(text), 'mail', ''))) // 4 as match_count from benchmark where contains(lower(text), 'mail') and item_id not in (select id from h))
+    select id, source, match_count from h union all select id, source, match_count from b""")
 def k1_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("pos"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.col("item_id").alias("pos"))
@@ -298,15 +336,34 @@ def k5_top_half(spark: SparkSession, d: str) -> DataFrame:
     return K.top_half(frames(spark, d), "job_id", "value", "event_id").select("job_id", "event_id", "value")
 
 
-@query("""with w as (select source, unnest([len(regexp_extract_all(text, '[0-9]+')), len(regexp_extract_all(text, '\\|'))]) as n, unnest(['numbers', 'bars']) as type from documents) select source, type, cast(sum(n) as bigint) as total from w group by all""")
+_KINDS = {"email": EMAIL, "percentage": RULE["percentage"], "number": "[0-9]+", "person_name": RULE["person_name"]}
+
+
+def _categories() -> Column:
+    """A map from kind to the texts that a document has of it."""
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in _KINDS]), F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in _KINDS.values()]))
+
+
+_CATEGORIES_SQL = " union all ".join(f"select doc_id, source, text, '{k}' as type, regexp_extract_all(coalesce(text, ''), '{p}') as texts from documents" for k, p in _KINDS.items())
+
+
+@query(f"with c as ({_CATEGORIES_SQL}) select source, type, cast(sum(len(texts)) as bigint) as total from c group by all")
 def k6_chip_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("source", F.explode(F.create_map(F.lit("numbers"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))), F.lit("bars"), F.size(F.regexp_extract_all("text", F.lit(r"\|"), F.lit(0))))).alias("type", "n"))
-    return t.groupBy("source", "type").agg(F.sum("n").alias("total"))
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return K.chip_counts(t.select("source", _categories().alias("c")), ["source"], "c")
 
 
-@query("select doc_id, len(list_distinct(string_split(text, ' '))) as words from documents")
+@query(f"""with c as ({_CATEGORIES_SQL}), e as (select doc_id, type, unnest(texts) as x, generate_subscripts(texts, 1) as i from c), f as (select doc_id, type, x, min(i) as i from e group by all)
+    select c.doc_id, c.type, coalesce((select string_agg(x, ' ' order by i) from f where f.doc_id = c.doc_id and f.type = c.type), '') as texts from c""")
 def k7_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", " ", -1))).cast("long").alias("words"))
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return t.select("doc_id", F.explode(K.distinct_texts(_categories())).alias("type", "texts")).select("doc_id", "type", F.array_join("texts", " ").alias("texts"))
+
+
+@query(f"with c as ({_CATEGORIES_SQL}) select doc_id, count(*) filter (len(texts) > 0) as types from c group by doc_id")
+def k4_entity_diverse(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return t.select("doc_id", K.entity_diverse(_categories()).cast("long").alias("types"))
 
 
 @query("select conv_id, cast(sum(length(text)) as bigint) as chars, cast(sum(turn) as bigint) as turns, md5(string_agg(text, chr(10) || chr(10) order by turn)) as text from conversations group by conv_id")
@@ -315,16 +372,20 @@ def k8_merged_runs(spark: SparkSession, d: str) -> DataFrame:
     return K.merge_runs(c, "conv_id", "turn", ["chars", "turns"], "text").select("conv_id", "chars", "turns", F.md5("text").alias("text"))
 
 
-@query("select doc_id, length(text) as text_length, len(regexp_extract_all(text, '[0-9]+')) as numbers, length(text) > 2000 as long_text from documents")
+@query(f"with c as ({_CATEGORIES_SQL}) select doc_id, any_value(length(coalesce(text, ''))) as text_length, cast(sum(len(texts)) as bigint) as entity_count, any_value(doc_id % 3) as table_count, any_value((doc_id % 101)::double) as confidence, any_value(case when doc_id % 2 = 0 then 'plain' else 'sharpened' end) as strategy from c group by doc_id")
 def k10_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("text_length"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("numbers"), (F.char_length("text") > 2000).alias("long_text"))
+    n = F.col("doc_id")
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    told = K.run_summary(F.col("text"), _categories(), n % 3, (n % 101).cast("double"), F.when(n % 2 == 0, "plain").otherwise("sharpened"))
+    return t.select("doc_id", told.alias("s")).select("doc_id", F.col("s.text_length").cast("long").alias("text_length"), F.col("s.entity_count").cast("long").alias("entity_count"), "s.table_count", "s.confidence", "s.strategy")
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in rules.TITLE_STOP_WORDS) + ")"
 
 
-@query(f"""with f as (select conv_id, text, row_number() over (partition by conv_id order by turn) as f from conversations where trim(coalesce(text, '')) <> ''),
-    w as (select conv_id, f, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{3,}}'), 1) as p from f where f <= 5),
+@query(f"""with e as (select *, row_number() over (partition by conv_id order by turn) as e from conversations),
+    f as (select conv_id, text, row_number() over (partition by conv_id order by turn) as f from e where e <= 50 and trim(coalesce(text, '')) <> ''),
+    w as (select conv_id, f, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{3,}}'))) as word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{{3,}}'), 1) as p from f where f <= 5),
     c as (select conv_id, word, count(*) as n, min(f * 1000000 + p) as first from w where word not in {_STOP} group by all),
     r as (select *, row_number() over (partition by conv_id order by n desc, first) as r from c),
     t as (select conv_id, string_agg(upper(left(word, 1)) || substr(word, 2), ' ' order by r) as title from r where r <= 5 group by conv_id)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.functions import rules
+from quillframe.functions import kernels, rules
 from quillframe.functions.text import minutes, minutes_ms
 from quillframe.operators import scoring as S
 from quillframe.operators import timeseries as T
+from quillframe.shipping import ship
 
 from .registry import FRAMES, frames, query, table
 
@@ -29,6 +31,21 @@ def t1_gap_sampler(spark: SparkSession, d: str) -> DataFrame:
     return T.sample_gaps(frames(spark, d), "job_id", "timestamp_ms", HOURS, "event_id").select("job_id", "event_id", "timestamp_ms")
 
 
+# The state of the sampler: value of the last kept frame, next time to look.
+@query(f"""with recursive {FRAMES}, f as (select *, row_number() over (partition by job_id order by timestamp_ms, event_id) as n from frames),
+    s(job_id, n, event_id, timestamp_ms, kept, next, take) as (
+        select job_id, n, event_id, timestamp_ms, value, timestamp_ms + {HOURS}::double, true from f where n = 1
+        union all
+        select job_id, n, event_id, timestamp_ms, case when look and sim <= 0.98 then value else kept end,
+            case when not look then next when sim < 0.93 then timestamp_ms + 0.75 * {HOURS}::double else timestamp_ms + {HOURS}::double end, look and sim <= 0.98
+        from (select f.job_id, f.n, f.event_id, f.timestamp_ms, f.value, s.kept, s.next, f.timestamp_ms >= s.next as look, greatest(0.0, 1 - abs(f.value - s.kept) / 500.0) as sim
+              from s join f on f.job_id = s.job_id and f.n = s.n + 1))
+    select job_id, event_id, timestamp_ms from s where take""")
+def t1_adaptive_sampler(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).select("job_id", "event_id", "timestamp_ms", "value")
+    return T.sample_adaptive(f, "job_id", "timestamp_ms", "value", "event_id", HOURS, T.scalar_likeness(500.0)).select("job_id", "event_id", "timestamp_ms")
+
+
 @query("""with p as (select vec_id, embedding::double[] as b, lag(embedding::double[]) over (partition by label order by vec_id) as a from embeddings),
     c as (select vec_id, list_transform(a, lambda x: x - list_sum(a) / len(a)) as a, list_transform(b, lambda x: x - list_sum(b) / len(b)) as b from p)
     select vec_id, round(coalesce(case when sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))) < 1e-6 then 1.0
@@ -45,21 +62,60 @@ def t4_stability(spark: SparkSession, d: str) -> DataFrame:
     return f.select("job_id", "event_id", F.round(T.stability(F.col("value"), T.in_order("job_id", "timestamp_ms", "event_id"), 500.0), 6).alias("stability"))
 
 
-# The SQL keeps the state of each job from frame to frame: the last kept value and time, and the similarities so far.
-@query(f"""with recursive {FRAMES}, f as (select *, row_number() over (partition by job_id order by timestamp_ms, event_id) as n from frames),
-    s(job_id, n, event_id, kept, kept_ts, recent, score, is_change) as (
-        select job_id, n, event_id, value, timestamp_ms, []::double[], 1.0::double, true from f where n = 1
+# The SQL keeps the state of each job from frame to frame: the last kept value, second value and time, and the first-pass similarities so far.
+@query(f"""with recursive {FRAMES}, f as (select *, (frame_index * 37 % 300)::double as fine, row_number() over (partition by job_id order by timestamp_ms, event_id) as n from frames),
+    s(job_id, n, event_id, kept, kept_fine, kept_ts, recent, score, is_change) as (
+        select job_id, n, event_id, value, fine, timestamp_ms, []::double[], 1.0::double, true from f where n = 1
         union all
-        select job_id, n, event_id, case when change then value else kept end, case when change then timestamp_ms else kept_ts end, recent, round(greatest(0.0, 1 - sim), 4), change
-        from (select *, timestamp_ms - kept_ts >= 2000 and (sim < 0.6 or (sim <= 0.95 and sim < case when len(recent) < 5 then 0.85
+        select job_id, n, event_id, case when change then value else kept end, case when change then fine else kept_fine end, case when change then timestamp_ms else kept_ts end, recent,
+            round(greatest(0.0, 1 - case when sim between 0.6 and 0.95 then exact else sim end), 4), change
+        from (select *, timestamp_ms - kept_ts >= 2000 and (sim < 0.6 or (sim <= 0.95 and exact < case when len(recent) < 5 then 0.85
                     when list_var_pop(recent) > 0.02 then 0.88 when list_var_pop(recent) < 0.005 then 0.83 else 0.85 end)) as change
-              from (select f.job_id, f.n, f.event_id, f.value, f.timestamp_ms, s.kept, s.kept_ts, greatest(0.0, 1 - abs(f.value - s.kept) / 300.0) as sim,
-                           (list_append(s.recent, greatest(0.0, 1 - abs(f.value - s.kept) / 300.0)))[-20:] as recent
+              from (select f.job_id, f.n, f.event_id, f.value, f.fine, f.timestamp_ms, s.kept, s.kept_fine, s.kept_ts, greatest(0.0, 1 - abs(f.value - s.kept) / 300.0) as sim,
+                           greatest(0.0, 1 - abs(f.fine - s.kept_fine) / 300.0) as exact, (list_append(s.recent, greatest(0.0, 1 - abs(f.value - s.kept) / 300.0)))[-20:] as recent
                     from s join f on f.job_id = s.job_id and f.n = s.n + 1)))
     select job_id, event_id, score, is_change from s""")
 def t5_change_detector(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).select("job_id", "event_id", "timestamp_ms", "value")
-    return T.detect_changes(f, "job_id", "timestamp_ms", "value", "event_id", 300.0).select("job_id", "event_id", "score", "is_change")
+    pair = F.array("value", (F.col("frame_index") * 37 % 300).cast("double"))
+    f = frames(spark, d).select("job_id", "event_id", "timestamp_ms", pair.alias("frame"))
+    rough, fine = (lambda i: lambda a, b: max(0.0, 1 - abs(b[i] - a[i]) / 300.0))(0), (lambda i: lambda a, b: max(0.0, 1 - abs(b[i] - a[i]) / 300.0))(1)
+    return T.detect_changes(f, "job_id", "timestamp_ms", "frame", "event_id", rough, fine).select("job_id", "event_id", "score", "is_change")
+
+
+@query("""with g as (select vec_id, list_transform(embedding[1:36], lambda x: cast(floor(abs(x::double) * 1000) as int) % 256) as p from embeddings),
+    grid as (select y, x from range(6) a(y), range(6) b(x)),
+    cells as (select vec_id, p[6 * y + x + 1] as c, p[6 * (case when y = 0 then 1 else y - 1 end) + x + 1] + p[6 * (case when y = 5 then 4 else y + 1 end) + x + 1]
+        + p[6 * y + case when x = 0 then 1 else x - 1 end + 1] + p[6 * y + case when x = 5 then 4 else x + 1 end + 1] as around from g, grid)
+    select vec_id, round(least(var_pop(around - 4 * c) / 5000, 1.0), 4) as blur_score from cells group by vec_id""")
+def t3_blur_score(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return _images(spark, d, 6, 6).select("vec_id", kernels.kernel_udf(kernels.blur_score)("height", "width", "pixels").alias("blur_score"))
+
+
+def _images(spark: SparkSession, d: str, height: int, width: int) -> DataFrame:
+    """Vectors as small grey images."""
+    n = height * width
+    values = F.transform(F.slice("embedding", 1, n), lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("int") % 256)
+    pixels = F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return table(spark, d, "embeddings").select("vec_id", "label", F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))
+
+
+@query()
+def t5_change_detector_images(spark: SparkSession, d: str) -> DataFrame:
+    """Both passes on pixels: low frequencies, then structure and colours."""
+    f = _images(spark, d, 7, 9).select(F.col("label").alias("job_id"), "vec_id", (F.col("vec_id") * 700).alias("timestamp_ms"), "pixels")
+    colour = lambda raw: np.repeat(kernels.image(raw, 7, 9, 1)[:, :, None], 3, axis=2)
+    rough = lambda a, b: kernels.hash_likeness(colour(a), colour(b))
+    fine = lambda a, b: kernels.precise_likeness(colour(a), colour(b))
+    return T.detect_changes(f, "job_id", "timestamp_ms", "pixels", "vec_id", rough, fine).select("job_id", "vec_id", "score", "is_change")
+
+
+@query()
+def t10_dct_hash(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    ones = kernels.kernel_udf(lambda image: float(kernels.dct_hash(image).sum()))
+    density = kernels.kernel_udf(kernels.text_density)
+    return _images(spark, d, 8, 8).select("vec_id", ones("height", "width", "pixels").alias("ones"), density("height", "width", "pixels").alias("text_density"))
 
 
 @query(f"""with {FRAMES}, s as (select job_id, event_id, var_pop(value / 500) over w as var, count(*) over w as n from frames

@@ -1,4 +1,4 @@
-"""The change detector and the gap sampler on streams: the batch operators' step, with a state per job.
+"""The change detector and the samplers on streams: the batch operators' step, with a state per job.
 
 Rows of a job are put in order inside a micro-batch. Rows older than the last one handled are late: they are dropped and
 counted in the state (a policy of this library; a batch has no late rows).
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillframe.operators.timeseries import change_step
+from quillframe.operators.timeseries import Likeness, change_step, missing, sample_step
 from quillframe.shipping import ship
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,17 +51,31 @@ class _Fold(StatefulProcessor):
         pass
 
 
+def _plain(frame):
+    """As JSON holds it."""
+    return None if missing(frame) else frame.tolist() if hasattr(frame, "tolist") else frame
+
+
 class ChangeDetector(_Fold):
-    def __init__(self, ts: str, order: str, value: str, scale: float):
+    def __init__(self, ts: str, order: str, frame: str, first: Likeness, second: Likeness | None):
         super().__init__(ts, order)
-        self.value, self.scale = value, scale
+        self.frame, self.first, self.second = frame, first, second
 
     def step(self, state, row):
-        v = row[self.value]
-        new, score, changed = change_step(state, int(row[self.ts]), None if pd.isna(v) else float(v), self.scale)
+        new, score, changed = change_step(state, int(row[self.ts]), _plain(row[self.frame]), self.first, self.second)
         return new, {"score": score, "is_change": changed}
 
 
+class AdaptiveSampler(_Fold):
+    def __init__(self, ts: str, order: str, frame: str, interval: float, likeness: Likeness):
+        super().__init__(ts, order)
+        self.frame, self.interval, self.likeness = frame, interval, likeness
+
+    def step(self, state, row):
+        new, kept = sample_step(state, float(row[self.ts]), _plain(row[self.frame]), self.likeness, self.interval)
+        return new, {} if kept else None
+
+
 class GapSampler(_Fold):
     def __init__(self, ts: str, order: str, interval: int):
         super().__init__(ts, order)
@@ -82,9 +96,14 @@ def _run(df: DataFrame, job: str, processor: _Fold, added: str) -> DataFrame:
     return df.groupBy(job).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
-def detect_changes_stream(df: DataFrame, job: str, ts: str, value: str, order: str, scale: float) -> DataFrame:
+def detect_changes_stream(df: DataFrame, job: str, ts: str, frame: str, order: str, first: Likeness, second: Likeness | None = None) -> DataFrame:
     """Adds score and is_change to a stream of frames."""
-    return _run(df, job, ChangeDetector(ts, order, value, scale), ", score double, is_change boolean")
+    return _run(df, job, ChangeDetector(ts, order, frame, first, second), ", score double, is_change boolean")
+
+
+def sample_adaptive_stream(df: DataFrame, job: str, ts: str, frame: str, order: str, interval: float, likeness: Likeness) -> DataFrame:
+    """The frames of a stream that the adaptive sampler keeps."""
+    return _run(df, job, AdaptiveSampler(ts, order, frame, interval, likeness), "")
 
 
 def sample_gaps_stream(df: DataFrame, job: str, ts: str, interval: int, order: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_difference():
     assert abs(K.histogram_correlation(colour, colour) - 1) < 1e-9
 
 
+def test_text_density_and_passes():
+    a, flat = page(), np.full((120, 160), 230, dtype=np.uint8)
+    assert K.text_density(flat) == 0.0 and 0.1 < K.text_density(a) < 0.9
+    dot = flat.copy()
+    dot[60, 80] = 0  # a closing leaves a single dark pixel as it is
+    assert round(K.text_density(dot) * dot.size) == 1
+    colour = np.repeat(a[:, :, None], 3, axis=2)
+    assert K.hash_likeness(colour, colour) == 1.0 and abs(K.precise_likeness(colour, colour) - 1) < 1e-9 and abs(K.thumbnail_likeness(a, a) - 1) < 1e-9
+    assert K.thumbnail_likeness(a, 255 - a) < 0 and K.thumbnail_likeness(flat, a) == 1.0
+
+
 def test_udf(spark):
     from quillframe.shipping import ship
 

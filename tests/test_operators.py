@@ -1,12 +1,16 @@
 """Golden cases and properties of the operators."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.functions import rules
+from quillframe.functions import rules, spans
 from quillframe.functions.text import clean_ocr
-from quillframe.operators import classify, entities, layout, lookups, scoring, search, structure, timeseries
-from quillframe.sources import readers, writers
+from quillframe import plugins
+from quillframe.operators import batch, classify, entities, layout, lookups, scoring, search, structure, timeseries
+from quillframe.sources import readers, video, writers
 
 
 def found(spark, text):
@@ -21,6 +25,8 @@ def found(spark, text):
         ("pay $2450 now", ("currency", "$245", 4, 8)),
         ("IL 62701", ("zip_code", "62701", 3, 8)),
         ("NPI: 1234567890", ("npi", "1234567890", 5, 15)),
+        ("NPI1234567890", ("npi", "1234567890", 3, 13)),
+        ("x National   Provider ID ##:::::::: 1234567890", ("npi", "1234567890", 36, 46)),
         ("due 03/15/2024 ok", ("date", "03/15/2024", 4, 14)),
         ("mail a.b@c.org!", ("email", "a.b@c.org", 5, 14)),
         ("at 10:30 PM", ("time_value", "10:30 PM", 3, 11)),
@@ -49,6 +55,24 @@ def test_person_names_exclude_title_words(spark):
     assert not [e for e in found(spark, "Total Amount") if e[0] == "person_name"]
 
 
+def test_spans_and_resolution_of_long_lists(spark):
+    """Beyond one part of a running total, with characters of several bytes and the signs that mark matches."""
+    r = random.Random(4)
+    texts = ["", None, "none", "7", "é1😀22x", "a" + spans.OPEN + "1b" + spans.CLOSE + "2", "".join(str(r.randint(0, 999)) + r.choice(["x", "é", "😀 "]) for _ in range(1000))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(spans.spans(F.col("t"), "[0-9]+").alias("s")).collect()
+    assert [[tuple(x) for x in g.s or []] for g in got] == [[(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", t or "")] for t in texts]
+
+    def greedy(items):
+        kept = []
+        for s, e, i in sorted(items, key=lambda x: (x[0] - x[1], x[2])):
+            kept += [(s, e, i)] * all(not (s < b and a < e) for a, b, _ in kept)
+        return sorted(kept)
+
+    cases = [[(s := r.randint(0, m), s + r.randint(1, 12), i) for i in range(n)] for n, m in ((0, 1), (1, 5), (9, 20), (100, 60), (600, 3000))]
+    done = spark.createDataFrame([(c,) for c in cases], "x array<struct<start:int,end:int,i:int>>").select(spans.resolve(F.col("x"), "struct<start:int,end:int,i:int>").alias("y")).collect()
+    assert [[tuple(x) for x in d.y] for d in done] == [greedy(c) for c in cases]
+
+
 def test_keyword_relevance(spark):
     df = spark.createDataFrame([("Income and household form",), ("",), (None,)], "t string")
     rows = df.select(scoring.matched_keywords(F.col("t"), ["income", "household", "form", "benefit"]).alias("m"), scoring.keyword_relevance(F.col("t"), ["income", "household", "form", "benefit"]).alias("s")).collect()
@@ -77,12 +101,50 @@ def test_change_detector_cooldown_and_unreadable():
     steps = [(0, 0.0), (1999, 250.0), (2000, 250.0), (2500, None), (5000, 250.0)]
     state, out = None, []
     for ts, v in steps:
-        state, score, changed = timeseries.change_step(state, ts, v, 300.0)
+        state, score, changed = timeseries.change_step(state, ts, v, timeseries.scalar_likeness(300.0))
         out.append((round(score, 4), changed))
     assert [c for _, c in out] == [True, False, True, False, False]
     assert out[3] == (0.0, False) and out[4][0] == 0.0
 
 
+def test_second_pass_decides_between_the_limits():
+    def run(rough, fine):
+        state = timeseries.change_step(None, 0, "a", None)[0]
+        return timeseries.change_step(state, 5000, "b", lambda a, b: rough, lambda a, b: fine)[1:]
+
+    assert run(0.96, 0.0) == (0.04, False) and run(0.59, 1.0) == (0.41, True)  # the first pass is sure
+    assert run(0.95, 0.84) == (0.16, True) and run(0.6, 0.86) == (0.14, False)
+    assert run(0.7, -0.5) == (1.5, True)
+
+
+def test_adaptive_sampler():
+    like = {("a", "b"): 0.99, ("a", "c"): 0.9, ("c", "d"): 0.95, ("d", "e"): 0.98}
+    state, kept = None, []
+    for ts, v in [(0, "a"), (1999, "c"), (2000, "b"), (3999, "c"), (4000, "c"), (5499, "d"), (5500, "d"), (7499, "e"), (7500, "e"), (9500, None)]:
+        state, take = timeseries.sample_step(state, ts, v, lambda a, b: like[a, b], 2000)
+        if take:
+            kept.append(ts)
+    # 2000 is like the kept one: the next look is at 4000. There much changed: the next look is 1500 later. 0.98 is not over 0.98.
+    assert kept == [0, 4000, 5500, 7500, 9500]
+
+
+def test_folds_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(f"j{i % 2}" if i < 80 else None, i * 500, float(i % 11), i) for i in range(90)], "job string, ts bigint, v double, ord bigint")
+        got = sorted((r.job or "", r.ord) for r in timeseries.sample_adaptive(df, "job", "ts", "v", "ord", 2000, timeseries.scalar_likeness(100.0)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for job in ("j0", "j1", ""):
+        state = None
+        for i in range(90):
+            if job == (f"j{i % 2}" if i < 80 else ""):
+                state, take = timeseries.sample_step(state, i * 500, float(i % 11), timeseries.scalar_likeness(100.0), 2000)
+                want += [(job, i)] * take
+    assert got == sorted(want)
+
+
 def test_greedy_distinct_is_maximal(spark):
     df = spark.createDataFrame([("j", float(i % 5), i, i * 37 % 64) for i in range(40)], "job string, score double, ord int, item bigint")
     like = lambda a, b: 1 - F.bit_count(a.bitwiseXOR(b)) / 6
@@ -128,6 +190,19 @@ def test_search_shows_a_reference_once(spark):
     assert got == [("r2", "frames", 3), ("r1", "shots", 2)]
 
 
+def test_search_finds_a_frame_whose_screenshot_lacks_the_word(spark):
+    a = spark.createDataFrame([("r1", "nothing here", 0), ("r2", "form", 1)], "ref string, text string, ord int")
+    b = spark.createDataFrame([("r1", "a form", 0), ("r2", "form form", 1)], "ref string, text string, ord int")
+    got = [(r.ref, r.source) for r in search.search([(a, "shots"), (b, "frames")], "form", "ref", "text", "ord").collect()]
+    assert sorted(got) == [("r1", "frames"), ("r2", "shots")]
+
+
+def test_titles_look_at_the_first_fifty_frames(spark):
+    rows = [("a", i, None if i < 49 else "Eligibility Review" if i == 49 else "Later Words") for i in range(60)] + [("b", i, "" if i < 50 else "Too Late") for i in range(60)]
+    df = spark.createDataFrame(rows, "job string, ord int, text string")
+    assert {r.job: r.title for r in search.title_words(df, "job", "text", "ord").collect()} == {"a": "Eligibility Review"}
+
+
 def test_last_duplicate_frame_counts(spark):
     shots = spark.createDataFrame([("j", "frame_000001", "s")], "job string, ref string, shot string")
     frames = spark.createDataFrame([("j", 1, "old", 0), ("j", 1, "new", 1)], "job string, idx int, text string, ord int")
@@ -169,5 +244,87 @@ def test_logistic_model_round_trip(spark, tmp_path):
     assert got.filter("prediction = _label").count() == len(rows)
 
 
+def test_linear_svm_and_cross_validation(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = [(i, t, label) for i, (t, label) in enumerate([("income wages salary pay", "A"), ("household family children spouse", "B"), ("policy rule guidance criteria", "C")] * 10)]
+    df = spark.createDataFrame(rows, "id bigint, text string, label string")
+    path = str(tmp_path / "svm")
+    classify.train_linear_svm(df, "label", "text").write().overwrite().save(path)
+    assert classify.predicted_label(PipelineModel.load(path), df).filter("predicted = label").count() == len(rows)
+    done = classify.cross_validated(df, "label", "id", "text", k=3)
+    assert done.count() == len(rows) and classify.fold_summary(done, "fold", "label", "predicted").first().asDict() == {"folds": 3, "mean": 1.0, "std": 0.0, "min": 1.0, "max": 1.0}
+
+
+def test_one_failing_row_ends_nothing(spark):
+    df = spark.createDataFrame([(1, "4"), (2, "x"), (3, None), (4, "0")], "id bigint, t string")
+    done = batch.batch_map(df, "id", ["t"], lambda t: 8 // int(t), "int")
+    got = {r.id: (r.result, (r.error or "").split(":")[0]) for r in done.collect()}
+    assert got == {1: (2, ""), 2: (None, "ValueError"), 3: (None, "TypeError"), 4: (None, "ZeroDivisionError")}
+    assert tuple(batch.batch_counts(done).first()) == (1, 3)
+    assert batch.batch_map(df.limit(0), "id", ["t"], lambda t: 1, "int").collect() == []
+
+
+def test_results_by_job_and_frame(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3], i // 2) for i in range(12)], "id bigint, job_id string, frame_id string, created_at bigint")
+    ids = lambda **k: [r.id for r in lookups.results(df, **k).collect()]
+    assert ids(limit=3) == [11, 10, 9] and ids(job_id="a") == [10, 8, 6, 4, 2, 0] and ids(frame_id="x") == [9, 6, 3, 0] and ids(job_id="a", frame_id="x") == [6, 0]
+
+
+def test_a_threshold_of_zero_shows_all(spark):
+    df = spark.createDataFrame([("j", 10.0), ("j", 60.0), ("j", None)], "job string, c double")
+    assert tuple(lookups.shown_of_total(df, "job", "c", 0).first()) == ("j", 3, 3) and tuple(lookups.shown_of_total(df, "job", "c", 50).first()) == ("j", 1, 3)
+
+
+DECODER = """
+class Clip:
+    codec, width, height = "raw", 2, 2
+
+    def __init__(self, path):
+        data = open(path.removeprefix("file:"), "rb").read()
+        if data[:4] != b"CLIP":
+            raise ValueError("not a clip")
+        self.data, self.fps = data[5:], data[4] * 4
+        self.frame_count, self.end_ms = len(self.data) // 4, 123.0
+
+    def frames(self):
+        for i in range(self.frame_count):
+            yield i * 1000 / self.fps, self.data[4 * i : 4 * i + 4]
+
+
+def opened(path):
+    return Clip(path)
+"""
+
+
+def test_recordings_by_a_plugged_decoder(spark, tmp_path):
+    (tmp_path / "clip_decoder.py").write_text(DECODER)
+    spark.sparkContext.addPyFile(str(tmp_path / "clip_decoder.py"))
+    folder = tmp_path / "clips"
+    folder.mkdir()
+    (folder / "a.mp4").write_bytes(b"CLIP\x01" + bytes(range(12)))
+    (folder / "b.webm").write_bytes(b"CLIP\xff" + bytes(8))  # a rate of over 500 can't be: the last position counts
+    (folder / "c.mov").write_bytes(b"junk")
+    (folder / "d.txt").write_bytes(b"CLIP\x01")
+    got = {r.path.rsplit("/", 1)[1]: r for r in video.probe(spark, str(folder), "clip_decoder:opened").collect()}
+    assert (got["a.mp4"].valid, got["a.mp4"].duration_ms, got["a.mp4"].width, got["a.mp4"].codec) == (True, 750.0, 2, "raw")
+    assert got["b.webm"].duration_ms == 123.0 and got["c.mov"].error == "ValueError: not a clip"
+    assert got["d.txt"].error == "unsupported extension: txt" and not got["d.txt"].valid
+    rows = video.frames(spark, [str(folder / "a.mp4"), str(folder / "b.webm")], "clip_decoder:opened").collect()
+    assert sorted((r.path[-6:], r.frame_index, r.timestamp_ms, bytes(r.pixels)) for r in rows if r.path.endswith("a.mp4")) == [("/a.mp4", i, i * 250, bytes(range(4 * i, 4 * i + 4))) for i in range(3)]
+    assert len(rows) == 5
+
+
+def test_failing_taggers_have_error_rows(spark):
+    def names(texts):
+        if "bad" in texts[0]:
+            raise RuntimeError("model failed")
+        return [[(0, 3, "NAME")]]
+
+    df = spark.createDataFrame([(1, "Ana wrote"), (2, "bad text"), (3, None)], "id bigint, t string")
+    got = {r.key: (r.text, r.label, r.error) for r in plugins.tagged(df, "id", "t", names).collect()}
+    assert got == {1: ("Ana", "NAME", None), 2: (None, None, "model failed"), 3: ("", "NAME", None)} and plugins.tagged(df, "id", "t", None).collect() == []
+
+
 def test_word_lists():
     assert len(rules.RELEVANCE_KEYWORDS) == 21 and len(rules.ENTITY_TYPES) == 22 and len(rules.STATE_NAMES) == 51

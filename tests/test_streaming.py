@@ -22,12 +22,21 @@ def test_changes(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(rows(), SCHEMA).coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(SCHEMA).parquet(source)
-    got = run(spark, changes.detect_changes_stream(stream, "job", "ts", "value", "ord", 300.0), tmp_path, "changes_out")
-    batch = timeseries.detect_changes(spark.read.parquet(source), "job", "ts", "value", "ord", 300.0)
+    got = run(spark, changes.detect_changes_stream(stream, "job", "ts", "value", "ord", timeseries.scalar_likeness(300.0), timeseries.scalar_likeness(400.0)), tmp_path, "changes_out")
+    batch = timeseries.detect_changes(spark.read.parquet(source), "job", "ts", "value", "ord", timeseries.scalar_likeness(300.0), timeseries.scalar_likeness(400.0))
     columns = ["job", "ord", "score", "is_change"]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
 
 
+def test_adaptive_sampler(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows(), SCHEMA).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    got = run(spark, changes.sample_adaptive_stream(stream, "job", "ts", "value", "ord", 3000, timeseries.scalar_likeness(300.0)), tmp_path, "adaptive_out")
+    batch = timeseries.sample_adaptive(spark.read.parquet(source), "job", "ts", "value", "ord", 3000, timeseries.scalar_likeness(300.0))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and 3 < batch.count() <= 45
+
+
 def test_sampler_over_batches_and_late_rows(spark, tmp_path):
     source = str(tmp_path / "in2")
     parts = [[("j", 0, 0.0, 0), ("j", 900, 0.0, 1)], [("j", 1000, 0.0, 2), ("j", 500, 0.0, 3)], [("j", 2500, 0.0, 4)]]
