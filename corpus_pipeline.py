@@ -31,7 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row; secrets in texts are replaced by a mask."""
-    return secret_scan.redact(docs, secret_scan.train(secret_scan.synthetic_findings(spark)))
+    language = secret_scan.learn_words(docs)
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.synthetic_findings(spark, language=language), language))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
