@@ -338,7 +338,7 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     links.verify(_hamming_pairs(single, radius))
     tokens = single.select("row", "n", F.posexplode("prefix").alias("at", "h"))
     often = tmp.keep(tokens.groupBy("h").agg(F.count("*").alias("group_rows")).filter("group_rows > 1"), "often")
-    met = tmp.keep(split_lookup(tokens.select("h", "row", "n", "at"), often, "h", often.agg(F.coalesce(F.sum("group_rows"), F.lit(0))).first()[0]), "met")
+    met = tmp.keep(tokens.select("h", "row", "n", "at").join(often.hint("merge"), "h"), "met")  # a row has a shingle once, and copies are folded
     tmp.drop("made", "often")
     for turn in range(MOST_STARS + 1):
         roots = tmp.keep(links.roots(), f"roots{turn}")
@@ -349,7 +349,7 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
         members, pairs = mixed.agg(F.coalesce(F.sum("group_rows"), F.lit(0)), F.coalesce(F.sum(F.col("group_rows") * (F.col("group_rows") - 1) / 2), F.lit(0.0))).first()
         if not members:
             break
-        met = tmp.keep(split_lookup(tied, mixed, "h", members), f"met{turn}")
+        met = tmp.keep(tied.join(mixed.hint("merge"), "h"), f"met{turn}")
         tmp.drop(f"met{turn - 1}" if turn else "met", f"tied{turn}")
         last = turn >= STARS and (pairs <= EACH * members or not links.sizes[-1] or turn == MOST_STARS)
         links.verify(_all_pairs(met, similarity) if last else _star_pairs(met))
