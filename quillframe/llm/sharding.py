@@ -5,7 +5,7 @@ and only this bounded table reaches the driver, which gives each slot to a shard
 lightest shard. The map is stored as version 0, 1, ...; rebalancing edits the latest one, moving as few slots as
 bring the shards to their target, and stores the next. Records never look at anything but hash and map.
 
-Defined results: a null text has no bytes (its size is 1); a null id is replaced by a hash of the text, so that such rows
+Defined results: a null text has no bytes (its size is 1); null and repeated ids are told apart by their texts, so that such rows
 spread too. Equal rows get the same slot. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -20,8 +20,8 @@ from .common import Scratch, fresh
 
 
 def virtual_slot(doc_id, crc, size, slots: int):
-    """The slot of a record for good: by its id, or by its text where that is null."""
-    return F.pmod(F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(crc, size)), F.lit(slots)).cast("int")
+    """The slot of a record for good, by its id and its text: rows of a repeated or null id spread."""
+    return F.pmod(F.xxhash64(doc_id, crc, size), F.lit(slots)).cast("int")
 
 
 def slot_rows(docs: DataFrame, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,12 +98,17 @@ def slot_weights(rows: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}  # one row per virtual slot
 
 
-def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Adds shard and slot, the row's place in its shard (gapless from 0): counts before its virtual slot plus its place there."""
-    counts = rows.groupBy("virtual_slot").count().join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
-    before = counts.select("virtual_slot", "shard", (F.sum("count").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("count")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "row")).cast("long") - 1
-    return rows.withColumn("inside", inside).join(F.broadcast(before), "virtual_slot").select(*rows.columns, "shard", (F.col("before") + F.col("inside")).alias("slot"))
+def place(rows: DataFrame, slot_map: DataFrame, salts: int = 16) -> DataFrame:
+    """Adds shard and slot, the row's place in its shard (gapless from 0): counts before its virtual slot and salt plus its place there.
+
+    A virtual slot is numbered by `salts` tasks, so that one with very many rows is no single task's.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("virtual_slot", "salt").count().join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    order = Window.partitionBy("shard").orderBy("virtual_slot", "salt")
+    before = counts.select("virtual_slot", "salt", "shard", (F.sum("count").over(order) - F.col("count")).alias("before"))  # slots * salts rows at most
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "salt").orderBy("doc_id", "text_crc32", "row")).cast("long") - 1
+    return salted.withColumn("inside", inside).join(F.broadcast(before), ["virtual_slot", "salt"]).select(*rows.columns, "shard", (F.col("before") + F.col("inside")).alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
