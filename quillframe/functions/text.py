@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space (what an ASCII \\s matches) at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def blank_to(c: Column, other: Column) -> Column:
@@ -41,12 +42,18 @@ def mask_ssn(c: Column) -> Column:
     return F.regexp_replace(c, r"^\d{3}-\d{2}", "***-**")
 
 
+# Expressions of the two cleanings.
+CONTROLS, WIDE, ONE_SIGN, MANY_LINES = r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " {3,}", r"^[\p{L}\p{N}]$", "\n{4,}"
+NOT_PRINTABLE, PHONE = r"[^\x20-\x7E]+", r"\(?\b\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b"
+DATES = [r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", r"\b\d{4}[/\-]\d{1,2}[/\-]\d{1,2}\b"]
+PHONE_MARK, DATE_MARK = "PHONE_NO", "DATE_VAL"
+
+
 def clean_ocr(text: Column) -> Column:
     """Control characters out, wide gaps to two blanks, one-sign lines out, at most two blank lines in a row."""
-    t = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    t = F.regexp_replace(t, " {3,}", "  ")
-    kept = F.filter(F.split(t, "\n", -1), lambda x: (F.char_length(strip(x)) != 1) | strip(x).rlike(r"^[\p{L}\p{N}]$"))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{4,}", "\n\n\n"))
+    t = F.regexp_replace(F.regexp_replace(text, CONTROLS, ""), WIDE, "  ")
+    kept = F.filter(F.split(t, "\n", -1), lambda x: (F.char_length(strip(x)) != 1) | strip(x).rlike(ONE_SIGN))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), MANY_LINES, "\n\n\n"))
 
 
 def readable_lines(text: Column, most: int = 18) -> Column:
@@ -57,8 +64,7 @@ def readable_lines(text: Column, most: int = 18) -> Column:
 
 def normalise_for_model(text: Column) -> Column:
     """Printable ASCII, single blanks, phone numbers and dates as placeholders, lower case."""
-    t = F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E]+", " "), " {2,}", " ")
-    t = F.regexp_replace(t, r"\(?\b\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b", "PHONE_NO")
-    t = F.regexp_replace(t, r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "DATE_VAL")
-    t = F.regexp_replace(t, r"\b\d{4}[/\-]\d{1,2}[/\-]\d{1,2}\b", "DATE_VAL")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NOT_PRINTABLE, " "), " {2,}", " "), PHONE, PHONE_MARK)
+    for pattern in DATES:
+        t = F.regexp_replace(t, pattern, DATE_MARK)
     return F.lower(F.btrim(t))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def _strings(words: list[str]) -> Column:
 
 def matched_keywords(text: Column, keywords: list[str] = rules.RELEVANCE_KEYWORDS) -> Column:
     """Keywords that the lower-cased text contains anywhere, in the list's order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(_strings([k.lower() for k in keywords]), lambda k: F.contains(low, k))
+    low = F.lower(F.coalesce(text, F.lit("")))  # no lambda: inside one it would be lower-cased for each keyword
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k.lower())) for k in keywords])) if keywords else _strings([])
 
 
 def keyword_relevance(text: Column, keywords: list[str] = rules.RELEVANCE_KEYWORDS) -> Column:
@@ -38,8 +40,8 @@ def classify_by_rules(text: Column, structure: Column, matched: Column | None =
     low, own = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(matched, F.array().cast("array<string>")) if matched is not None else None
     scored = []
     for rank, (section, words) in enumerate(section_rules.items()):
-        hit = lambda k: F.contains(low, k) if own is None else F.contains(low, k) | F.array_contains(own, k)
-        score = F.size(F.filter(_strings(words), hit)) / F.lit(float(len(words)))
+        hit = lambda k: F.contains(low, F.lit(k)) if own is None else F.contains(low, F.lit(k)) | F.array_contains(own, k)
+        score = reduce(Column.__add__, [hit(k).cast("int") for k in words]) / F.lit(float(len(words)))
         if section == "table":
             score = F.when(structure >= 0.4, F.least(score + 0.3 * structure, F.lit(1.0))).otherwise(score)
         scored.append(F.struct(score.alias("score"), F.lit(-rank).alias("order"), F.lit(section).alias("section")))
@@ -53,6 +55,7 @@ def _look_up(table: dict, key: Column, default) -> Column:
     return F.coalesce(F.element_at(pairs, key), F.lit(default))
 
 
+# The sentences of `synthesize`.
 def synthesize(section: Column, text: Column, matched: Column, confidence: Column, ms: Column) -> dict[str, Column]:
     """Heading, summary, key points and order of a section."""
     heading, body = _look_up(rules.HEADINGS, section, rules.HEADINGS["unknown"]), strip(F.coalesce(text, F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
+from quillframe.functions.spans import bound
 from quillframe.functions.text import strip
 
 # Patterns of pairs (in order of precedence), list items and header lines. (?md): a line ends at a line feed only.
@@ -14,6 +15,7 @@ LINE_PAIR_PATTERNS = [r"^(.{2,40}?)\s*[:]\s+(.+)$", r"^(.{2,40}?)\s*[.]{3,}\s*(.
 BULLET = r"^\s*[•\-*●○‣⁃◦>]\s+(.+)$"
 NUMBER = r"^\s*(?:\d{1,3})[.)]\s+(.+)$"
 LETTER = r"^\s*(?:[a-zA-Z])[.)]\s+(.+)$"
+MAY_BE_PAIR, MAY_BE_CELLS = r"[:|=]|[.]{3}", r"\t| {3}"  # without such a sign no pattern of pairs or cells can match
 ANY_NUMBER = r"^\s*(?:\d{1,3}[.)]\s+|[a-zA-Z][.)]\s+|(?:i{1,3}|iv|v|vi{0,3}|ix|x)[.)]\s+)(.+)$"
 
 
@@ -29,7 +31,7 @@ def key_values(df: DataFrame, key: str, text: str, labels: list[str] = rules.FOR
     found = found.filter((F.char_length("name") >= 2) & (F.char_length("name") <= 50) & (F.char_length("value") >= 1) & ~F.col("name").rlike("^[0-9]") & F.col("name").rlike(r"\p{L}"))
     low = F.lower(strip(F.col("name")))
     first = found.withColumn("_r", F.row_number().over(Window.partitionBy(key, low).orderBy("pattern", "i"))).filter("_r = 1")
-    known = F.exists(F.array(*[F.lit(x) for x in labels]), lambda x: F.contains(low, x))
+    known = bound(low, lambda v: F.exists(F.array(*[F.lit(x) for x in labels]), lambda x: F.contains(v, x)))
     return first.select(key, "pattern", "i", "name", "value", known.alias("is_known_field"))
 
 
@@ -75,11 +77,11 @@ def headers(df: DataFrame, key: str, text: str) -> DataFrame:
     line = F.col("line")
     n, letters = F.char_length(line), F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
     plain = ~line.rlike("[:#]")
-    caps = is_upper(line) & (n > 3) & (n < 80) & plain
+    caps = (n > 3) & (n < 80) & is_upper(line) & plain
     words = F.size(F.split(line, r"\s+"))
-    title = ~caps & is_title(line) & (n > 3) & (n < 60) & plain & ~line.rlike(r"[,.;]$|^\d") & F.contains(line, F.lit(" ")) & words.between(2, 6)
+    title = ~caps & (n > 3) & (n < 60) & is_title(line) & plain & ~line.rlike(r"[,.;]$|^\d") & F.contains(line, F.lit(" ")) & words.between(2, 6)
     good = (caps & (letters >= 3) & (letters > n * 0.5)) | title
-    return lines_of(df, key, text).filter((line != "") & good).select(key, "line_num", line.alias("header"))
+    return lines_of(df, key, text).filter(n.between(4, 79) & good).select(key, "line_num", line.alias("header"))
 
 
 def structured_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -90,12 +92,14 @@ def structured_lines(df: DataFrame, key: str, text: str) -> DataFrame:
         a, b = strip(F.regexp_extract(line, pattern, 1)), strip(F.regexp_extract(line, pattern, 2))
         ok = line.rlike(pattern) & (F.char_length(a) >= 2) & (F.char_length(b) >= 1) & ~a.rlike("^[0-9]")
         name, value = F.when(ok, a).otherwise(name), F.when(ok, b).otherwise(value)
-    cells = F.transform(F.split(line, r"\t| {3,}", -1), lambda x: strip(x))
+    may_be = line.rlike(MAY_BE_PAIR)
+    name, value = F.when(may_be, name), F.when(may_be, value)
+    cells = F.when(line.rlike(MAY_BE_CELLS), F.transform(F.split(line, r"\t| {3,}", -1), lambda x: strip(x))).otherwise(F.array().cast("array<string>"))
     class_ = (
         F.when(line == "", "blank")
         .when(is_upper(line) & (n > 3) & (n < 60) & ~F.left(line, F.lit(3)).rlike(r"\d"), "header")
         .when(F.col("name").isNotNull(), "pair").when(line.rlike(BULLET), "bulleted").when(line.rlike(ANY_NUMBER), "numbered")
-        .when((F.size("cells") >= 2) & ~F.exists("cells", lambda c: c == ""), "data").otherwise("other")
+        .when((F.size(F.col("cells")) >= 2) & ~F.exists("cells", lambda c: c == ""), "data").otherwise("other")
     )
     item = F.when(F.col("class") == "bulleted", strip(F.regexp_extract(line, BULLET, 1))).when(F.col("class") == "numbered", strip(F.regexp_extract(line, ANY_NUMBER, 1)))
     return lines_of(df, key, text).withColumns({"name": name, "value": value, "cells": cells}).withColumn("class", class_).select(
