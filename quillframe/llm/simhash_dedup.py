@@ -108,7 +108,9 @@ def hamming_links(classes: DataFrame, radius: int = 2, bucket: int = 8, bits: in
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(x) for x in flips]) if radius == 2 else F.array(*[F.struct(F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(~(1 << i) & (1 << 64) - 1)))) for i in range(bits)])
     stars = hot.select(*by, "fp", F.explode(points).alias("point")).groupBy(*by, "point").agg(group.alias("g")).filter(F.size("g") > 1)
     stars = stars.select(*by, F.get("g", F.lit(0)).alias("a"), F.explode(F.slice("g", 2, bits + 1)).alias("b"))
-    return two.unionByName(mid).unionByName(stars).distinct()
+    links = tmp.keep(two.unionByName(mid).unionByName(stars).distinct(), "links")
+    tmp.drop("shared", "met")
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, bucket: int = 8) -> DataFrame:
@@ -304,7 +306,7 @@ def _hamming_pairs(sets: DataFrame, radius: int) -> DataFrame:
     fps = tmp.keep(sets.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")), "fps")
     crowded = fps.filter("group_rows > 1")
     same = split_lookup(sets.select("row", "fp"), crowded, "fp", sets.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    near = tmp.keep(hamming_links(fps.select("fp"), radius), "near")
+    near = hamming_links(fps.select("fp"), radius)
     first = fps.select("fp", "first")
     met = near.join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
     return same.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
@@ -355,7 +357,10 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
         links.verify(_all_pairs(met, similarity) if last else _star_pairs(met))
         if last:
             break
-    return links.all()
+    done = Scratch(spark, "similar-links").keep(links.all(), "links")
+    links.tmp.drop()
+    tmp.drop()
+    return done
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,7 +100,8 @@ def test_rows_keep_their_numbers_in_another_plan(spark, tmp_path, keep):
     rows = [(i, f"text number {i % 120} of some words", i, "r", "m") for i in range(240)]
     spark.createDataFrame(rows, schema).repartition(24).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    for frame in (docs, docs.drop("_metadata"), docs.drop("_metadata").filter("doc_id >= 0").union(docs.drop("_metadata").limit(0))):
+    plain = docs.drop("_metadata")
+    for frame in (docs, plain, plain.filter("doc_id >= 0").union(plain.limit(0))) if keep is exact_dedup.keep_first else (plain,):
         spark.conf.set("spark.sql.files.minPartitionNum", "24")
         try:
             kept = keep(frame)
@@ -273,7 +274,7 @@ def test_pairs_beside_a_dissimilar_first_row(spark, tmp_path):
     texts += [" ".join(chain[i : i + 100]) for i in range(0, 200, 4)]
     rows = [(i, t, "en", "s", 1, 1, "d") for i, t in enumerate(texts)]
     want = kept_by_brute_force(rows)
-    for stars in (0, 1, 3):
+    for stars in (0, 2):
         simhash_dedup.STARS, held = stars, simhash_dedup.STARS
         try:
             got = {x.doc_id for x in simhash_dedup.keep_one(stored(spark, tmp_path, rows, f"stars{stars}")).collect()}
