@@ -169,16 +169,17 @@ def o2_page_layout(spark: SparkSession, d: str) -> DataFrame:
     return L.page_layout(_words(spark, d), "page", "ord").select("page", F.md5("text").alias("text"), F.round("mean_conf", 6).alias("mean_conf"))
 
 
-# Attempts of a page: eight in order, two per strategy; the best so far decides after each strategy whether another is run.
-@query(f"""with recursive {FRAMES}, a as (select job_id, frame_index // 2 as strategy, frame_index % 2 as attempt, least(k, 80)::double as conf, (k * 13) % 700 as length from frames where frame_index < 8),
+# Every eight frames of a job are the attempts of one page, two per strategy; the best so far decides after each strategy whether another is run.
+@query(f"""with recursive {FRAMES}, a as (select job_id * 1000000 + frame_index // 8 as page, frame_index % 8 // 2 as strategy, frame_index % 2 as attempt, least(k, 80)::double as conf, (k * 13) % 700 as length from frames),
     s as (select *, 0.7 * conf + 30 * least(length / 500.0, 1.0) as score from a),
-    best as (select x.job_id, x.strategy, (select y.conf from s y where y.job_id = x.job_id and y.strategy <= x.strategy order by y.score desc, y.strategy, y.attempt limit 1) as conf from (select distinct job_id, strategy from s) x),
-    stop as (select job_id, min(strategy) filter (conf >= 75) as stop from best group by job_id)
-    select s.job_id, s.strategy, s.attempt, round(s.score, 6) as score from s join stop using (job_id) where stop is null or strategy <= stop qualify row_number() over (partition by s.job_id order by s.score desc, strategy, attempt) = 1""")
+    best as (select x.page, x.strategy, y.conf from (select distinct page, strategy from s) x join s y on y.page = x.page and y.strategy <= x.strategy qualify row_number() over (partition by x.page, x.strategy order by y.score desc, y.strategy, y.attempt) = 1),
+    stop as (select page, min(strategy) filter (conf >= 75) as stop from best group by page)
+    select s.page, s.strategy, s.attempt, round(s.score, 6) as score from s join stop using (page) where stop is null or strategy <= stop qualify row_number() over (partition by s.page order by s.score desc, strategy, attempt) = 1""")
 def o3_best_strategy(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).filter("frame_index < 8")
-    a = f.select("job_id", F.floor(F.col("frame_index") / 2).cast("long").alias("strategy"), (F.col("frame_index") % 2).alias("attempt"), F.least("k", F.lit(80)).cast("double").alias("conf"), (F.col("k") * 13 % 700).alias("length"))
-    return L.best_strategy(a, "job_id", "strategy", "attempt").select("job_id", "strategy", "attempt", F.round("score", 6).alias("score"))
+    i, k = F.col("frame_index"), F.col("k")
+    page = F.col("job_id") * 1_000_000 + F.floor(i / 8).cast("long")
+    a = frames(spark, d).select(page.alias("page"), F.floor(i % 8 / 2).cast("long").alias("strategy"), (i % 2).alias("attempt"), F.least("k", F.lit(80)).cast("double").alias("conf"), (k * 13 % 700).alias("length"))
+    return L.best_strategy(a, "page", "strategy", "attempt").select("page", "strategy", "attempt", F.round("score", 6).alias("score"))
 
 
 BOXES = "b as (select cast(event_id % 100 as int) as image, cast(event_id as int) as ord, cast((event_id * 37) % 600 as int) as x, cast((event_id * 61) % 400 as int) as y, cast(40 + event_id % 90 as int) as w, cast(20 + event_id % 70 as int) as h, value as score from events)"

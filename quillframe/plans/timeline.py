@@ -292,6 +292,6 @@ def r6_bucket(spark: SparkSession, d: str) -> DataFrame:
     return _routed(spark, d).drop("label")
 
 
-@query(f"with {FRAMES}, r as (select coalesce({_BY_LABEL}, {_ROUTE}, 5) as bucket from frames where k < 8) select b.bucket, count(r.bucket) as n from (values (1), (2), (3), (4), (5)) b(bucket) left join r using (bucket) group by 1")
+@query(f"with {FRAMES}, r as (select coalesce({_BY_LABEL}, {_ROUTE}, 5) as bucket from frames) select b.bucket, count(r.bucket) as n from (values (1), (2), (3), (4), (5)) b(bucket) left join r using (bucket) group by 1")
 def r7_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
-    return S.bucket_counts(_routed(spark, d).join(frames(spark, d).filter("k < 8").select("event_id"), "event_id"))
+    return S.bucket_counts(_routed(spark, d))

@@ -91,6 +91,11 @@ def test_bucket_prefers_the_label(spark):
     assert [r[0] for r in df.select(scoring.report_bucket(F.col("s"), F.col("l"))).collect()] == [2, 1, 5]
 
 
+def test_empty_buckets_are_counted(spark):
+    df = spark.createDataFrame([(2,), (2,), (5,)], "bucket int")
+    assert {r.bucket: r.n for r in scoring.bucket_counts(df).collect()} == {1: 0, 2: 2, 3: 0, 4: 0, 5: 1}
+
+
 def test_window_boundaries(spark):
     df = spark.createDataFrame([("j", 0, 1.0, 0), ("j", 3999, 2.0, 1), ("j", 4000, 2.0, 2), ("j", 4000, 2.0, 3), ("j", 9000, 0.0, 4)], "job string, ts bigint, score double, ord int")
     got = timeseries.best_per_window(df, "job", "ts", "score", 4000, "ord").orderBy("ts").collect()
