@@ -68,6 +68,28 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, context: int = 2048, e
     return rows.mapInArrow(_cut(tokenizer or default_tokenizer(), context, end, keep_ids), PIECES)
 
 
+def dearest(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the highest price that fits: (price, count of each size). Round r allows r lengths; few large ones fit."""
+    left = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    fits, value, picks = left >= 0, np.zeros(capacity + 1), []
+    left = np.maximum(left, 0)
+    for _ in range(capacity // int(sizes.min())):
+        got = np.where(fits, value[left] + price[:, None], -1.0)
+        best = got.argmax(axis=0)
+        top = got[best, np.arange(capacity + 1)]
+        better = top > value + 1e-12
+        if not better.any():
+            break
+        picks.append(np.where(better, best, -1))
+        value = np.where(better, top, value)
+    count, c = np.zeros(len(sizes)), capacity
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            count[pick[c]] += 1
+            c -= sizes[pick[c]]
+    return float(value[capacity]), count
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, tolerance: float = 1e-4, steps: int = 3000) -> list[tuple[list[int], float]]:
     """Solves min sum(x) with sum(x * configuration) = demand by column generation; [(count of each size, x)]."""
     k, s, d = len(sizes), np.array(sizes), np.array(demand, dtype=float)
@@ -75,26 +97,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, tolerance
     for _ in range(steps):
         x = np.linalg.solve(columns, d)
         price = np.linalg.solve(columns.T, np.ones(k))
-        value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        order = np.argsort(s)
-        small, gain = s[order], price[order]
-        for c in range(1, capacity + 1):
-            value[c] = value[c - 1]
-            fits = np.searchsorted(small, c, side="right")
-            if fits:
-                got = value[c - small[:fits]] + gain[:fits]
-                best = int(got.argmax())
-                if got[best] > value[c] + 1e-12:
-                    value[c], pick[c] = got[best], order[best]
-        if value[capacity] <= 1 + tolerance:
+        worth, new = dearest(s, price, capacity)
+        if worth <= 1 + tolerance:
             break
-        new, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                new[pick[c]] += 1
-                c -= s[pick[c]]
         move = np.linalg.solve(columns, new)
         ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())

@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillframe.llm import packing, token_counts
@@ -86,6 +87,19 @@ def test_plan_places_every_length_once(seed):
     assert best <= 1.05 * max(-(-sum(k * v for k, v in hist.items()) // capacity), sum(v for k, v in hist.items() if k > 50))
 
 
+def test_dearest_configuration_against_all():
+    r = random.Random(5)
+    for _ in range(30):
+        sizes = sorted(r.sample(range(9, 60), 5))
+        price = [r.random() * x for x in sizes]
+
+        def best(room):
+            return max([0.0] + [p + best(room - x) for x, p in zip(sizes, price) if x <= room])
+
+        worth, count = packing.dearest(np.array(sizes), np.array(price), 70)
+        assert abs(worth - best(70)) < 1e-9 and sum(c * x for c, x in zip(count, sizes)) <= 70 and abs(sum(c * p for c, p in zip(count, price)) - worth) < 1e-9
+
+
 def test_configurations_beat_one_size_per_sequence():
     found = packing.configurations([60, 40], [10, 10], 100)
     assert abs(sum(x for _, x in found) - 10) < 0.01
