@@ -106,6 +106,16 @@ def test_candidates_and_features_against_brute_force(spark, model):
             assert g[2:] == pytest.approx(w[2:], abs=1e-9), (t, g, w)
 
 
+def test_long_texts_repeated_rows_and_clashing_names(spark, model):
+    """Thousands of secrets in one text are masked in one pass; columns may be called like the operator's own."""
+    long = ("plain words of a long text " * 10 + "password=Xk29sPq81LmZ ") * 3000
+    rows = [(1, long, "s", 5, "m", "h"), (1, long, "s", 5, "m", "h"), (None, "token: Zq81kXw02LmPv7tR", None, None, None, None), (2, None, "s", 1, "m", "h"), (2, "", "s", 0, "m", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, marks string, c0 string")
+    out = secret_scan.redact(docs, model)
+    want = long.replace("Xk29sPq81LmZ", secret_scan.MASK)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(1, want, "s", len(want), "m", "h")] * 2 + [(None, f"token: {secret_scan.MASK}", None, None, None, None), (2, None, "s", 1, "m", "h"), (2, "", "s", 0, "m", "h")], key=str)
+
+
 def test_training_rows_are_chosen_by_hash(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "MAX_TRAINING", 200)
     rows = secret_scan.synthetic_findings(spark, 400)
