@@ -131,14 +131,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Rounds, at least and at most, in which shared shingles are compared with one centre each before all remaining pairs are.
 STARS, MOST_STARS = 2, 10
-#: All remaining pairs are compared once they are at most this many for each row of a shared shingle.
-EACH = 16
+#: All remaining pairs are compared once they are at most EACH for each row of a shared shingle, or a round links less than one in GAIN.
+EACH, GAIN = 16, 50
+#: Bits of a set's bitmap, whose differences bound what two sets can share.
+BITMAP = 512
 #: Shingles that at least SEEN of every SAMPLEth document have are put last in the order of shingles (the most frequent OFTEN of them).
 SAMPLE, SEEN, OFTEN = 16, 8, 100_000
 #: Rows of a shared shingle that one task pairs with all the others; pairs of one row that one task compares.
 BLOCK, SHARE = 2000, 1000
 
 
+BITS = [f"b{i}" for i in range(BITMAP // 64)]
+
+
 def _mix(h, seed: int):
     import numpy as np
 
@@ -186,6 +191,15 @@ def prefix_of(hashes, similarity: float, often, rank):
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else hashes
 
 
+def bitmap(hashes):
+    """BITMAP bits, as longs: each hash sets one. A bit that only one of two sets has is a shingle that the other lacks."""
+    import numpy as np
+
+    bits = np.zeros(BITMAP, dtype=np.uint8)
+    bits[(_mix(hashes, 99) % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _lists(arrays: list):
     import numpy as np
 
@@ -194,18 +208,20 @@ def _lists(arrays: list):
 
 
 def _described(shingle: int, similarity: float, often, rank):
-    """(row, n, s1, s2, fp, prefix): size, 128-bit digest and SimHash of each row's shingle set, and its prefix."""
+    """(row, n, s1, s2, fp, prefix, b0, ...): size, 128-bit digest and SimHash of each row's shingle set, its prefix and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            out, prefixes = np.zeros((4, b.num_rows), dtype=np.int64), []
+            out, prefixes, bits = np.zeros((4, b.num_rows), dtype=np.int64), [], np.zeros((b.num_rows, BITMAP // 64), dtype=np.int64)
             for i, text in enumerate(b.column(1)):
                 s = shingle_set(text.as_py(), shingle)
                 out[:, i] = len(s), s.sum(dtype=np.uint64).view(np.int64), _mix(s, 77).sum(dtype=np.uint64).view(np.int64), voted(s)
                 prefixes.append(prefix_of(s, similarity, often, rank))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out), _lists(prefixes)], ["row", "n", "s1", "s2", "fp", "prefix"])
+                bits[i] = bitmap(s)
+            columns = [*out, _lists(prefixes), *np.ascontiguousarray(bits.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], ["row", "n", "s1", "s2", "fp", "prefix", *BITS])
         give_back()
 
     return run
@@ -240,20 +256,22 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 
 def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all rows of different components that share a prefix shingle and can be similar by sizes, places and number of shared ones.
+    """(a, b): all rows of different components that share a prefix shingle and can be similar by sizes, bitmaps, places and number of shared ones.
 
-    Similar sets have `least` shingles in common. All of these are at or after the first shared one in both; and the prefix that
+    What can't be similar by sizes and bitmaps never leaves the join. Similar sets have `least` shingles in common. All of these are at or after the first shared one in both; and the prefix that
     ends first holds at least `least` - similarity * size (of the larger set) of them, which the other one has too.
     """
     blocks = F.ceil(F.col("group_rows") / BLOCK).cast("int")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "at", "comp")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "at", "comp", *BITS)]
+    least = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
+    lacks = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}")))) for c in BITS])
     left = members.select("h", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), *side("a"))
     right = members.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("b"))
     fits = (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+    fits = fits & (F.col("n_a") - lacks("a", "b") >= least) & (F.col("n_b") - lacks("b", "a") >= least)
     both = left.join(right.hint("merge"), ["h", "block"]).filter(fits)
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     shared = both.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max(rest).alias("rest"))
-    least = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
     can = (F.col("rest") >= least) & (F.col("shared") >= least - similarity * F.greatest("n_a", "n_b"))
     return shared.filter(can).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
 
@@ -325,14 +343,14 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
        of the hashes, with frequent shingles last.
 
     A shared shingle whose rows are of several components first compares each with a centre, at least STARS times and as long as
-    that leaves many pairs; then all pairs that are in different components still are compared.
+    that links many and leaves many pairs; then all pairs in different components that sizes and bitmaps allow are compared.
     """
     spark, tmp = rows.sparkSession, Scratch(rows.sparkSession, "similar")
     ship(spark)
     texts = rows.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = "row bigint, n bigint, s1 bigint, s2 bigint, fp bigint, prefix array<bigint>"
+    schema = "row bigint, n bigint, s1 bigint, s2 bigint, fp bigint, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in BITS)
     made = texts.mapInArrow(_described(shingle, similarity, *_frequent(texts, shingle)), schema)
-    made = tmp.keep(made.select("row", F.struct("n", "s1", "s2").alias("class"), "fp", "prefix"), "made")
+    made = tmp.keep(made.select("row", F.struct("n", "s1", "s2").alias("class"), "fp", "prefix", *BITS), "made")
     classes = tmp.keep(made.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("group_rows")).filter("group_rows > 1"), "classes")
     links = _Links(texts, shingle, similarity)
     links.add(split_lookup(made.select("row", "class"), classes, "class", made.count()).filter("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")))
@@ -341,6 +359,7 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     tokens = single.select("row", "n", F.posexplode("prefix").alias("at", "h"))
     often = tmp.keep(tokens.groupBy("h").agg(F.count("*").alias("group_rows")).filter("group_rows > 1"), "often")
     met = tmp.keep(tokens.select("h", "row", "n", "at").join(often.hint("merge"), "h"), "met")  # a row has a shingle once, and copies are folded
+    bits = tmp.keep(made.select("row", *BITS), "bits")
     tmp.drop("made", "often")
     for turn in range(MOST_STARS + 1):
         roots = tmp.keep(links.roots(), f"roots{turn}")
@@ -353,8 +372,8 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
             break
         met = tmp.keep(tied.join(mixed.hint("merge"), "h"), f"met{turn}")
         tmp.drop(f"met{turn - 1}" if turn else "met", f"tied{turn}")
-        last = turn >= STARS and (pairs <= EACH * members or not links.sizes[-1] or turn == MOST_STARS)
-        links.verify(_all_pairs(met, similarity) if last else _star_pairs(met))
+        last = turn >= STARS and (pairs <= EACH * members or links.sizes[-1] * GAIN < members or turn == MOST_STARS)
+        links.verify(_all_pairs(met.join(bits.hint("merge"), "row"), similarity) if last else _star_pairs(met))
         if last:
             break
     done = Scratch(spark, "similar-links").keep(links.all(), "links")
