@@ -37,8 +37,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: While a scratch table is written: small shuffles end in few tasks and files, and shuffle files go when the write is over.
-WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a scratch table is written: small shuffles end in few tasks and files.
+WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 @contextmanager
