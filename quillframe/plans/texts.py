@@ -31,6 +31,11 @@ def _spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return df.filter(F.col(text).rlike(pattern)).select(key, F.explode(spans(F.col(text), pattern)).alias("s")).select(key, F.col("s.text").alias("value"), F.col("s.start").alias("start"))
 
 
+def _masked(source: str, key: str) -> str:
+    """The source with a column in which letters beyond ASCII are underscores: as in Java, a word ends at neither of them."""
+    return f"(select {key}, text, regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', '_', 'g') as masked from {source})"
+
+
 @query(span_sql("documents", "doc_id", "text", EMAIL))
 def e2_email_spans(spark: SparkSession, d: str) -> DataFrame:
     return _spans(table(spark, d, "documents"), "doc_id", "text", EMAIL)
@@ -47,19 +52,19 @@ def e3_percentage_spans(spark: SparkSession, d: str) -> DataFrame:
     return _spans(table(spark, d, "documents"), "doc_id", "text", RULE["percentage"])
 
 
-@query(span_sql("documents", "doc_id", "text", RULE["person_name"]))
+@query(span_sql(_masked("documents", "doc_id"), "doc_id", "masked", RULE["person_name"]))
 def e6_capital_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _spans(table(spark, d, "documents"), "doc_id", "text", RULE["person_name"])
 
 
-def _quoted(words: list[str]) -> str:
+def _words_sql(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
 def entities_sql(source: str, key: str) -> str:
     """All entity rules in SQL, whose expressions have no look-around: a ZIP code is found with its state, a number with its name.
 
-    source has key and text. Spans that overlap fall into clusters; in each the longest is taken, then the earlier rule, and so on.
+    source has key and text. Addresses apart, rules see a text whose letters beyond ASCII are masked. Spans that overlap fall into clusters; in each the longest is taken, then the earlier rule, and so on.
     """
     parts = []
     for n, (kind, pattern) in enumerate(rules.ENTITY_PATTERNS):
@@ -70,9 +75,9 @@ def entities_sql(source: str, key: str) -> str:
             at, shown = f"start + {skip}", f"substr(value, {skip + 1})"
             if kind == "npi":
                 at, shown = "start + length(value) - 10", "right(value, 10)"
-            where = {"organization": f"length(trim(value)) >= 4 and trim(value) not in {_quoted(rules.STATE_CODES)}", "person_name": f"not list_has_any(string_split_regex(trim(value), '\\s+'), [{_quoted(rules.NOT_NAMES)[1:-1]}])"}.get(kind, "true")
+            where = {"organization": f"length(trim(value)) >= 4 and trim(value) not in {_words_sql(rules.STATE_CODES)}", "person_name": f"not list_has_any(string_split_regex(trim(value), '\\s+'), [{_words_sql(rules.NOT_NAMES)[1:-1]}])"}.get(kind, "true")
             text = "case when true then regexp_replace(value, '^\\d{3}-\\d{2}', '***-**') end" if kind == "ssn" else f"trim({shown})"
-            parts.append(f"select {key}, {n} as rule, '{kind}' as type, cast({at} as int) as start, cast(start + length(value) as int) as \"end\", {text} as text from ({span_sql(source, key, 'text', p)}) where {where}")
+            parts.append(f"select {key}, {n} as rule, '{kind}' as type, cast({at} as int) as start, cast(start + length(value) as int) as \"end\", {text} as text from ({span_sql(_masked(source, key), key, 'text' if kind in ('url', 'email') else 'masked', p)}) where {where}")
     return f"""with recursive found as ({' union all '.join(parts)}),
         reached as (select *, max("end") over (partition by {key} order by start, rule, "end" rows between unbounded preceding and 1 preceding) as reach from found),
         clustered as (select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (partition by {key} order by start, rule, "end" rows between unbounded preceding and current row) as cluster from reached),
@@ -336,7 +341,7 @@ def k5_top_half(spark: SparkSession, d: str) -> DataFrame:
     return K.top_half(frames(spark, d), "job_id", "value", "event_id").select("job_id", "event_id", "value")
 
 
-_KINDS = {"email": EMAIL, "percentage": RULE["percentage"], "number": "[0-9]+", "person_name": RULE["person_name"]}
+_KINDS = {"email": EMAIL, "percentage": r"[0-9]+(?:\.[0-9]+)?%", "number": "[0-9]+", "capitals": "[A-Z][a-z]+ [A-Z][a-z]+"}
 
 
 def _categories() -> Column:
