@@ -133,8 +133,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 STARS, MOST_STARS = 2, 10
 #: All remaining pairs are compared once they are at most EACH for each row of a shared shingle, or a round links less than one in GAIN.
 EACH, GAIN = 16, 50
-#: Bits of a set's bitmap, whose differences bound what two sets can share.
-BITMAP = 512
+#: Bits of a set's bitmap, whose differences bound what two sets can share; sets of over MAPPED have none, as theirs would be full.
+BITMAP, MAPPED = 1024, 512
 #: Shingles that at least SEEN of every SAMPLEth document have are put last in the order of shingles (the most frequent OFTEN of them).
 SAMPLE, SEEN, OFTEN = 16, 8, 100_000
 #: Rows of a shared shingle that one task pairs with all the others; pairs of one row that one task compares.
@@ -192,11 +192,12 @@ def prefix_of(hashes, similarity: float, often, rank):
 
 
 def bitmap(hashes):
-    """BITMAP bits, as longs: each hash sets one. A bit that only one of two sets has is a shingle that the other lacks."""
+    """BITMAP bits, as longs: each hash of a set of MAPPED at most sets one. A bit that only one of two sets has is a shingle that the other lacks."""
     import numpy as np
 
     bits = np.zeros(BITMAP, dtype=np.uint8)
-    bits[(_mix(hashes, 99) % np.uint64(BITMAP)).astype(np.int64)] = 1
+    if len(hashes) <= MAPPED:
+        bits[(_mix(hashes, 99) % np.uint64(BITMAP)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
@@ -258,8 +259,8 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all rows of different components that share a prefix shingle and can be similar by sizes, bitmaps, places and number of shared ones.
 
-    What can't be similar by sizes and bitmaps never leaves the join. Similar sets have `least` shingles in common. All of these are at or after the first shared one in both; and the prefix that
-    ends first holds at least `least` - similarity * size (of the larger set) of them, which the other one has too.
+    What can't be similar by sizes and bitmaps never leaves the join. Similar sets have `least` shingles in common. All of these
+    are at or after the first shared one in both; and the prefix that ends first holds at least `least` - similarity * size (of the larger set) of them, which the other one has too.
     """
     blocks = F.ceil(F.col("group_rows") / BLOCK).cast("int")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "at", "comp", *BITS)]
@@ -268,7 +269,7 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
     left = members.select("h", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), *side("a"))
     right = members.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("b"))
     fits = (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
-    fits = fits & (F.col("n_a") - lacks("a", "b") >= least) & (F.col("n_b") - lacks("b", "a") >= least)
+    fits = fits & ((F.greatest("n_a", "n_b") > MAPPED) | ((F.col("n_a") - lacks("a", "b") >= least) & (F.col("n_b") - lacks("b", "a") >= least)))
     both = left.join(right.hint("merge"), ["h", "block"]).filter(fits)
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     shared = both.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max(rest).alias("rest"))
