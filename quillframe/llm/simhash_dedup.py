@@ -20,6 +20,7 @@ them as they are, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -256,10 +257,10 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return best.select(F.least("row", "best.centre").alias("a"), F.greatest("row", "best.centre").alias("b")).distinct()
 
 
-def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(members: DataFrame, similarity: float, one: bool = False) -> DataFrame:
     """(a, b): all rows of different components that share a prefix shingle and can be similar by sizes, bitmaps, places and number of shared ones.
 
-    What can't be similar by sizes and bitmaps never leaves the join. Similar sets have `least` shingles in common. All of these
+    one: of the pairs of two components only that with the most shared shingles. What can't be similar by sizes and bitmaps never leaves the join. Similar sets have `least` shingles in common. All of these
     are at or after the first shared one in both; and the prefix that ends first holds at least `least` - similarity * size (of the larger set) of them, which the other one has too.
     """
     blocks = F.ceil(F.col("group_rows") / BLOCK).cast("int")
@@ -272,9 +273,12 @@ def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
     fits = fits & ((F.greatest("n_a", "n_b") > MAPPED) | ((F.col("n_a") - lacks("a", "b") >= least) & (F.col("n_b") - lacks("b", "a") >= least)))
     both = left.join(right.hint("merge"), ["h", "block"]).filter(fits)
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    shared = both.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max(rest).alias("rest"))
+    shared = both.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max(rest).alias("rest"), F.min(F.least("comp_a", "comp_b")).alias("lo"), F.min(F.greatest("comp_a", "comp_b")).alias("hi"))
     can = (F.col("rest") >= least) & (F.col("shared") >= least - similarity * F.greatest("n_a", "n_b"))
-    return shared.filter(can).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    found = shared.filter(can).select("lo", "hi", "shared", F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    if one:
+        found = found.groupBy("lo", "hi").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b")
+    return found.select("a", "b")
 
 
 class _Links:
@@ -362,7 +366,8 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     met = tmp.keep(tokens.select("h", "row", "n", "at").join(often.hint("merge"), "h"), "met")  # a row has a shingle once, and copies are folded
     bits = tmp.keep(made.select("row", *BITS), "bits")
     tmp.drop("made", "often")
-    for turn in range(MOST_STARS + 1):
+    ends = False
+    for turn in itertools.count():
         roots = tmp.keep(links.roots(), f"roots{turn}")
         tied = tmp.keep(met.select("h", "row", "n", "at").join(light(roots.withColumnsRenamed({"node": "row", "root": "comp"})), "row", "left").withColumn("comp", F.coalesce("comp", "row")), f"tied{turn}")
         key = F.col("row").bitwiseXOR(F.xxhash64("h", F.lit(turn)) if turn else F.lit(0).cast("long"))  # which row of a shingle is the centre
@@ -373,9 +378,14 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, te
             break
         met = tmp.keep(tied.join(mixed.hint("merge"), "h"), f"met{turn}")
         tmp.drop(f"met{turn - 1}" if turn else "met", f"tied{turn}")
-        last = turn >= STARS and (pairs <= EACH * members or links.sizes[-1] * GAIN < members or turn == MOST_STARS)
-        links.verify(_all_pairs(met.join(bits.hint("merge"), "row"), similarity) if last else _star_pairs(met))
-        if last:
+        ends = ends or turn >= STARS and (pairs <= EACH * members or links.sizes[-1] * GAIN < members or turn == MOST_STARS)
+        if not ends:
+            links.verify(_star_pairs(met))
+            continue
+        # One pair of two components first, as long as that joins any; what is left then is compared whole.
+        mapped = met.join(bits.hint("merge"), "row")
+        if turn >= MOST_STARS + STARS or not links.verify(_all_pairs(mapped, similarity, one=True)):
+            links.verify(_all_pairs(mapped, similarity))
             break
     done = Scratch(spark, "similar-links").keep(links.all(), "links")
     links.tmp.drop()
