@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language_id, packing, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprint, language_id, packing, runs, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(_docs(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_docs(spark, sf_dir), edit=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup)
+    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup, op11_byte_bpe, op12_periodic_runs)
 }
 
 def _quoted(x: str | None) -> str:

@@ -14,13 +14,13 @@ Only models that leave text as it is (identity normalizer, no removal of extra s
 a piece become byte pieces or the unknown id. Special pieces are never found in text.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids. Repeated rows and null ids are
-rows of their own. An empty table gives an empty result. Other columns are carried.
+rows of their own. An empty table gives an empty result. Other columns are carried; one with the
+name of a new column gives way to it.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import heapq
 import re
@@ -30,18 +30,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, ship
+from .arrow import added, present
 
 SPACE = "▁"
 CHUNK = 1 << 19
 #: Bytes of words and ids that a worker keeps (and as many from before), what a kept word costs besides, and the longest word that is kept.
 CACHE_BYTES, EACH_WORD, KEPT_WORD = 16 << 20, 200, 100
-SLICE = 1 << 22  # characters of text that are worked on at a time
 LONG = 40
 GAP = 0x110000  # between words; no code point
 
@@ -382,66 +380,22 @@ def codec(path: str) -> Codec:
     return Codec(Vocabulary.read(path))
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring rows of about SLICE characters or ids."""
-    lo = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= SLICE:
-            yield lo, i + 1
-            lo, held = i + 1, 0
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
-def _added(df: DataFrame, source: str, columns: list[tuple[str, T.DataType, pa.DataType]], run) -> DataFrame:
-    """df with columns computed from slices of `source` by run(list) -> one list per column."""
-    if {c[0] for c in columns} & set(df.columns):
-        raise ValueError("a column of that name is there already")
-    ship(df.sparkSession)
-    names = df.columns
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    at = names.index(source)
-    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"added{i}", c[1]) for i, c in enumerate(columns))])
-    kinds = [c[2] for c in columns]
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(at)
-            sizes = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0).to_pylist()
-            for lo, hi in _slices(sizes):
-                part = b.slice(lo, hi - lo)
-                new = [pa.array(x, kind) for x, kind in zip(run(part.column(at).to_pylist()), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f"added{i}" for i in range(len(new)))])
-        give_back()
-
-    return plain.mapInArrow(mapped, schema).toDF(*names, *(c[0] for c in columns))
-
-
-def _present(rows: list, run) -> list:
-    """run over the rows that aren't null."""
-    gc.disable()  # no cycles are made here, and hundreds of thousands of short objects would keep the collector busy
-    found = iter(run([x for x in rows if x is not None]))
-    gc.enable()
-    return [None if x is None else next(found) for x in rows]
-
-
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     path = model or default_model()
 
     def run(texts: list) -> list:
-        return [[None if x is None else np.frombuffer(x, dtype="<i4") for x in _present(texts, codec(path).encode)]]
+        return [[None if x is None else np.frombuffer(x, dtype="<i4") for x in present(texts, codec(path).encode)]]
 
-    return _added(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], run)
+    return added(docs, [text_col], [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], run)
 
 
 def decode(docs: DataFrame, model: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     path = model or default_model()
 
     def run(rows: list) -> list:
-        return [_present([None if x is None else np.array(x, dtype="<i4").tobytes() for x in rows], codec(path).decode)]
+        return [present([None if x is None else np.array(x, dtype="<i4").tobytes() for x in rows], codec(path).decode)]
 
-    return _added(docs, ids_col, [(text_col, T.StringType(), pa.string())], run)
+    return added(docs, [ids_col], [(text_col, T.StringType(), pa.string())], run)
 
 
 def report(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,8 +406,8 @@ def report(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     path = model or default_model()
 
     def run(texts: list) -> list:
-        ids = _present(texts, codec(path).encode)
-        back = _present(ids, codec(path).decode)
+        ids = present(texts, codec(path).encode)
+        back = present(ids, codec(path).decode)
         return [
             [None if x is None else len(x) // 4 for x in ids],
             [None if x is None else zlib.crc32(x) for x in ids],
@@ -462,4 +416,4 @@ def report(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
         ]
 
     columns = [("n_ids", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()), ("decoded_sha256", T.StringType(), pa.string()), ("round_trip", T.BooleanType(), pa.bool_())]
-    return _added(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", columns, run).drop("text")
+    return added(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), ["text"], columns, run).drop("text")

@@ -15,7 +15,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: printable Latin-1 bytes stand for themselves, the others follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -38,7 +38,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         import public_tokenizers
         import tiktoken
 
-        alphabet, special = _byte_alphabet(), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        alphabet, special = byte_alphabet(), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         names = set(special)
