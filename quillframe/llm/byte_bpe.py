@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
+def _unassigned() -> np.ndarray:
+    """Whether a code point is unassigned."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
 class Codec:
     """Encoder and decoder of one file of ranks."""
 
@@ -62,14 +68,15 @@ class Codec:
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         stand_in = {byte: char for char, byte in byte_alphabet().items()}
         spelt = {token: "".join(map(stand_in.__getitem__, token)) for token in ranks}
         merges = [(spelt[token[:i]], spelt[token[i:]]) for token in sorted(ranks, key=ranks.get) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         self.model = Tokenizer(models.BPE(vocab={spelt[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cut = regex.compile(pattern).findall
+        self.plain, self.rare = regex.compile(pattern).findall, _unassigned()
+        self.sure = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.known, self.older, self.held = {}, {}, 0
         bare = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -78,6 +85,13 @@ class Codec:
         self.size_of = np.array([len(t) for t in bare], dtype=np.int64)
         self.place_of = np.cumsum(self.size_of) - self.size_of
 
+    def cut(self, text: str) -> list[str]:
+        """The matches of the pattern. The regex package knows later versions of Unicode than the two libraries, so texts with
+        code points that this Python has as unassigned are cut by the slower one, whose classes are tiktoken's."""
+        if not text.isascii() and self.rare[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].any():
+            return [piece for piece, _ in self.sure(text)]
+        return self.plain(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         split = [self.cut(t) for t in texts]

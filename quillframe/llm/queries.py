@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprint, language_id, packing, runs, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_counts, url_filter
+from . import byte_bpe, conversations, exact_dedup, fingerprint, language_id, packing, runs, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(_docs(spark, sf_dir), edit=True)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup, op11_byte_bpe, op12_periodic_runs)
+    for f in (op1_best_fit_packing, op2_token_counts, op3_sharding, op4_simhash_dedup, op5_secret_scan, op6_document_fingerprints, op7_sentencepiece, op8_url_filter, op9_language_id, op10_exact_dedup, op11_byte_bpe, op12_periodic_runs, op13_conversation_repair)
 }
 
 def _quoted(x: str | None) -> str:
