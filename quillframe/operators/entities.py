@@ -9,6 +9,8 @@ from quillframe.functions import rules
 from quillframe.functions.spans import resolve, spans
 from quillframe.functions.text import mask_ssn
 
+from .lexicon import BROADCAST_PHRASES, lexicon_matches
+
 ENTITY = "struct<start:int,end:int,text:string,type:string>"
 
 
@@ -57,33 +59,13 @@ def by_category(entities: Column, types: list[str] = rules.ENTITY_TYPES) -> Colu
     return F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[texts(t) for t in types]))
 
 
-#: A lexicon of more phrases than this is not broadcast.
-BROADCAST_PHRASES = 100_000
-
-
-def lexicon_spans(text: Column, phrases: list[str]) -> Column:
-    """Longest phrases first, whole words, any case, no overlaps: array of (start, end, text, phrase), phrase in lower case.
-
-    One alternation, longest first, finds the leftmost-longest hits in one pass.
-    """
-    ordered = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p), p))
-    pattern = r"(?i)\b(?:" + "|".join("\\Q" + p + "\\E" for p in ordered) + r")\b"
-    return F.transform(spans(text, pattern), lambda s: F.struct(s["start"], s["end"], s["text"], F.lower(s["text"]).alias("phrase")))
-
-
-def lexicon_entities(df: DataFrame, key: str, text: str, lexicon: list[tuple[str, str, str]], normalization: list[tuple[str, str, str]] = rules.NORMALIZATION) -> DataFrame:
+def lexicon_entities(df: DataFrame, key: str, text: str, lexicon: list[tuple[str, str, str]] | DataFrame, normalization: list[tuple[str, str, str]] = rules.NORMALIZATION) -> DataFrame:
     """One row per lexicon entity of a row: key, start, end, text, label, canonical_name, confidence, source, normalized_acronym.
 
-    lexicon: (phrase, canonical, label); of a phrase's labels the last one declared counts. Normalization overrides both. The
-    lexicon is a parameter and joins as a table.
+    lexicon: (phrase, canonical, label), a list in order or a table with the order in `place`; of a phrase's entries the last declared counts. Normalization overrides both.
     """
-    spark = df.sparkSession
-    last = {p.lower(): (p.lower(), c, label) for p, c, label in lexicon}
-    lex = spark.createDataFrame(list(last.values()), "phrase string, canonical string, label string")
-    norm = spark.createDataFrame(list(normalization), "phrase string, n_canonical string, n_label string")
-    hits = df.select(key, F.explode(lexicon_spans(F.col(text), list(last))).alias("e")).select(key, "e.*")
-    hint = F.broadcast if len(last) + len(normalization) <= BROADCAST_PHRASES else (lambda t: t)
-    joined = hits.join(hint(lex), "phrase").join(hint(norm), "phrase", "left")
+    norm = df.sparkSession.createDataFrame(list(normalization), "phrase string, n_canonical string, n_label string")
+    joined = lexicon_matches(df, key, text, lexicon).join(F.broadcast(norm) if len(normalization) <= BROADCAST_PHRASES else norm, "phrase", "left")
     canonical = F.coalesce("n_canonical", "canonical")
     acronym = F.when((canonical == F.upper(canonical)) & (F.char_length(canonical) <= 8), canonical).otherwise(F.col("n_canonical"))
     return joined.select(key, "start", "end", "text", F.coalesce("n_label", "label").alias("label"), canonical.alias("canonical_name"), F.lit(0.95).alias("confidence"), F.lit("dictionary").alias("source"), acronym.alias("normalized_acronym"))
@@ -126,7 +108,6 @@ def normalize(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], nor
 
 
 def chunks(text: Column, size: int = 1500, overlap: int = 200) -> Column:
-    """Overlapping pieces of a text with their offsets, for models with a limit: array of (offset, chunk)."""
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(step))
+    """Overlapping pieces of a text with their offsets, for models with a limit: array of (offset, chunk). The last one is the first that reaches the end."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return F.transform(starts, lambda s: F.struct(s.alias("offset"), F.substring(text, s + 1, F.lit(size)).alias("chunk")))

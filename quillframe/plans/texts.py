@@ -238,23 +238,58 @@ def e13_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(clean_ocr(t)).alias("cleaned"))
 
 
-LEXICON = [("token", "TOKEN", "TECH_OR_SYSTEM"), ("the other", "OTHER", "PERSON_ROLE"), ("chip", "CHIP", "PROGRAM_BRAND"), ("chip", "CHIP", "ACRONYM"), ("renewal form", "FORM", "DOCUMENT_OR_RECORD"), ("form", "FORM", "DOCUMENT_OR_RECORD"), ("renewal", "RENEWAL", "DOCUMENT_OR_RECORD")]
+LEXICON = [("token", "TOKEN", "TECH_OR_SYSTEM"), ("the other", "OTHER", "PERSON_ROLE"), ("chip", "CHIP", "PROGRAM_BRAND"), ("chip", "CHIP", "ACRONYM"), ("renewal form", "FORM", "DOCUMENT_OR_RECORD"), ("form", "FORM", "DOCUMENT_OR_RECORD"), ("renewal", "RENEWAL", "DOCUMENT_OR_RECORD"),
+           ("invoice for", "INVOICE", "FINANCIAL_TERM"), ("for maria", "FOR", "PERSON_ROLE"), ("maria lopez", "PERSON", "PERSON_ROLE"), ("of birth", "BIRTH", "PERSON_ROLE"), ("date of", "DATE", "PERSON_ROLE"), ("birth: 05/15", "MAY", "PERSON_ROLE")]
 LABELS = ["TECH_OR_SYSTEM", "PERSON_ROLE", "ACRONYM", "DOCUMENT_OR_RECORD", "APPLICATION_PROCESS", "FINANCIAL_TERM"]
 
 
-#: The lexicon in SQL: phrases longest first, the last declared entry of each, normalization over both.
+def chosen_sql(hits: str, key: str, rank: str, fields: str) -> str:
+    """Of hits (key, start, "end", fields), the best by rank one after the other, without those that overlap a chosen one: a recursion in each cluster of overlapping hits."""
+    packed = "{" + ", ".join(f"'{f}': {f}" for f in ["start", '"end"', *fields.split(", ")]).replace("'\"end\"'", "'end'") + "}"
+    other = packed.replace(": ", ": r.")
+    return f"""reached as (select *, max("end") over (partition by {key} order by start, {rank} rows between unbounded preceding and 1 preceding) as reach from ({hits})),
+    clustered as (select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (partition by {key} order by start, {rank} rows between unbounded preceding and current row) as cluster from reached),
+    ranked as (select *, row_number() over (partition by {key}, cluster order by {rank}, start) as n from clustered),
+    kept({key}, cluster, n, xs) as (select {key}, cluster, n, [{packed}] from ranked where n = 1 union all
+        select r.{key}, r.cluster, r.n, case when len(list_filter(k.xs, lambda x: r.start < x.end and x.start < r."end")) > 0 then k.xs else list_append(k.xs, {other}) end
+        from kept k join ranked r on r.{key} is not distinct from k.{key} and r.cluster = k.cluster and r.n = k.n + 1),
+    chosen as (select {key}, x.* from (select {key}, unnest(xs) as x from kept qualify n = max(n) over (partition by {key}, cluster)))"""
+
+
+#: The lexicon in SQL: each phrase searched by itself, the longest chosen first, the last declared entry of each, normalization over both.
 _LEX = dict((p, (c, label)) for p, c, label in LEXICON)
+_LEX_HITS = " union all ".join(f"""select c_custkey, '{p}' as phrase, {n} as ord, value, start, start + length(value) as "end" from ({span_sql(_FORMS, "c_custkey", "text", "(?i)" + chr(92) + "b" + p + chr(92) + "b")})""" for n, p in enumerate(sorted(_LEX, key=lambda p: -len(p))))
 _LEX_SQL = f"""lex(phrase, canonical, label) as (values {", ".join(f"('{p}', '{c}', '{x}')" for p, (c, x) in _LEX.items())}), norm(phrase, canonical, label) as (values {", ".join("('" + "', '".join(r) + "')" for r in rules.NORMALIZATION)}),
-    hits as ({span_sql(_FORMS, "c_custkey", "text", "(?i)" + chr(92) + "b(?:" + "|".join(sorted(_LEX, key=lambda p: (-len(p), p))) + ")" + chr(92) + "b")}),
+    {chosen_sql(_LEX_HITS, "c_custkey", "ord", "phrase, value")},
     named as (select c_custkey, h.value as text, coalesce(n.label, l.label) as label, coalesce(n.canonical, l.canonical) as canonical_name, n.canonical as n_canonical, start
-        from hits h join lex l on l.phrase = lower(h.value) left join norm n on n.phrase = lower(h.value))"""
+        from chosen h join lex l on l.phrase = h.phrase left join norm n on n.phrase = h.phrase)"""
 
 
-@query(f"""with {_LEX_SQL} select c_custkey, text, label, canonical_name, case when canonical_name = upper(canonical_name) and length(canonical_name) <= 8 then canonical_name else n_canonical end as normalized_acronym, start from named""")
+@query(f"""with recursive {_LEX_SQL} select c_custkey, text, label, canonical_name, case when canonical_name = upper(canonical_name) and length(canonical_name) <= 8 then canonical_name else n_canonical end as normalized_acronym, start from named""")
 def e14_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return E.lexicon_entities(_forms(spark, d), "c_custkey", "text", LEXICON).select("c_custkey", "text", "label", "canonical_name", "normalized_acronym", "start")
 
 
+# A lexicon that is a table: of each benchmark passage's first five words the pairs and the three in the middle, which overlap each other.
+_PHRASES = """phrases as (select distinct phrase, item_id * 3 + k as place, k from (select item_id, k, lower(array_to_string(list_slice(string_split(text, ' '), case k when 0 then 1 when 1 then 2 else 4 end, case k when 0 then 2 when 1 then 4 else 5 end), ' ')) as phrase
+        from benchmark, (values (0), (1), (2)) v(k))), lex as (select phrase, min(place) as place from phrases where length(phrase) > 1 and regexp_matches(phrase, '^[a-z0-9].*[a-z0-9]$') group by phrase)"""
+
+
+@query(f"""with recursive {_PHRASES},
+    pairs as (select doc_id, lower(text) as low, phrase, place, string_split(lower(text), phrase) as gaps from documents join lex on contains(lower(text), phrase)),
+    each as (select *, unnest(range(len(gaps) - 1)) as i from pairs),
+    placed as (select *, cast(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + i * length(phrase) as int) as start, -length(phrase) as less from each),
+    whole as (select * from placed where not regexp_matches(substr(low, start, 1), '^[\\p{{L}}\\p{{N}}_]$') and not regexp_matches(substr(low, start + length(phrase) + 1, 1), '^[\\p{{L}}\\p{{N}}_]$')),
+    {chosen_sql('select doc_id, phrase, place, less, start, start + length(phrase) as "end" from whole', "doc_id", "less, place", "phrase, place")}
+    select doc_id, phrase, start from chosen""")
+def d11_phrase_table(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("text", " ", -1)
+    cuts = F.array(*[F.struct(F.lower(F.array_join(F.slice(words, a, n), " ")).alias("phrase"), (F.col("item_id") * 3 + k).alias("place")) for k, (a, n) in enumerate([(1, 2), (2, 3), (4, 2)])])
+    each = table(spark, d, "benchmark").select(F.explode(cuts).alias("x")).select("x.phrase", "x.place", F.lit("PASSAGE").alias("canonical"), F.lit("PASSAGE").alias("label"))
+    lexicon = each.filter(F.col("phrase").rlike("^[a-z0-9].*[a-z0-9]$"))
+    return E.lexicon_matches(table(spark, d, "documents"), "doc_id", "text", lexicon).select("doc_id", "phrase", "start")
+
+
 @query("""select doc_id, count(*) as n, min(strpos(lower(text), 'token')) - 1 as first_start from (select doc_id, text, unnest(regexp_extract_all(text, '(?i)\\btoken\\b')) from documents where regexp_matches(text, '(?i)\\btoken\\b')) group by doc_id""")
 def d11_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
     found = E.lexicon_entities(table(spark, d, "documents"), "doc_id", "text", [("token", "TOKEN", "TECH_OR_SYSTEM")])
@@ -269,7 +304,7 @@ def e18_layers(spark: SparkSession, d: str) -> DataFrame:
     return E.layered([layer(50, 10), layer(37, 20)], "event_id").select("event_id", "layer", "start")
 
 
-@query(f"""with {_LEX_SQL} select l.label, l.position, (select count(*) from named n where n.label = l.label) as total, (select count(distinct canonical_name) from named n where n.label = l.label) as names
+@query(f"""with recursive {_LEX_SQL} select l.label, l.position, (select count(*) from named n where n.label = l.label) as total, (select count(distinct canonical_name) from named n where n.label = l.label) as names
     from (values {", ".join(f"('{x}', {i})" for i, x in enumerate(LABELS))}) l(label, position)""")
 def e19_label_summary(spark: SparkSession, d: str) -> DataFrame:
     return E.label_summary(E.lexicon_entities(_forms(spark, d), "c_custkey", "text", LEXICON), LABELS)
@@ -287,7 +322,7 @@ def e20_normalized(spark: SparkSession, d: str) -> DataFrame:
     return E.normalize(t, "term", [("chip", "CHIP", "ACRONYM"), ("token", "TOKEN", "TECH_OR_SYSTEM")]).select("event_id", "canonical", "label", "matched")
 
 
-@query("""select doc_id, cast(i * 1300 as int) as start, length(substr(text, i * 1300 + 1, 1500)) as size from (select doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 1300 + 1)) as i from documents)""")
+@query("""select doc_id, cast(i * 1300 as int) as start, length(substr(text, i * 1300 + 1, 1500)) as size from (select doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) // 1300 + 1)) as i from documents)""")
 def e17_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(E.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.offset").alias("start"), F.char_length("c.chunk").cast("long").alias("size"))
 
