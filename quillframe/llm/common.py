@@ -164,7 +164,7 @@ LANE = 0x0000000100000001
 def votes(h: Column, weight: Column | None = None) -> list[Column]:
     """32 sums, each with the votes for bit i in its low and for bit i + 32 in its high half: one long adds two bits.
 
-    A half holds totals up to 2**31 - 1, that is, texts of two thousand million terms.
+    A half holds totals up to 2**31 - 1, that is, texts of two thousand million terms, or as many divided by the largest weight.
     """
     def one(i: int) -> Column:
         bits = F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANE))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, ship
+from .common import fresh, give_back, Scratch, ship
 
 N = 3
 PIECE = 1 << 20
@@ -125,7 +125,8 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
     ship(labelled.sparkSession)
     base = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counts = base.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = Scratch(labelled.sparkSession, "language-id").keep(counts, "counts")
+    tmp = Scratch(labelled.sparkSession, "language-id")
+    counts = tmp.keep(counts, "counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     sizes = {r.lang: r.total for r in totals.limit(65).collect()}
     if len(sizes) > 64:
@@ -144,6 +145,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", s
         placed = frequent.select("gram", F.element_at(bit, F.col("lang")).cast("long").alias("bit")).mapInArrow(place, "slot bigint, bit bigint")
         for r in placed.groupBy("slot").agg(F.bit_or("bit").alias("mask")).toLocalIterator():  # at most `slots` rows
             masks[r.slot] = np.uint64(r["mask"] & (1 << 64) - 1)
+    tmp.drop()
     chance = np.array([(np.count_nonzero(masks & np.uint64(1 << i)) / slots) ** hashes for i in range(len(langs))])
     return Filter(langs, masks, hashes, chance)
 
@@ -152,8 +154,10 @@ def predict(docs: DataFrame, model: Filter, text_col: str = "text", carry: list
     """carry columns, then lang_pred and score. Only the text is looked at."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the filter's parameters
-    base = docs.select(*(carry or []), F.col(text_col).cast("string").alias("_text"))
-    schema = base.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.select(*(carry or []))
+    text = fresh(kept, "text")
+    base = docs.select(*(carry or []), F.col(text_col).cast("string").alias(text))
+    schema = kept.schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

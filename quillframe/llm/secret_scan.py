@@ -95,11 +95,14 @@ class Judge:
 def learn_words(docs: DataFrame, text_col: str = "text", words: int = WORDS, pairs: int = PAIRS) -> Language:
     """Counts the words of all texts, and the letter pairs in them, and keeps the most frequent ones (a bounded number)."""
     found = docs.select(F.explode(F.split(F.lower(text_col), "[^\\p{L}]+", -1)).alias("word")).filter(F.char_length("word").between(2, 20))
-    counts = Scratch(docs.sparkSession, "secret-words").keep(found.groupBy("word").agg(F.count("*").alias("n")), "words")
+    tmp = Scratch(docs.sparkSession, "secret-words")
+    counts = tmp.keep(found.groupBy("word").agg(F.count("*").alias("n")), "words")
     two = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
     top = lambda df, most: tuple(r.word for r in df.orderBy(F.desc("n"), "word").limit(most).collect())
     by_pair = counts.select(F.explode(two).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    return Language(top(counts.filter(F.char_length("word") >= 4), words) or Language.words, top(by_pair, pairs) or Language.pairs)
+    language = Language(top(counts.filter(F.char_length("word") >= 4), words) or Language.words, top(by_pair, pairs) or Language.pairs)
+    tmp.drop()
+    return language
 
 
 def features(found: DataFrame, language: Language = Language()) -> DataFrame:
@@ -255,8 +258,8 @@ def judge(found: DataFrame, model: Judge, threshold: float = 0.5) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: Judge, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: row, doc_id, start, length, value_sha256, shown (first four characters), probability, is_secret."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"))
+    """One row per candidate: row, doc_id, start, length, value_sha256, shown (first four characters), probability, is_secret. Without the path column, paths are null."""
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(path_col) if path_col in docs.columns else F.lit(None)).cast("string").alias("path"))
     found = judge(candidates(base, ["row", "doc_id"], "text", F.col("path")), model, threshold)
     return found.select("row", "doc_id", F.col("start").cast("long").alias("start"), F.char_length("value").cast("long").alias("length_chars"), F.sha2("value", 256).alias("value_sha256"), F.left("value", F.lit(4)).alias("shown"), "probability", "is_secret")
 

@@ -1,12 +1,15 @@
 """Sharding through fixed virtual slots and a versioned slot-to-shard map.
 
-A record's hash names one of some thousand virtual slots for good. Bytes and rows are summed per slot (map-side first),
+The hash of a record's id names one of some thousand virtual slots for good, whatever becomes of its text. Rows of a repeated or null id
+have nothing of their own but their place, so the hash of their row number names theirs, and a third of all rows with one id
+spread over all slots; which ids repeat is counted first. Bytes and rows are summed per slot (map-side first),
 and only this bounded table reaches the driver, which gives each slot to a shard: longest slots first, each to the
 lightest shard. The map is stored as version 0, 1, ...; rebalancing edits the latest one, moving as few slots as
 bring the shards to their target, and stores the next. Records never look at anything but hash and map.
 
-Defined results: a null text has no bytes (its size is 1); null and repeated ids are told apart by their texts, so that such rows
-spread too. Equal rows get the same slot. An empty table gives an empty result. Extra columns are not read.
+Defined results: a null text has no bytes (its size is 1). Row numbers are file and place for rows that come straight from whole Parquet
+files, so their slots are the same in each call; rows of repeated ids from other sources spread anew in each call.
+An empty table gives an empty result. Extra columns are not read, but `write_shards` writes them; one named shard raises.
 """
 
 from __future__ import annotations
@@ -16,19 +19,38 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import BROADCAST_ROWS, Scratch, fresh, numbered
 
 
-def virtual_slot(doc_id, crc, size, slots: int):
-    """The slot of a record for good, by its id and its text: rows of a repeated or null id spread."""
-    return F.pmod(F.xxhash64(doc_id, crc, size), F.lit(slots)).cast("int")
+def with_slots(docs: DataFrame, tmp: Scratch, slots: int, id_col: str = "doc_id") -> tuple[DataFrame, str, str]:
+    """docs with columns for the row number and the virtual slot, and their names.
 
+    Up to BROADCAST_ROWS repeated ids are broadcast. Beyond that, those with over a thousandth of the repeated rows are (fewer than
+    a thousand), and the others meet the rows by a merge join in which none has more than that share.
+    """
+    rows, row = numbered(docs, tmp)
+    slot, key, again = (fresh(rows, n) for n in ("virtual_slot", "slot_key", "repeated"))
+    ids = docs.select(F.col(id_col).cast("long").alias(key)).filter(F.col(key).isNotNull())
+    repeated = tmp.keep(ids.groupBy(key).agg(F.count("*").alias(again)).filter(F.col(again) > 1), "repeated")
+    seen = repeated.agg(F.count("*").alias("ids"), F.coalesce(F.sum(again), F.lit(0)).alias("rows")).first()
+    keyed = rows.withColumn(key, F.col(id_col).cast("long"))
+    if seen.ids <= BROADCAST_ROWS:
+        met = keyed.join(F.broadcast(repeated), key, "left")
+    else:
+        hot = F.col(again) > seen.rows // 1000
+        first = keyed.join(F.broadcast(repeated.filter(hot)), key, "left")
+        rest = first.filter(F.col(again).isNull()).drop(again).join(repeated.filter(~hot).hint("merge"), key, "left")
+        met = first.filter(F.col(again).isNotNull()).unionByName(rest)
+    alone = F.col(key).isNotNull() & F.col(again).isNull()
+    number = F.pmod(F.xxhash64(F.when(alone, F.col(key)).otherwise(F.col(row)), alone.cast("int")), F.lit(slots)).cast("int")
+    return met.withColumn(slot, number).drop(key, again), row, slot
 
-def slot_rows(docs: DataFrame, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def slot_rows(docs: DataFrame, tmp: Scratch, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, size, text_crc32, virtual_slot)."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
-    return base.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots))
+    base, row, slot = with_slots(docs, tmp, slots, id_col)
+    return base.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), F.col(slot).alias("virtual_slot"))
 
 
 def assign(weights: dict[int, int], shards: int, slots: int) -> dict[int, int]:
@@ -114,7 +136,8 @@ def place(rows: DataFrame, slot_map: DataFrame, salts: int = 16) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows with their shard. With a store that has a map, its latest version is edited for the new bytes and shard count."""
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
-    rows = tmp.keep(slot_rows(docs, slots, id_col, text_col), "rows")
+    rows = tmp.keep(slot_rows(docs, tmp, slots, id_col, text_col), "rows")
+    tmp.drop("repeated", "files", "ordinals", "numbered")
     weights = slot_weights(rows)
     maps = SlotMap(spark, store or f"{tmp.root}/map")
     if maps.versions():
@@ -124,18 +147,19 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, store: str | Non
     return place(rows, maps.frame())
 
 
-def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = 4096, file_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = 4096, file_bytes: int = 256 << 20, id_col: str = "doc_id") -> None:
     """Writes all rows of docs, with all their columns, into shard=N folders by a version of the map that was made for them.
 
-    A row finds its shard by its own slot, so nothing is joined but the map (one row per slot). Texts are shuffled once, into
-    files of some file_bytes of text (by the bytes in the map); a hot slot is dealt to as many tasks as its shard has files.
+    A row finds its shard by its own slot. Texts are shuffled once, into files of some file_bytes of text (by the bytes in the
+    map); rows are dealt to a shard's files by their numbers, so that equal rows spread too.
     """
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     most = slot_map.groupBy("shard").agg(F.sum("bytes").alias("bytes")).agg(F.coalesce(F.max("bytes"), F.lit(0)), F.count("*")).first()
     parts = max(-(-most[0] // file_bytes), 1)
-    slot, part, shard = fresh(docs, "virtual_slot"), fresh(docs, "part"), "shard"
-    if fresh(docs, shard) != shard:
+    if fresh(docs, "shard") != "shard":
         raise ValueError("docs have a column named shard, which is the name of the folders")
-    named = docs.withColumn(slot, virtual_slot(F.col(id_col).cast("long"), F.crc32(raw), F.octet_length(raw).cast("long") + 1, slots))
-    named = named.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias(slot), shard)), slot).withColumn(part, F.pmod(F.xxhash64(id_col, F.crc32(raw)), F.lit(parts)))
-    named.repartition(max(most[1] * parts, 1), shard, part).drop(slot, part).write.partitionBy(shard).parquet(path)
+    tmp = Scratch(docs.sparkSession, "shards")
+    named, row, slot = with_slots(docs, tmp, slots, id_col)
+    part = fresh(named, "part")
+    named = named.join(F.broadcast(slot_map.select(F.col("virtual_slot").alias(slot), "shard")), slot).withColumn(part, F.pmod(F.xxhash64(row), F.lit(parts)))
+    named.repartition(max(most[1] * parts, 1), "shard", part).drop(slot, part, row).write.partitionBy("shard").parquet(path)
+    tmp.drop()

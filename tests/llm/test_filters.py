@@ -359,6 +359,38 @@ def test_shards(spark, tmp_path):
     assert sharding.shard(table(spark, []), shards=4).collect() == []
 
 
+def test_carried_and_missing_columns(spark):
+    """A carried column with an inner name; a scan of documents without a path."""
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")], "doc_id int, text string, lang string")
+    model = language_id.learn(docs)
+    got = language_id.predict(docs.withColumn("_text", F.lit("x")), model, carry=["doc_id", "_text", "text"])
+    assert got.columns == ["doc_id", "_text", "text", "lang_pred", "score"] and {r.doc_id: r.lang_pred for r in got.collect()} == {1: "en", 2: "de"}
+    judge = secret_scan.train(secret_scan.synthetic_findings(spark, 300))
+    found = secret_scan.scan(spark.createDataFrame([(1, "password = 'hX9$kq2LmPz81vTe'")], "doc_id int, text string"), judge).collect()
+    assert [r.doc_id for r in found] == [1] * len(found) and found
+
+
+def test_equal_rows_spread(spark, tmp_path, monkeypatch):
+    """Half of the rows have a null id and one text, others share one id; with a broadcast of ids and without."""
+    rows = [(None, "x" * 3999)] * 3000 + [(i, "y" * 3999) for i in range(2000)] + [(7, "z" * 3999)] * 1000
+    docs = table(spark, rows)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+        store = str(tmp_path / f"map{most}")
+        placed = sharding.shard(docs, shards=16, store=store).collect()
+        load = Counter()
+        for x in placed:
+            load[x.shard] += x.size
+        assert len(placed) == len(rows) and len(load) == 16 and max(load.values()) <= sum(load.values()) / 16 + 4000
+        alone = {x.doc_id: x.virtual_slot for x in placed if x.doc_id is not None and x.doc_id != 7}
+        assert len(alone) == 1999
+        edited = sharding.shard(table(spark, [(i, "other") for i in range(2000)]), shards=16).collect()
+        assert all(alone[x.doc_id] == x.virtual_slot for x in edited if x.doc_id != 7)  # an edited record stays where it is
+        sharding.write_shards(docs, sharding.SlotMap(spark, store).frame(), str(tmp_path / f"out{most}"))
+        got = Counter(x.shard for x in spark.read.parquet(str(tmp_path / f"out{most}")).collect())
+        assert got.total() == len(rows) and max(got.values()) < 1.3 * len(rows) / 16
+
+
 def test_written_shards_have_all_rows(spark, tmp_path):
     """Rows with null and repeated ids are written where they were placed."""
     rows = [(i % 40, f"text {i}") for i in range(120)] + [(None, f"none {i}") for i in range(30)] + [(None, None), (3, "text 3")]
