@@ -53,7 +53,10 @@ ORACLE_SQL = None  # a random forest and a packing plan are not SQL; tests hold
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tmp = Scratch(spark, "pipeline")
+    tmp, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = tmp.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            tmp.drop(before)  # nothing reads it any more
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
