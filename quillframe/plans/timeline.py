@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import kernels, rules
 from quillframe.functions.text import minutes, minutes_ms
 from quillframe.operators import scoring as S
+from quillframe.operators import near
 from quillframe.operators import timeseries as T
 from quillframe.shipping import ship
 
@@ -130,8 +131,7 @@ def t6_adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     from embeddings b left join embeddings a on a.label = b.label and a.vec_id < b.vec_id group by 1, 2""")
 def t7_redundant(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).alias("v"))
-    similar = lambda a, b: 1 - F.abs(a["v"] - b["v"]).cast("double")
-    return T.redundant_with_earlier(e, "label", "vec_id", similar, 0.995).select("label", "vec_id", "redundant")
+    return near.redundant_values(e, "label", "vec_id", "v", 0.995).select("label", "vec_id", "redundant")
 
 
 SIGNS = """h as (select vec_id, label, list_transform(embedding[1:64], lambda x: (x::double) > list_sum(embedding[1:64]::double[]) / 64) as bits from embeddings)"""
@@ -146,7 +146,38 @@ SIGNS = """h as (select vec_id, label, list_transform(embedding[1:64], lambda x:
     select label, unnest(ids) as vec_id from k qualify n = max(n) over (partition by label)""")
 def t8_greedy_distinct(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") % 17).alias("score"), T.sign_hash(F.col("embedding")).alias("hash"))
-    return T.greedy_distinct(e, "label", "score", "vec_id", "hash", T.hamming_similarity, 0.62).select("label", "vec_id")
+    return near.distinct_frames(e, "label", "score", "vec_id", "hash", 0.62).select("label", "vec_id")
+
+
+# Frames that show one of 97 vectors with a few signs turned over: real near copies, by the thousand, for the likeness that jobs use.
+TURNED = """base as (select vec_id, list_transform(embedding[1:64], lambda x: (x::double) > list_sum(embedding[1:64]::double[]) / 64) as bits from embeddings where vec_id < 97),
+    shown as (select event_id, user_id % 5 as job, event_id % 97 as vec_id, event_id * 7919 % 64 as p, event_id % 4 as flips, event_id * 31 % 1009 as score from events),
+    t as (select job, event_id, score, list_transform(range(64), lambda i: case when flips > 0 and (i - p + 64) % 64 < flips then not bits[i + 1] else bits[i + 1] end) as bits from shown join base using (vec_id))"""
+
+
+def _turned(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    base = table(spark, d, "embeddings").filter("vec_id < 97").select("vec_id", T.sign_hash(F.col("embedding")).alias("hash"))
+    shown = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("job"), (n % 97).alias("vec_id"), (n * 7919 % 64).cast("int").alias("p"), (n % 4).cast("int").alias("flips"), (n * 31 % 1009).alias("score"))
+    turn = F.expr("shiftleft(shiftleft(1L, flips) - 1L, p) | if(p + flips > 64, shiftrightunsigned(shiftleft(1L, flips) - 1L, 64 - p), 0L)")
+    return shown.join(F.broadcast(base), "vec_id").select("job", "event_id", "score", F.col("hash").bitwiseXOR(turn).alias("hash"))
+
+
+@query(f"""with recursive {TURNED}, b as (select job, bits, arg_min(event_id, (-score, event_id)) as event_id, max(score) as score from t group by job, bits),
+    r as (select job, event_id, bits, row_number() over (partition by job order by score desc, event_id) as n from b),
+    k(job, n, kept, ids) as (select job, 0::bigint, []::boolean[][], []::bigint[] from r group by job union all
+        select job, n, case when near then kept else list_append(kept, bits) end, case when near then ids else list_append(ids, event_id) end
+        from (select r.*, k.kept, k.ids, len(list_filter(k.kept, lambda b: len(list_filter(list_zip(b, r.bits), lambda z: z[1] <> z[2])) <= 5)) > 0 as near from k join r on r.job = k.job and r.n = k.n + 1))
+    select job, unnest(ids) as event_id from k qualify n = max(n) over (partition by job)""")
+def t8_distinct_frames(spark: SparkSession, d: str) -> DataFrame:
+    return near.distinct_frames(_turned(spark, d), "job", "score", "event_id", "hash", 0.92).select("job", "event_id")
+
+
+@query(f"""with {TURNED}, b as (select job, bits, min(event_id) as first from t group by job, bits),
+    e as (select y.job, y.bits, min(x.first) as near from b x join b y on x.job = y.job and len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) <= 7 group by all)
+    select t.job, t.event_id, e.near < t.event_id as redundant from t join e using (job, bits)""")
+def t7_redundant_frames(spark: SparkSession, d: str) -> DataFrame:
+    return near.redundant_hashes(_turned(spark, d), "job", "event_id", "hash", 0.88).select("job", "event_id", "redundant")
 
 
 @query(f"""with {SIGNS} select a.label, a.vec_id, 1 - len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2])) / 64.0 as similarity
