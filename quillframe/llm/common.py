@@ -5,15 +5,11 @@ Nothing here looks at the data on the driver except counts and explicitly bounde
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.scratch import Scratch, scratch_root, settings  # noqa: F401
 from quillframe.shipping import ship as ship_sources
 
 # White space of every corpus operator: space and the five ASCII controls from tab to carriage return.
@@ -24,55 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: No more than this many keys are treated as hot, because each of them holds over 1/HOT_KEYS of all rows.
 HOT_KEYS = 1000
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-#: While a scratch table is written: small shuffles end in few tasks and files.
-WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session options for the length of a block."""
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
-class Scratch:
-    """Tables of one operator call, written under the shared folder, so that a lost executor costs no lineage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        with settings(self.spark, WRITING):
-            df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that nothing reads any more; without names, the whole folder."""
-        for path in [f"{self.root}/{name}" for name in names] or [self.root]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Files whose paths one task may number and a broadcast may hold (some 10 MB).
 FILES = 100_000
 
