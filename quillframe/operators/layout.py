@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import shapes
+from quillframe.shipping import ship
+
 from .lookups import overlaps
 
 
@@ -124,6 +127,48 @@ def field_kind(df: DataFrame, width: Column, height: Column) -> DataFrame:
     return df.filter(good).withColumn("kind", kind).filter("kind is not null")
 
 
+def _detected(images: DataFrame, key: str, boxes) -> DataFrame:
+    """key, height, width, ord and the fields of each box; images: key, height, width, pixels (grey, 8 bits). Unreadable images have none."""
+    ship(images.sparkSession)
+    return images.select(key, "height", "width", F.posexplode(shapes.shape_udf(boxes)("height", "width", "pixels")).alias("ord", "s")).select(key, "height", "width", "ord", "s.*")
+
+
+def detect_blocks(images: DataFrame, key: str) -> DataFrame:
+    """key, x, y, w, h, ord: blocks of an image, those that a larger one covers by 30 % left out."""
+    return merge_boxes(candidate_boxes(_detected(images, key, shapes.block_boxes), F.col("width"), F.col("height")), key)
+
+
+def detect_bordered_tables(images: DataFrame, key: str) -> DataFrame:
+    """key, x, y, w, h, ord: regions ruled across and down."""
+    return bordered_regions(_detected(images, key, shapes.ruled_regions), F.col("width"), F.col("height")).select(key, "x", "y", "w", "h", "ord")
+
+
+def larger_marks(marks: DataFrame, key: str) -> DataFrame:
+    """Of marks that overlap at all, the largest stay."""
+    kept = _fold_boxes(marks, key, -(F.col("w") * F.col("h")), lambda b, k: overlaps(b, k) > 0).select(key, "ord")
+    return marks.join(kept, [key, "ord"], "left_semi")
+
+
+def detect_marks(images: DataFrame, key: str) -> DataFrame:
+    """key, x, y, w, h, ord, kind, checked, fill: check boxes and radio buttons, of overlapping ones the largest."""
+    found = mark_kind(_detected(images, key, shapes.dark_shapes).filter("circularity is not null"))
+    return larger_marks(found, key).select(key, "x", "y", "w", "h", "ord", "kind", "checked", F.round("fill", 3).alias("fill"))
+
+
+def free_fields(fields: DataFrame, elements: DataFrame, key: str) -> DataFrame:
+    """Fields of which no element (key, x, y, w, h) covers more than half."""
+    boxes = elements.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])).alias("_elements"))  # of one image
+    none = F.array().cast("array<struct<x:int,y:int,w:int,h:int>>")
+    covered = F.exists(F.coalesce("_elements", none), lambda e: overlaps(F.struct("x", "y", "w", "h"), e) > 0.5 * F.col("w") * F.col("h"))
+    return fields.join(boxes, key, "left").filter(~covered).drop("_elements")
+
+
+def detect_fields(images: DataFrame, key: str, elements: DataFrame | None = None) -> DataFrame:
+    """key, x, y, w, h, ord, kind: form fields by their edges, without those that an element covers by more than half."""
+    found = field_kind(_detected(images, key, shapes.edge_shapes), F.col("width"), F.col("height")).select(key, "x", "y", "w", "h", "ord", "kind")
+    return found if elements is None else free_fields(found, elements, key)
+
+
 def line_positions(profile: DataFrame, key: str, at: str, value: str, above: float) -> DataFrame:
     """Midpoints of runs of a projection profile that are above a threshold."""
     w = Window.partitionBy(key).orderBy(at)

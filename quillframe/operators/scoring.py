@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions import rules
+from quillframe.functions import rules, shapes
 from quillframe.functions.text import clamp, strip
 
 
@@ -31,6 +33,21 @@ def line_structure(horizontal: Column, vertical: Column) -> Column:
     return 0.6 * F.least(horizontal / 10, F.lit(1.0)) + 0.4 * F.least(vertical / 5, F.lit(1.0))
 
 
+def image_structure(height: Column, width: Column, pixels: Column) -> Column:
+    """Line structure of a grey image, from its pixels; null for an unreadable one."""
+    @F.pandas_udf("across int, down int")
+    def counted(hs: pd.Series, ws: pd.Series, raws: pd.Series) -> pd.DataFrame:
+        def one(h, w, raw):
+            if raw is None or pd.isna(h) or pd.isna(w) or len(raw) != h * w or not h * w:
+                return (None, None)
+            return shapes.line_counts(np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w)))
+
+        return pd.DataFrame([one(*x) for x in zip(hs, ws, raws)], columns=["across", "down"]).astype("Int32")
+
+    c = counted(height, width, pixels)
+    return F.when(c["across"].isNotNull(), F.round(line_structure(c["across"], c["down"]), 4))
+
+
 def relevance(text: Column, keyword_score: Column, structure: Column) -> Column:
     return F.when(strip(F.coalesce(text, F.lit(""))) != "", 0.7 * keyword_score + 0.3 * structure).otherwise(structure)
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import shapes
 from quillframe.functions.text import normalise_for_model
 from quillframe.operators import classify as C
 from quillframe.operators import layout as L
+from quillframe.operators import scoring as S
 from quillframe.operators import structure as X
 from quillframe.operators.batch import batch_counts, batch_map
+from quillframe.shipping import ship
 
 from .registry import FRAMES, frames, query, table
 
@@ -287,3 +290,48 @@ def o6_elements(spark: SparkSession, d: str) -> DataFrame:
 def o8_bordered_regions(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d).withColumns({"across": F.col("score") * 3, "down": F.col("ord") % 40})
     return L.bordered_regions(b, F.lit(640), F.lit(480)).select("image", "ord")
+
+
+# Vectors as 8 x 8 grey images, each pixel drawn 8 x 8 wide: what is dark by Otsu's level, labelled by reaching from pixel to pixel.
+_PIXELS = """g as (select vec_id, list_transform(embedding[1:64], lambda x: cast(floor(abs(x::double) * 1000) as int) % 256) as p from embeddings),
+    px as (select vec_id, y, x, p[8 * y + x + 1] as v from g, range(8) a(y), range(8) b(x)),
+    levels as (select l.vec_id, l.v as level, count(*) filter (px.v <= l.v) as n, coalesce(sum(px.v) filter (px.v <= l.v), 0) as s, sum(px.v) as total from (select distinct vec_id, v from px) l join px using (vec_id) group by all),
+    cut as (select vec_id, arg_max(level, (apart, -level)) as level from (select vec_id, level, case when n < 64 then n * (64 - n) * power(s / n - (total - s) / (64 - n), 2) else 0 end as apart from levels) group by vec_id),
+    dark as (select vec_id, y, x, 8 * y + x as id, v from px join cut using (vec_id) where v <= level),
+    reach(vec_id, root, y, x) as (select vec_id, id, y, x from dark union
+        select r.vec_id, r.root, d.y, d.x from reach r join dark d on d.vec_id = r.vec_id and abs(d.y - r.y) <= 1 and abs(d.x - r.x) <= 1),
+    parts as (select vec_id, y, x, min(root) as part from reach group by all),
+    boxes as (select vec_id, part, 8 * min(x) as x, 8 * min(y) as y, 8 * (max(x) - min(x) + 1) as w, 8 * (max(y) - min(y) + 1) as h, 64 * count(*) as area from parts group by vec_id, part)"""
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    values = F.transform(F.slice("embedding", 1, 64), lambda v: F.lpad(F.hex(F.floor(F.abs(v.cast("double")) * 1000).cast("int") % 256), 2, "0"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.transform(F.slice(values, y * 8 + 1, F.lit(8)), lambda v: F.repeat(v, F.lit(8))), ""), F.lit(8)))
+    return table(spark, d, "embeddings").select("vec_id", F.lit(64).alias("height"), F.lit(64).alias("width"), F.unhex(F.array_join(rows, "")).alias("pixels"))
+
+
+@query(f"with recursive {_PIXELS} select vec_id, x, y, w, h, area from boxes")
+def o7_components(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    found = _drawn(spark, d).select("vec_id", F.explode(shapes.shape_udf(shapes.dark_components)("height", "width", "pixels")).alias("b"))
+    return found.select("vec_id", "b.x", "b.y", "b.w", "b.h", "b.area")
+
+
+@query(f"""with recursive {_PIXELS}, good as (select *, row_number() over (partition by vec_id order by w * h desc, part) as n from boxes where w between 10 and 50 and h between 10 and 50 and w / h between 0.7 and 1.4),
+    kept(vec_id, n, xs) as (select vec_id, 0::bigint, []::struct(x bigint, y bigint, w bigint, h bigint)[] from good group by vec_id union all
+        select r.vec_id, r.n, case when len(list_filter(k.xs, lambda b: r.x < b.x + b.w and b.x < r.x + r.w and r.y < b.y + b.h and b.y < r.y + r.h)) > 0 then k.xs else list_append(k.xs, {{'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h}}) end
+        from kept k join good r on r.vec_id = k.vec_id and r.n = k.n + 1)
+    select vec_id, b.x as x, b.y as y, b.w as w, b.h as h from (select vec_id, unnest(xs) as b from kept qualify n = max(n) over (partition by vec_id))""")
+def o10_larger_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the size of marks, of overlapping ones the largest."""
+    ship(spark)
+    found = _drawn(spark, d).select("vec_id", F.posexplode(shapes.shape_udf(shapes.dark_components)("height", "width", "pixels")).alias("ord", "b")).select("vec_id", "ord", "b.*")
+    good = found.filter(F.col("w").between(10, 50) & F.col("h").between(10, 50) & (F.col("w") / F.col("h")).between(0.7, 1.4))
+    return L.larger_marks(good, "vec_id").select("vec_id", "x", "y", "w", "h")
+
+
+@query()
+def r2_image_structure(spark: SparkSession, d: str) -> DataFrame:
+    """From pixels to the structure score: edges, lines, counts. Votes have no SQL; tests count drawn lines."""
+    ship(spark)
+    return _drawn(spark, d).select("vec_id", S.image_structure(F.col("height"), F.col("width"), F.col("pixels")).alias("structure"))
