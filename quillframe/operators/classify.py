@@ -126,32 +126,30 @@ def scale(df: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:
     return joined.withColumns({f: F.when(F.col(f"{f}_std") > 0, (F.col(f) - F.col(f"{f}_mean")) / F.col(f"{f}_std")).otherwise(0.0) for f in features}).drop(*fitted.columns)
 
 
-def _text_stages(label: str, text: str, features: int) -> list:
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer
-
-    return [
-        StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"), RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[A-Za-z0-9_]{2,}", gaps=False),
-        StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=STOP_WORDS), CountVectorizer(inputCol="_t", outputCol="_tf", vocabSize=features, minDF=2.0), IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_f"),
-    ]
-
-
-def train_logistic(df: DataFrame, label: str, text: str, features: int = 500):
-    """TF-IDF with logistic regression as a saveable pipeline (hashing-free, fitted on the given rows only)."""
-    from pyspark.ml import Pipeline
+def train_logistic(df: DataFrame, label: str, text: str, features: int = 500, c: float = 1.0):
+    """TF-IDF with logistic regression as a saveable pipeline (hashing-free, fitted on the given rows only); the penalty is that of C = c, whatever the number of rows."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
 
-    model = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, family="multinomial", regParam=0.01)
-    return Pipeline(stages=[*_text_stages(label, text, features), model]).fit(df)
+    from .learn import text_features
 
+    words = text_features(df, text, features, label)
+    ready = words.transform(df)
+    model = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, family="multinomial", regParam=1 / (c * max(ready.count(), 1)), standardization=False).fit(ready)
+    return PipelineModel([*words.stages, model])
 
-def train_linear_svm(df: DataFrame, label: str, text: str, features: int = 500):
-    """TF-IDF with a linear support-vector machine per label against the rest, as a saveable pipeline (margins, no probabilities)."""
-    from pyspark.ml import Pipeline
+
+def train_linear_svm(df: DataFrame, label: str, text: str, features: int = 500, c: float = 1.0):
+    """TF-IDF with a linear support-vector machine per label against the rest, as a saveable pipeline of margins; `learn.CalibratedSvm` gives probabilities."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    model = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.01), featuresCol="_f", labelCol="_label")
-    return Pipeline(stages=[*_text_stages(label, text, features), model]).fit(df)
+    from .learn import text_features
+
+    words = text_features(df, text, features, label)
+    ready = words.transform(df)
+    model = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1 / (c * max(ready.count(), 1)), standardization=False), featuresCol="_f", labelCol="_label").fit(ready)
+    return PipelineModel([*words.stages, model])
 
 
 def predicted_label(fitted, df: DataFrame, name: str = "predicted") -> DataFrame:

@@ -9,6 +9,7 @@ from quillframe.functions import shapes
 from quillframe.functions.text import normalise_for_model
 from quillframe.operators import classify as C
 from quillframe.operators import layout as L
+from quillframe.operators import learn
 from quillframe.operators import scoring as S
 from quillframe.operators import structure as X
 from quillframe.operators.batch import batch_counts, batch_map
@@ -56,6 +57,30 @@ def m3_top_words(spark: SparkSession, d: str) -> DataFrame:
     return top.groupBy("doc_id").agg(F.count("*").alias("words"), F.round(F.max("weight"), 6).alias("best"))
 
 
+#: Fitted on two thirds of the documents, applied to the others.
+_FITTED = f"""n as (select count(*) as n from documents where doc_id % 3 <> 0), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) as word from documents), c as (select doc_id, word, count(*) as tf from w where word not in {_STOP} group by all),
+    v as (select word, count(*) as df from c where doc_id % 3 <> 0 group by word having count(*) >= 2 order by sum(tf) desc, word limit 500), r as (select doc_id, word, tf, df, tf * (ln((1.0 + n) / (1 + df)) + 1) as raw from c join v using (word), n where doc_id % 3 = 0),
+    u as (select doc_id, word, tf, df, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as weight from r)"""
+
+
+@query(f"""with {_FITTED}, k as (select doc_id, count(*) as vocab_size, max(weight) as best from u group by doc_id), p as (select word, row_number() over (order by word) - 1 as position from v)
+    select d.doc_id, coalesce(vocab_size, 0) as vocab_size, round(best, 6) as best_weight, round((select sum(weight * position) from u join p using (word) where u.doc_id = d.doc_id), 4) as moment from documents d left join k on k.doc_id = d.doc_id where d.doc_id % 3 = 0""")
+def m3_fitted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = learn.TfIdf.fit(docs.filter("doc_id % 3 <> 0"), "doc_id", "text")
+    told = model.summaries(docs.filter("doc_id % 3 = 0"), "doc_id", "text")
+    moment = F.aggregate(F.transform("vector", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return told.select("doc_id", F.col("vocab_size").cast("long").alias("vocab_size"), F.round(F.get("keywords", F.lit(0))["weight"], 6).alias("best_weight"), F.when(F.col("vocab_size") > 0, F.round(moment, 4)).alias("moment"))
+
+
+@query()
+def m5_cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of the labelled documents by support-vector machines with probabilities, each fold by the others, with a reject option."""
+    known = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    told = learn.calibrated_predictions(known, "quality", "doc_id", "text").withColumn("r", C.with_reject(F.col("probabilities")))
+    return told.select("doc_id", "fold", "quality", F.col("r.label").alias("predicted"), F.col("r.confidence").alias("confidence"))
+
+
 @query(f"""with {FRAMES}, p as (select event_id, unnest(['a', 'b', 'c']) as label, unnest([k / 100.0, (100 - k) / 200.0, (100 - k) / 200.0]) as p from frames),
     b as (select * from p qualify row_number() over (partition by event_id order by p desc, label) = 1) select event_id, case when p >= 0.6 then label else 'Unknown' end as label, p as confidence from b""")
 def m4_reject(spark: SparkSession, d: str) -> DataFrame:
