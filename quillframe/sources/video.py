@@ -7,11 +7,12 @@ end_ms (the last position) and frames(), which yields (timestamp_ms, pixels) or
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quillframe.operators.batch import batch_map
 from quillframe.shipping import ship
@@ -51,6 +52,12 @@ class _Video(InputPartition):
         self.path = path
 
 
+def _decoded(path: str, decode: str) -> Iterator[tuple]:
+    v = decoder(decode)(path)
+    for i, (at, pixels) in enumerate(v.frames()):
+        yield path, i, int(at), int(v.width), int(v.height), bytes(pixels)
+
+
 class _Frames(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.decode = options["paths"].split("\n"), options["decoder"]
@@ -59,13 +66,36 @@ class _Frames(DataSourceReader):
         return [_Video(p) for p in self.paths]
 
     def read(self, partition: _Video) -> Iterator[tuple]:
-        v = decoder(self.decode)(partition.path)
-        for i, (at, pixels) in enumerate(v.frames()):
-            yield partition.path, i, int(at), int(v.width), int(v.height), bytes(pixels)
+        return _decoded(partition.path, self.decode)
+
+
+class _Arriving(DataSourceStreamReader):
+    """Recordings of a folder in order of their modification times (then names), which must not go back; they arrive whole, by a move. An offset is the last recording handled."""
+
+    def __init__(self, options: dict):
+        self.folder, self.decode = options["folder"], options["decoder"]
+
+    def _listed(self) -> list[tuple[int, str]]:
+        with os.scandir(self.folder) as entries:
+            return sorted((e.stat().st_mtime_ns, e.name) for e in entries if e.is_file() and e.name.rsplit(".", 1)[-1].lower() in VIDEO_EXTENSIONS)
+
+    def initialOffset(self) -> dict:  # noqa: N802  (the base class's names, here and below)
+        return {"time": -1, "name": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        at, name = max(self._listed(), default=(-1, ""))
+        return {"time": at, "name": name}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        after, upto = (start["time"], start["name"]), (end["time"], end["name"])
+        return [_Video(os.path.join(self.folder, x[1])) for x in self._listed() if after < x <= upto]
+
+    def read(self, partition: _Video) -> Iterator[tuple]:
+        return _decoded(partition.path, self.decode)
 
 
 class FrameSource(DataSource):
-    """spark.read.format("frames"): one partition per recording, its frames streamed in order."""
+    """spark.read.format("frames") for given recordings, spark.readStream for those that arrive in a folder: one partition per recording, its frames streamed in order."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,9 +107,19 @@ class FrameSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Frames(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Arriving(self.options)
+
 
 def frames(spark: SparkSession, paths: list[str], decode: str) -> DataFrame:
     """Frames of recordings, every one; `timeseries.sample_adaptive` thins them out."""
     ship(spark)
     spark.dataSource.register(FrameSource)
     return spark.read.format("frames").option("paths", "\n".join(paths)).option("decoder", decode).load()
+
+
+def arriving_frames(spark: SparkSession, folder: str, decode: str) -> DataFrame:
+    """A stream of the frames of recordings as they arrive in a folder that all machines see."""
+    ship(spark)
+    spark.dataSource.register(FrameSource)
+    return spark.readStream.format("frames").option("folder", folder).option("decoder", decode).load()
