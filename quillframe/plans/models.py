@@ -11,6 +11,7 @@ from quillframe.operators import classify as C
 from quillframe.operators import layout as L
 from quillframe.operators import learn
 from quillframe.operators import scoring as S
+from quillframe.operators import spelling
 from quillframe.operators import structure as X
 from quillframe.operators.batch import batch_counts, batch_map
 from quillframe.shipping import ship
@@ -33,6 +34,23 @@ def m1_normalised(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", normalise_for_model(F.concat("text", F.lit(" 555-010-2000 1/2/1999 1999-01-02"))).alias("text"))
 
 
+# The dictionary: words of letters that occur often; texts are those of conversations, so that some words are unknown. DuckDB measures bytes, so signs beyond ASCII are shown as x.
+_KNOWN = """dict as (select word, count(*) as n from (select unnest(string_split_regex(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '[^\\p{L}]+')) as word from documents) where word <> '' group by word having count(*) >= 12)"""
+
+
+@query(f"""with {_KNOWN}, shown as (select conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') as text from conversations),
+    parts as (select conv_id, turn, unnest(string_split_regex(text, '\\s+')) as part, generate_subscripts(string_split_regex(text, '\\s+'), 1) as at_ from shown),
+    bare as (select conv_id, turn, at_, trim(part, '.,*!?;:"''()-') as bare from parts), marked as (select *, case when regexp_matches(bare, '^\\p{{L}}+$') and upper(bare) <> bare then lower(bare) end as word from bare where bare <> ''),
+    unknown as (select distinct word from marked where word is not null and word not in (select word from dict)),
+    near as (select u.word, d.word as known, d.n, damerau_levenshtein(u.word, d.word) as far from unknown u join dict d on length(d.word) between length(u.word) - 2 and length(u.word) + 2),
+    best as (select word, known as correction from near where far <= 2 qualify row_number() over (partition by word order by far, n desc, known) = 1)
+    select conv_id, turn, string_agg(coalesce(correction, m.word, bare), ' ' order by at_) as corrected from marked m left join best using (word) group by conv_id, turn""")
+def m1_corrected(spark: SparkSession, d: str) -> DataFrame:
+    shown = lambda name: table(spark, d, name).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+    words = spelling.word_counts(shown("documents"), "text", 12)
+    return spelling.corrected(shown("conversations"), "text", words).filter("corrected != ''").select("conv_id", "turn", "corrected")
+
+
 # Tables of a document: its pipe-separated lines.
 @query("""with l as (select doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(x, '|')) as rows from documents),
     c as (select doc_id, len(rows) as n_rows, list_sum(list_transform(rows, lambda r: len(string_split(r, '|')))) as cells, list_sum(list_transform(rows, lambda r: list_sum(list_transform(string_split(r, '|'), lambda x: case when trim(x) = '' then 0 else len(string_split_regex(trim(x), '\\s+')) end)))) as words,
