@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
 from quillframe.functions.spans import resolve, spans
 from quillframe.functions.text import mask_ssn
+from quillframe.shipping import ship
 
 from .lexicon import BROADCAST_PHRASES, lexicon_matches
 
@@ -107,6 +109,41 @@ def normalize(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], nor
     return joined.withColumns({"canonical": canonical, "label": F.coalesce("_nl", "_l"), "matched": canonical.isNotNull()}).drop("_p", "_c", "_l", "_nc", "_nl")
 
 
+def chunk_layer(df: DataFrame, key: str, text: str, tagger, labels: dict[str, str], threshold: float = 0.4, size: int = 1500, overlap: int = 200, lexicon: list[tuple[str, str, str]] = (), normalization: list[tuple[str, str, str]] = rules.NORMALIZATION) -> DataFrame:
+    """Entities of a model with a limit: key, start, end, text, label, canonical_name, confidence, source, normalized_acronym, for `layered`.
+
+    tagger: chunks -> for each a list of (text, label, score). A failing chunk has none. What scores below the threshold, has a label without
+    a mapping or fewer than 2 or more than 100 signs goes; its place is the first of its text in the chunk (any case, if there is none as it is). Found again in the overlap of two
+    chunks at the same place, it counts once, with its best score. Chunks are rows, so that long texts go to many tasks.
+    """
+    ship(df.sparkSession)
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    cut = rows.select("row", "key", F.explode(chunks(F.col("text"), size, overlap)).alias("c")).select("row", "key", "c.offset", "c.chunk")
+
+    def tag(batches):
+        for b in batches:
+            out = []
+            for row, k, offset, chunk in b.itertuples(index=False):
+                try:
+                    found = tagger([chunk])[0]
+                except Exception:  # one chunk must not end the batch
+                    continue
+                for t, label, score in found:
+                    t = t.strip()
+                    at = chunk.find(t) if t in chunk else chunk.lower().find(t.lower())
+                    if score >= threshold and label in labels and 2 <= len(t) <= 100 and at >= 0:
+                        out.append((row, k, offset + at, offset + at + len(t), t, labels[label], float(score)))
+            yield pd.DataFrame(out, columns=["row", "key", "start", "end", "text", "label", "score"]).astype({"row": "int64", "start": "int32", "end": "int32", "score": "float64"})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    tagged = cut.mapInPandas(tag, f"row bigint, key {kind}, start int, end int, text string, label string, score double")
+    once = tagged.groupBy("row", "key", "start", "end").agg(F.max_by("text", "score").alias("text"), F.max_by("label", "score").alias("label"), F.max("score").alias("score"))
+    named = normalize(once.withColumnRenamed("label", "own"), "text", list(lexicon), normalization)
+    canonical = F.coalesce("canonical", F.left(F.replace(F.upper("text"), F.lit(" "), F.lit("_")), F.lit(40)))
+    acronym = F.when((canonical == F.upper(canonical)) & (F.char_length(canonical) <= 8), canonical).otherwise("")
+    return named.select(F.col("key").alias(key), "start", "end", "text", F.coalesce("label", "own").alias("label"), canonical.alias("canonical_name"), F.round("score", 4).alias("confidence"), F.lit("model").alias("source"), acronym.alias("normalized_acronym"))
+
+
 def chunks(text: Column, size: int = 1500, overlap: int = 200) -> Column:
     """Overlapping pieces of a text with their offsets, for models with a limit: array of (offset, chunk). The last one is the first that reaches the end."""
     starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - overlap - 1, F.lit(0)), F.lit(size - overlap))

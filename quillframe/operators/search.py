@@ -38,6 +38,18 @@ def roll_up(items: DataFrame, kind: str, value: str, frame: str) -> DataFrame:
     return each.withColumn("type_total", F.sum("n").over(Window.partitionBy(kind)))
 
 
+def entity_frames(items: DataFrame, kind: str, value: str, frame: str, like: str | None = None) -> DataFrame:
+    """Per type and text that has `like` in it (any case): how often, its frames in order, the type's distinct texts that match and its total of all texts.
+
+    Frames are told apart before they are gathered, so an entity's list is no longer than its job has frames.
+    """
+    counts = items.groupBy(kind, value, frame).agg(F.count("*").alias("n"))
+    each = counts.groupBy(kind, value).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(frame)).alias("frames"))
+    whole = each.withColumn("type_total", F.sum("n").over(Window.partitionBy(kind)))
+    kept = whole.filter(F.contains(F.lower(value), F.lit(like.lower()))) if like else whole
+    return kept.withColumn("type_unique", F.count("*").over(Window.partitionBy(kind)))
+
+
 def density(length: Column, entities: Column, confidence: Column) -> Column:
     return length * F.greatest(entities, F.lit(1)) * F.greatest(confidence / 100, F.lit(0.1))
 

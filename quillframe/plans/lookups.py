@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import blank_to, frame_ref
@@ -150,11 +150,16 @@ def d7_words_in_boxes(spark: SparkSession, d: str) -> DataFrame:
     return L.in_first_box(words, boxes, "image")
 
 
-@query(f"""with {BOXES} select a.image, a.box, max(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) > 0.3 * min(a.w * a.h) as covered
+# A user's events as boxes, on a page for each eight of them.
+_EVENT_BOXES = """boxes as (select user_id * 100000 + (row_number() over (partition by user_id order by event_id) - 1) // 8 as image, event_id as box, (event_id * 31) % 500 as x, (event_id * 17) % 400 as y, 90 + event_id % 77 as w, 60 + event_id % 49 as h from events)"""
+
+
+@query(f"""with {_EVENT_BOXES} select a.image, a.box, max(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) > 0.3 * min(a.w * a.h) as covered
     from boxes a join boxes b on a.image = b.image and a.box <> b.box group by a.image, a.box""")
 def d8_box_overlap(spark: SparkSession, d: str) -> DataFrame:
-    b = spark.range(20).withColumnRenamed("id", "image").withColumn("box", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    boxes = b.select("image", "box", F.struct(((F.col("image") * 31 + F.col("box") * 97) % 500).alias("x"), ((F.col("image") * 17 + F.col("box") * 53) % 400).alias("y"), (90 + F.col("box") * 11).alias("w"), (60 + F.col("box") * 7).alias("h")).alias("a"))
+    n = F.col("event_id")
+    page = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 8)
+    boxes = table(spark, d, "events").select((F.col("user_id") * 100000 + page).alias("image"), n.alias("box"), F.struct((n * 31 % 500).alias("x"), (n * 17 % 400).alias("y"), (90 + n % 77).alias("w"), (60 + n % 49).alias("h")).alias("a"))
     other = boxes.select("image", F.col("box").alias("_box"), F.col("a").alias("b"))
     met = boxes.join(other, "image").filter("box != _box")
     return met.groupBy("image", "box").agg((F.max(L.overlaps(F.col("a"), F.col("b"))) > 0.3 * F.min(F.col("a.w") * F.col("a.h"))).alias("covered"))

@@ -284,11 +284,18 @@ def o12_line_positions(spark: SparkSession, d: str) -> DataFrame:
     return L.line_positions(frames(spark, d).select("job_id", "frame_index", "k"), "job_id", "frame_index", "k", 40)
 
 
-@query("""with l as (select i as t, unnest(range(0, 60, 3 + i)) * 7 as mid from range(20) r(i)), n as (select t, mid as a, lead(mid) over (partition by t order by mid) as b, row_number() over (partition by t order by mid) - 1 as n from l)
-    select r.t as t, r.n as row, c.n as col, c.a as x1, r.a as y1, c.b as x2, r.b as y2 from n r join n c using (t) where r.b - r.a >= 10 and c.b - c.a >= 10""")
+# Lines of a user's first forty events: their values across, their kinds' numbers down.
+_LINES_AT = """e as (select user_id as t, value, cast(json_extract_string(props, '$.k') as int) as k, row_number() over (partition by user_id order by event_id) as n from events),
+    rows as (select distinct t, cast(floor(value) as int) * 3 as mid from e where n <= 40), cols as (select distinct t, k * 7 as mid from e where n <= 40 and k is not null)"""
+
+
+@query(f"""with {_LINES_AT}, r as (select t, mid as a, lead(mid) over (partition by t order by mid) as b, row_number() over (partition by t order by mid) - 1 as n from rows), c as (select t, mid as a, lead(mid) over (partition by t order by mid) as b, row_number() over (partition by t order by mid) - 1 as n from cols)
+    select r.t as t, r.n as row, c.n as col, c.a as x1, r.a as y1, c.b as x2, r.b as y2 from r join c using (t) where r.b - r.a >= 10 and c.b - c.a >= 10""")
 def o12_cell_grid(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.range(20).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(59), (3 + F.col("id")).cast("int"))).alias("mid")).withColumn("mid", F.col("mid") * 7)
-    grid = L.cell_grid(lines, lines, "t")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, d, "events").withColumn("n", nth).filter("n <= 40").select(F.col("user_id").alias("t"), (F.floor("value").cast("int") * 3).alias("across"), (F.get_json_object("props", "$.k").cast("int") * 7).alias("down"))
+    lines, columns = e.select("t", F.col("across").alias("mid")).distinct(), e.filter("down is not null").select("t", F.col("down").alias("mid")).distinct()
+    grid = L.cell_grid(lines, columns, "t")
     return grid.select("t", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 

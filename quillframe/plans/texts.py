@@ -353,6 +353,15 @@ def k3_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return K.roll_up(words, "source", "word", "doc_id")
 
 
+@query("""with w as (select source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) as word from documents),
+    g as (select source, word, count(*) as n, list_sort(list(distinct doc_id)) as frames from w group by source, word), t as (select *, cast(sum(n) over (partition by source) as bigint) as type_total from g)
+    select source, word, n, len(frames) as in_frames, md5(array_to_string(frames, ',')) as frames, type_total, count(*) over (partition by source) as type_unique from t where contains(lower(word), 'en')""")
+def k3_frame_lists(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select("source", "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("word"))
+    told = K.entity_frames(words, "source", "word", "doc_id", "EN")
+    return told.select("source", "word", "n", F.size("frames").cast("long").alias("in_frames"), F.md5(F.array_join("frames", ",")).alias("frames"), "type_total", "type_unique")
+
+
 @query("""with w as (select distinct conv_id, turn, unnest(string_split_regex(lower(text), '\\s+')) as word from conversations), s as (select * from w where length(word) > 2),
     z as (select c.conv_id, c.turn, count(s.word) as size from conversations c left join s using (conv_id, turn) group by all),
     j as (select a.conv_id, a.turn, b.turn as other, count(*) as n from s a join s b on a.conv_id = b.conv_id and a.word = b.word and a.turn <> b.turn group by all),
@@ -474,3 +483,33 @@ def b4_html_report(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("bucket"), "o_orderkey", F.col("o_orderpriority").alias("heading"), F.concat(F.lit("total & <"), "o_orderstatus", F.lit(">")).alias("summary"))
     jobs = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("title"))
     return writers.html_report(s, jobs, "c_custkey", "o_orderkey").select("c_custkey", F.md5("html").alias("html"))
+
+
+@query("""with s as (select o_custkey, o_orderkey % 5 + 1 as bucket, o_orderkey,
+        '<article>' || case when o_orderkey % 7 = 0 then '<p>No screenshot recorded</p>' when o_orderkey % 7 = 1 then '<p>Image not available</p>' else '<img src="data:' || case o_orderkey % 3 when 0 then 'image/jpeg' else 'image/png' end || ';base64,' || to_base64(encode(o_orderpriority)) || '">' end
+        || '<p>Captured at ' || printf('%02d:%02d', o_orderkey * 777 // 60000, o_orderkey * 777 // 1000 % 60) || '</p><h3>' || o_orderpriority || '</h3><p>a &amp; b</p><ul><li>' || o_orderstatus || '</li><li>&lt;2&gt;</li></ul><p></p></article>' as li from orders),
+    c as (select c_custkey, b.b, b.t, coalesce((select string_agg(li, '' order by o_orderkey) from s where s.o_custkey = c_custkey and s.bucket = b.b), '') as items from customer, (values (1, 'Case List'), (2, 'Program Eligibility'), (3, 'Eligibility Evidence'), (4, 'State Eligibility Determination'), (5, 'Unknown')) b(b, t))
+    select c.c_custkey, md5('<html><body><header>' || any_value('<div><b>PERM ID</b> ' || case when c.c_custkey % 4 = 0 then 'not provided' else x.c_name end || '</div><div><b>Recipient</b> ' || x.c_mktsegment || '</div><div><b>Date of Service</b> not provided</div><div><b>State</b> not provided</div><div><b>Case Type</b> not provided</div><div><b>Sample</b> not provided</div>')
+        || '</header>' || string_agg('<section><h2>' || b || '. ' || t || '</h2>' || items || '</section>', '' order by b) || '</body></html>') as html from c join customer x on x.c_custkey = c.c_custkey group by c.c_custkey""")
+def b4_capture_report(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    path = F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("shot."), F.when(n % 3 == 0, "JPG").otherwise("png")))
+    captures = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (n % 5 + 1).cast("int").alias("bucket"), "o_orderkey", F.when(n % 7 > 1, F.col("o_orderpriority").cast("binary")).alias("image"), path.alias("image_path"), (n * 777).alias("captured_at_ms"),
+        F.col("o_orderpriority").alias("heading"), F.lit("a & b").alias("summary"), F.array("o_orderstatus", F.lit("<2>")).alias("key_points"), F.lit(None).cast("string").alias("notes"))
+    jobs = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "—").otherwise(F.col("c_name")).alias("perm_id"), F.col("c_mktsegment").alias("recipient"))
+    return writers.capture_report(captures, jobs, "c_custkey", "o_orderkey").select("c_custkey", F.md5("html").alias("html"))
+
+
+def _capitals(batch: list[str]) -> list[list[tuple[str, str, float]]]:
+    """A stand-in for a model: capitalized words, surer of long ones."""
+    import re
+
+    return [[(m, "a capitalized word", min(len(m) / 20, 1.0)) for m in re.findall(r"\b[A-Z][a-z]{6,}\b", chunk, re.ASCII)] for chunk in batch]
+
+
+@query("""with c as (select doc_id, i * 1300 as at_, substr(text, i * 1300 + 1, 1500) as chunk from (select doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) // 1300 + 1)) as i from documents)),
+    f as (select doc_id, at_, chunk, unnest(list_distinct(regexp_extract_all(chunk, '\\b[A-Z][a-z]{6,}\\b'))) as word from c)
+    select distinct doc_id, cast(at_ + strpos(chunk, word) - 1 as int) as start, word as text, round(least(length(word) / 20, 1.0), 4) as confidence from f where length(word) / 20 >= 0.4""")
+def e17_chunk_layer(spark: SparkSession, d: str) -> DataFrame:
+    found = E.chunk_layer(table(spark, d, "documents"), "doc_id", "text", _capitals, {"a capitalized word": "NAME"}, 0.4)
+    return found.select("doc_id", "start", "text", "confidence")

@@ -52,8 +52,16 @@ def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def crops(spark: SparkSession, path: str) -> DataFrame:
-    """Crop side-cars; only those with all four keys."""
-    return spark.read.schema("x int, y int, w int, h int").json(path).dropna()
+    """job_id (the folder that a side-car lies in), x, y, w, h of crop side-cars; only those with all four keys. A side-car is one JSON value, whatever its lines."""
+    read = spark.read.schema("x int, y int, w int, h int").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    job = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return read.select(job.alias("job_id"), "x", "y", "w", "h").dropna(subset=["x", "y", "w", "h"])
+
+
+def cropped(jobs: DataFrame, side_cars: DataFrame, job: str = "job_id") -> DataFrame:
+    """Jobs with their crop, null where they have none; of several side-cars of a job one by order of their values."""
+    one = side_cars.groupBy("job_id").agg(F.min(F.struct("x", "y", "w", "h")).alias("crop")).withColumnRenamed("job_id", job)
+    return jobs.join(one, job, "left")
 
 
 def recognised_words(df: DataFrame, key: str, tsv: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import minutes
+
 # Titles of the report's sections by bucket.
 TITLES = {1: "Case List", 2: "Program Eligibility", 3: "Eligibility Evidence", 4: "State Eligibility Determination", 5: "Unknown"}
 
@@ -52,6 +54,46 @@ def html_report(sections: DataFrame, jobs: DataFrame, key: str, order: str) -> D
     return joined.select(key, F.concat(F.lit("<html><body><h1>"), title, F.lit("</h1>"), *cards, F.lit("<footer>"), F.size("items").cast("string"), F.lit(" items</footer></body></html>")).alias("html"))
 
 
+# The fields of the report's header with their labels, and the media types of its images.
+HEADER = {"perm_id": "PERM ID", "recipient": "Recipient", "date_of_service": "Date of Service", "state": "State", "case_type": "Case Type", "sample": "Sample"}
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+
+
+def header_cells(columns: list[str]) -> Column:
+    """The six fields of a job; empty and missing ones are not provided."""
+    def cell(name: str, label: str) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in columns else F.lit("")
+        return F.concat(F.lit(f"<div><b>{label}</b> "), F.when(value.isin("", "—"), "not provided").otherwise(escaped(value)), F.lit("</div>"))
+
+    return F.concat(*[cell(*x) for x in HEADER.items()])
+
+
+def image_tag(image: Column, name: Column) -> Column:
+    """A capture's image inside the page, by its bytes and file name; what it says where there is none."""
+    kind = F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
+    media = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair]), kind), F.lit("image/png"))
+    return F.when(F.coalesce(name, F.lit("")) == "", "<p>No screenshot recorded</p>").when(image.isNull(), "<p>Image not available</p>").otherwise(F.concat(F.lit('<img src="data:'), media, F.lit(";base64,"), F.base64(image), F.lit('">')))
+
+
+def capture_report(captures: DataFrame, jobs: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, html): the six header fields of each job, then its captures by bucket: image, time, heading, summary, key points, notes.
+
+    captures: key, order, bucket, image (bytes), image_path, captured_at_ms, heading, summary, key_points, notes. All captures of a job are one page, so a page must fit a row.
+    """
+    points = F.array_join(F.transform(F.coalesce("key_points", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<li>"), escaped(x), F.lit("</li>"))), "")
+    shown = lambda c: escaped(F.coalesce(F.col(c), F.lit("")))
+    item = F.concat(F.lit("<article>"), image_tag(F.col("image"), F.col("image_path")), F.lit("<p>Captured at "), minutes(F.coalesce("captured_at_ms", F.lit(0))), F.lit("</p><h3>"), shown("heading"), F.lit("</h3><p>"), shown("summary"),
+                    F.lit("</p><ul>"), points, F.lit("</ul><p>"), shown("notes"), F.lit("</p></article>"))
+    listed = captures.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", F.col(order).alias("o"), item.alias("h")))).alias("items"))
+    met = jobs.join(listed, key, "left")
+
+    def section(n: int, title: str) -> Column:
+        own = F.transform(F.filter("items", lambda x: x["bucket"] == n), lambda x: x["h"])
+        return F.concat(F.lit(f"<section><h2>{n}. {title}</h2>"), F.coalesce(F.array_join(own, ""), F.lit("")), F.lit("</section>"))
+
+    return met.select(key, F.concat(F.lit("<html><body><header>"), header_cells(jobs.columns), F.lit("</header>"), *[section(*x) for x in TITLES.items()], F.lit("</body></html>")).alias("html"))
+
+
 def artifact_allowed(kind: Column, name: Column, kinds: list[str]) -> Column:
     """Whether an artifact may be read: a known kind and a plain file name."""
     return kind.isin(kinds) & ~name.rlike(r"\.\.|/|\\")
