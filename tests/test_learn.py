@@ -67,7 +67,7 @@ def test_calibrated_probabilities(spark, tmp_path, kinds):
 def test_predictions_of_unseen_folds(spark):
     df = _labelled(spark, 90, ["yes", "no"])
     got = learn.calibrated_predictions(df.coalesce(1), "label", "id", "text", k=2).withColumn("r", classify.with_reject(F.col("probabilities"))).collect()
-    assert sorted(r.id for r in got) == list(range(90)) and Counter(r.fold for r in got) == {0: 45, 1: 45}
+    assert sorted(r.id for r in got) == list(range(90)) and set(Counter(r.fold for r in got).values()) == {44, 46}  # each label's odd row goes to the first fold
     assert sum(r["r"].label == r.label for r in got) > 70
 
 
