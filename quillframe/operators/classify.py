@@ -135,7 +135,7 @@ def train_logistic(df: DataFrame, label: str, text: str, features: int = 500, c:
 
     words = text_features(df, text, features, label)
     ready = words.transform(df)
-    model = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, family="multinomial", regParam=1 / (c * max(ready.count(), 1)), standardization=False).fit(ready)
+    model = LogisticRegression(featuresCol="_f", labelCol="_label", maxIter=100, tol=1e-4, family="multinomial", regParam=1 / (c * max(ready.count(), 1)), standardization=False).fit(ready)
     return PipelineModel([*words.stages, model])
 
 
@@ -148,7 +148,7 @@ def train_linear_svm(df: DataFrame, label: str, text: str, features: int = 500,
 
     words = text_features(df, text, features, label)
     ready = words.transform(df)
-    model = OneVsRest(classifier=LinearSVC(maxIter=50, regParam=1 / (c * max(ready.count(), 1)), standardization=False), featuresCol="_f", labelCol="_label").fit(ready)
+    model = OneVsRest(classifier=LinearSVC(maxIter=50, tol=1e-3, regParam=1 / (c * max(ready.count(), 1)), standardization=False), featuresCol="_f", labelCol="_label").fit(ready)
     return PipelineModel([*words.stages, model])
 
 

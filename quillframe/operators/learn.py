@@ -123,7 +123,7 @@ class CalibratedSvm:
             mine = dealt.withColumn("_y", (F.col(label) == one).cast("double"))
 
             def trained(rows: DataFrame, n: int) -> LinearSVCModel:
-                return LinearSVC(featuresCol=vector, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p", maxIter=iterations, regParam=1 / (c * max(n, 1)), standardization=False).fit(rows)
+                return LinearSVC(featuresCol=vector, labelCol="_y", rawPredictionCol="_raw", predictionCol="_p", maxIter=iterations, tol=1e-3, regParam=1 / (c * max(n, 1)), standardization=False).fit(rows)
 
             seen = None
             for i in range(k):
