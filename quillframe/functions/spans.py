@@ -32,33 +32,45 @@ def running(values: Column, merge: Callable[[Column, Column], Column], kind: str
         before = F.concat(F.array(F.lit(None).cast(kind)), scan(F.transform(inner, lambda p: F.element_at(p, -1))))
         return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda p, o: F.when(o.isNull(), p).otherwise(F.transform(p, lambda v: merge(o, v)))))
 
-    parts = bound(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(PART)), lambda at: scan(F.slice(v, at, PART))))
-    return F.when(F.size(values) == 0, empty).when(F.size(values) <= PART, scan(values)).otherwise(bound(parts, joined))
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(PART)), lambda at: scan(F.slice(v, at, PART)))
+        return F.when(F.size(v) == 0, empty).when(F.size(v) <= PART, scan(v)).otherwise(bound(parts, joined))
 
+    return bound(values, whole)
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern that has no capturing group: array of (start, end, text).
 
-    One pass marks the matches; they and the gaps between them have lengths that add up to the positions.
-    """
-    none = F.array().cast(f"array<{SPAN}>")
+def _placed(pieces: Column) -> Column:
+    """pieces: array of (gap, hit), whose lengths add up to the positions."""
+    ends = running(F.transform(pieces, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])), lambda a, b: a + b, "int")
+    return F.zip_with(ends, pieces, lambda end, x: F.struct((end - F.char_length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("text")))
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """The text with OPEN and CLOSE around each match of a pattern without capturing groups; the text must have neither."""
+    return F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}")
+
 
-    def placed(pieces: Column) -> Column:
-        """pieces: array of (gap, hit)."""
-        ends = running(F.transform(pieces, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])), lambda a, b: a + b, "int")
-        return F.zip_with(ends, pieces, lambda end, x: F.struct((end - F.char_length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("text")))
+def marked_spans(marked_text: Column) -> Column:
+    """The matches that `marked` has marked: array of (start, end, text)."""
+    none = F.array().cast(f"array<{SPAN}>")
 
     def cut(parts: Column) -> Column:
         """parts: what OPEN separates, that is, the first gap and then hit, CLOSE, gap."""
         gaps = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.substring_index(p, CLOSE, -1)))
         hits = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.substring_index(p, CLOSE, 1))
-        return F.when(F.size(parts) > 1, bound(F.zip_with(F.slice(gaps, 1, F.size(parts) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), placed)).otherwise(none)
+        return F.when(F.size(parts) > 1, bound(F.zip_with(F.slice(gaps, 1, F.size(parts) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), _placed)).otherwise(none)
+
+    return bound(F.split(marked_text, OPEN, -1), cut)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """All matches of a pattern that has no capturing group: array of (start, end, text).
 
-    once = bound(F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1), cut)
+    One pass marks the matches; they and the gaps between them have lengths that add up to the positions.
+    """
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    twice = bound(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), placed)
-    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    return F.when(marked, twice).otherwise(once)
+    twice = bound(F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), _placed)
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), twice).otherwise(marked_spans(marked(text, pattern)))
 
 
 def resolve(items: Column, kind: str, rank: list[str] | None = None) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
-from quillframe.functions.spans import resolve, spans
+from quillframe.functions.spans import CLOSE, OPEN, bound, marked, marked_spans, resolve
 from quillframe.functions.text import mask_ssn
 from quillframe.shipping import ship
 
@@ -16,41 +18,82 @@ from .lexicon import BROADCAST_PHRASES, lexicon_matches
 ENTITY = "struct<start:int,end:int,text:string,type:string>"
 
 
-#: Types whose patterns can't match without a digit.
+#: What a text must have for a match of a built-in pattern, by type: a digit, a capital (the match begins with it), one of some literals in lower case.
 WITH_DIGIT = {"ssn", "ein", "medical_code", "phone", "currency", "percentage", "date", "time_value", "zip_code", "policy_number", "address", "account_number", "npi"}
+WITH_CAPITAL = {"state", "organization", "person_name"}
+LITERALS = {
+    "url": ["://"], "email": ["@"], "ein": ["ein", "tax", "tin", "employer"], "claim_number": ["claim", "clm", "auth", "approval", "confirmation", "transaction", "reference"],
+    "group_number": ["group", "grp", "plan", "benefit", "subscriber", "member", "enrollee"], "percentage": ["%"], "policy_number": ["pol", "cert", "contract", "account"],
+    "case_number": ["case", "ref", "docket", "file", "matter", "ticket", "incident"], "account_number": ["account", "acct", "a/c", "routing", "aba", "rtn", "iban"], "npi": ["npi", "national"],
+}
+
+
+#: Stand for OPEN and CLOSE while a text that has them is matched; no pattern tells the four apart.
+STAND_INS = "\ufdd2\ufdd3"
+
 
+def _signs(text: Column) -> Column:
+    """A text with what the triggers ask, each found once per text; odd: it has OPEN or CLOSE of its own."""
+    odd = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    return F.struct(
+        text.alias("text"), F.when(odd, F.translate(text, OPEN + CLOSE, STAND_INS)).otherwise(text).alias("plain"), odd.alias("odd"),
+        text.rlike("[0-9]").alias("digit"), text.rlike("[A-Z]").alias("capital"), F.lower(text).alias("low"),
+    )
 
-def _trigger(text: Column, kind: str, own: bool) -> Column:
+
+def _trigger(seen: Column, kind: str) -> Column:
     """A cheap test that a text passes if it has a match of a built-in pattern."""
-    if own and kind in WITH_DIGIT:
-        return text.rlike("[0-9]")
-    if own and kind in ("email", "url"):
-        return F.contains(text, F.lit("@" if kind == "email" else "://"))
-    return F.lit(True)
-
-
-def _found(text: Column, kind: str, pattern: str, not_names: list[str], state_codes: list[str]) -> Column:
-    """Matches of one pattern as entities, without what its type excludes."""
-    shown = (lambda t: mask_ssn(t)) if kind == "ssn" else (lambda t: F.btrim(t))
-    first = (lambda s: s["end"] - 10) if kind == "npi" else (lambda s: s["start"])  # the name before the digits is no part of it
-    shown = (lambda t: F.right(t, F.lit(10))) if kind == "npi" else shown
-    found = F.transform(spans(text, pattern), lambda s: F.struct(first(s).alias("start"), s["end"], shown(s["text"]).alias("text"), F.lit(kind).alias("type")))
-    if kind == "organization":
-        return F.filter(found, lambda s: (F.char_length(s["text"]) >= 4) & ~s["text"].isin(state_codes))
-    if kind == "person_name":
-        return F.filter(found, lambda s: ~F.arrays_overlap(F.split(s["text"], r"\s+"), F.array(*[F.lit(w) for w in not_names])))
-    return found
+    tests = [seen["digit"]] if kind in WITH_DIGIT else [seen["capital"]] if kind in WITH_CAPITAL else []
+    if kind in LITERALS:
+        tests.append(functools.reduce(lambda a, b: a | b, [F.contains(seen["low"], F.lit(w)) for w in LITERALS[kind]]))
+    return functools.reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def extract(text: Column, patterns: list[tuple[str, str]] | None = None, not_names: list[str] = rules.NOT_NAMES, state_codes: list[str] = rules.STATE_CODES) -> Column:
     """Resolved entities of a text: array of (start, end, text, type); social-security numbers are masked.
 
-    A text without any trigger (digit, @, :// or a capital) is not scanned.
+    A text without any trigger (digit, @, :// or a capital) is not scanned. Each pattern that may match marks its matches in a copy of
+    the text; copies without a mark go before positions are worked out, in one expression for all patterns.
     """
     empty = F.array().cast(f"array<{ENTITY}>")
-    parts = [F.when(_trigger(text, kind, patterns is None), _found(text, kind, pattern, not_names, state_codes)).otherwise(empty) for kind, pattern in patterns or rules.ENTITY_PATTERNS]
-    every = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.when(text.rlike(r"[0-9@A-Z]|://"), resolve(every, ENTITY)).otherwise(empty)
+
+    def copy(seen: Column, kind: str, pattern: str) -> Column:
+        led = f"(?=[A-Z]){pattern}" if patterns is None and kind in WITH_CAPITAL else pattern  # most places fail on their first sign
+        made = F.struct(F.lit(kind).alias("type"), marked(seen["plain"], led).alias("marked"))
+        return F.when(_trigger(seen, kind), made) if patterns is None else made
+
+    def found(seen: Column, one: Column) -> Column:
+        kind = one["type"]
+
+        def entity(s: Column) -> Column:
+            value = F.when(seen["odd"], F.substring(seen["text"], s["start"] + 1, s["end"] - s["start"])).otherwise(s["text"])
+            shown = F.when(kind == "ssn", mask_ssn(value)).when(kind == "npi", F.right(value, F.lit(10))).otherwise(F.btrim(value))
+            first = F.when(kind == "npi", s["end"] - 10).otherwise(s["start"])  # the name before the digits is no part of it
+            return F.struct(first.alias("start"), s["end"], shown.alias("text"), kind.alias("type"))
+
+        def counts(e: Column) -> Column:
+            named = F.arrays_overlap(F.split(e["text"], r"\s+"), F.array(*[F.lit(w) for w in not_names]))
+            return F.when(kind == "organization", (F.char_length(e["text"]) >= 4) & ~e["text"].isin(state_codes)).when(kind == "person_name", ~named).otherwise(True)
+
+        return F.filter(F.transform(marked_spans(one["marked"]), entity), counts)
+
+    def every(seen: Column) -> Column:
+        copies = F.array(*[copy(seen, kind, pattern) for kind, pattern in patterns or rules.ENTITY_PATTERNS])
+        hit = F.filter(copies, lambda one: F.contains(one["marked"], F.lit(OPEN)))
+        entities = F.flatten(F.transform(hit, lambda one: found(seen, one)))
+        scanned = seen["digit"] | seen["capital"] | F.contains(seen["text"], F.lit("@")) | F.contains(seen["text"], F.lit("://"))
+        return F.when(scanned, bound(entities, lambda e: resolve(e, ENTITY))).otherwise(empty)
+
+    return bound(_signs(text), every)
+
+
+def entity_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per entity of a row: keys, type, start, end, text.
+
+    An outer explode, whose empty rows go afterwards: for a plain one the optimizer puts a filter below, and all would be found twice.
+    """
+    met = df.select(*keys, F.explode_outer(extract(F.col(text))).alias("_e")).filter("_e is not null")
+    return met.select(*keys, "_e.type", "_e.start", "_e.end", "_e.text")
 
 
 def by_category(entities: Column, types: list[str] = rules.ENTITY_TYPES) -> Column:

@@ -105,12 +105,12 @@ _FORMS = f"(select c_custkey, {FORM.format(n='c_custkey')} as text from customer
 
 @query(entities_sql(_FORMS, "c_custkey"))
 def e1_form_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _forms(spark, d).select("c_custkey", F.explode(E.extract(F.col("text"))).alias("e")).select("c_custkey", "e.type", "e.start", "e.end", "e.text")
+    return E.entity_rows(_forms(spark, d), ["c_custkey"], "text")
 
 
 @query(entities_sql("documents", "doc_id"))
 def e1_document_entities(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(E.extract(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.start", "e.end", "e.text")
+    return E.entity_rows(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 @query(f"""with e as ({entities_sql(_FORMS, "c_custkey")}), f as (select c_custkey, type, text, min(start) as start from e group by all)

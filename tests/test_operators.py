@@ -333,3 +333,25 @@ def test_failing_taggers_have_error_rows(spark):
 
 def test_word_lists():
     assert len(rules.RELEVANCE_KEYWORDS) == 21 and len(rules.ENTITY_TYPES) == 22 and len(rules.STATE_NAMES) == 51
+
+
+def test_entities_beside_marks_of_their_own(spark):
+    """Signs that the matcher puts around matches may be in a text; positions and texts are those of the text as it is."""
+    texts = ["﷐Write to a.b@c.org﷑ by 01/02/2020, pay 5%﷒", "NPI: 1234567890 of John Smith in New York", "no trigger here", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = entities.entity_rows(df, ["id"], "text").collect()
+    assert [(r.id, r.type, r.text) for r in sorted(rows, key=lambda r: (r.id, r.start))] == [
+        (0, "email", "a.b@c.org"), (0, "date", "01/02/2020"), (0, "percentage", "5%"), (1, "npi", "1234567890"), (1, "person_name", "John Smith"), (1, "state", "New York")]
+    for r in rows:
+        assert texts[r.id][r.start : r.end] == r.text
+
+
+def test_triggers_let_every_match_through(spark):
+    """A text of each built-in pattern passes the trigger of its type."""
+    samples = [
+        "EIN 12-3456789", "tax id: 12-3456789", "tin 12-3456789", "Employer ID 12-3456789", "clm: ABCDE1", "prior auth abcde12", "transaction # ABCDE", "grp # AB12", "Enrollee ID AB12", "plan no. xyz9",
+        "pol-123", "cert # 123-4", "contract # 123", "docket # 12", "REF # 12-3", "incident no. A12", "acct 1234567", "a/c 1234567", "ABA 123456789", "iban DE12ABCD", "npi 1234567890", "National Provider ID 1234567890",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "id int, text string")
+    found = {r.id for r in entities.entity_rows(df, ["id"], "text").collect()}
+    assert found == set(range(len(samples)))
