@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
+from quillframe.shipping import ship
 
 
 def match_count(text: Column, query: str) -> Column:
@@ -85,22 +88,75 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: F.char_length(w) > 2))
 
 
-def unique_content(df: DataFrame, job: str, frame: str, text: str) -> DataFrame:
-    """(1 - mean Jaccard with the job's other frames that have words) * distinct words.
-
-    Shared words are counted by a join on (job, word), so frames without a common word never meet.
+def _alike_by_words(classes: DataFrame) -> DataFrame:
+    """(job, rep, similar) of jobs of one chunk, by a join on (job, word): classes without a common word never meet."""
+    words = classes.select("job", "rep", "size", F.explode("set").alias("word"))
+    other = classes.select("job", F.col("rep").alias("_rep"), F.col("size").alias("_size"), "m", F.explode("set").alias("word"))
+    shared = words.join(other, ["job", "word"]).filter(F.col("rep") != F.col("_rep")).groupBy("job", "rep", "_rep").agg(F.count("*").alias("both"), F.first("size").alias("size"), F.first("_size").alias("_size"), F.first("m").alias("m"))
+    return shared.groupBy("job", "rep").agg(F.sum(F.col("m") * F.col("both") / (F.col("size") + F.col("_size") - F.col("both"))).alias("similar"))
+
+
+def _common_words(left: list, right: list, width: int = 4096) -> np.ndarray:
+    """How many words each left set has in common with each right set: products of indicator matrices, `width` words at a time."""
+    codes, _ = pd.factorize(np.concatenate([*left, *right]))
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    at = len(rows[0])
+    shared, both = np.intersect1d(codes[:at], codes[at:]), np.zeros((len(left), len(right)))
+    for lo in range(0, len(shared), width):
+        some = shared[lo : lo + width]
+        sides = []
+        for side, row, code in ((left, rows[0], codes[:at]), (right, rows[1], codes[at:])):
+            place = np.searchsorted(some, code).clip(max=len(some) - 1)
+            hit = some[place] == code
+            has = np.zeros((len(side), len(some)), "float32")
+            has[row[hit], place[hit]] = 1
+            sides.append(has)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def _alike_by_chunks(classes: DataFrame) -> DataFrame:
+    """(job, rep, similar) of jobs of several chunks: each two chunks meet once and only sums per class leave the task, however common a word is."""
+    ship(classes.sparkSession)
+    filed = classes.groupBy("job", "chunk", "chunks").agg(F.collect_list(F.struct("rep", "m", "set")).alias("x"))
+    told = lambda side: [F.col(f"x.{c}").alias(f"{side}_{c}") for c in ("rep", "m", "set")]
+    left = filed.select("job", F.col("chunk").alias("mine"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("its"), *told("a"))
+    met = left.join(filed.select("job", F.col("chunk").alias("its"), *told("b")), ["job", "its"]).select("job", "mine", "its", "a_rep", "a_m", "a_set", "b_rep", "b_m", "b_set")
+
+    def sums(batches):
+        for batch in batches:
+            parts = []
+            for job, mine, its, a_rep, a_m, a_set, b_rep, b_m, b_set in batch.itertuples(index=False):
+                both = _common_words(list(a_set), list(b_set))
+                alike = both / (np.array([len(x) for x in a_set])[:, None] + np.array([len(x) for x in b_set])[None, :] - both)
+                if mine == its:
+                    alike[np.asarray(a_rep)[:, None] == np.asarray(b_rep)[None, :]] = 0
+                else:
+                    parts.append(pd.DataFrame({"job": [job] * len(b_rep), "rep": b_rep, "similar": np.asarray(a_m) @ alike}))
+                parts.append(pd.DataFrame({"job": [job] * len(a_rep), "rep": a_rep, "similar": alike @ np.asarray(b_m)}))
+            if parts:
+                yield pd.concat(parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    return met.mapInPandas(sums, f"job {kinds['job']}, rep {kinds['rep']}, similar double").groupBy("job", "rep").agg(F.sum("similar").alias("similar"))
+
+
+def unique_content(df: DataFrame, job: str, frame: str, text: str, sets: int = 512, words: int = 50_000) -> DataFrame:
+    """(1 - mean Jaccard with the job's other frames that have words) * distinct words. job (not null) and frame, numbers or strings, name a row.
+
+    Frames with the same words are one class. Jobs of at most `sets` classes and `words` words meet by word; larger ones are dealt into chunks of
+    about that size that meet chunk by chunk, so a word in all frames costs no rows.
     """
-    sets = df.select(job, frame, word_set(F.col(text)).alias("set"))
-    sized = sets.select(job, frame, F.size("set").alias("size"))
-    words = sets.select(job, frame, F.explode("set").alias("word"))
-    other = words.select(job, F.col(frame).alias("_frame"), "word")
-    shared = words.join(other, [job, "word"]).filter(F.col(frame) != F.col("_frame")).groupBy(job, frame, "_frame").agg(F.count("*").alias("both"))
-    shared = shared.join(sized, [job, frame]).join(sized.select(job, F.col(frame).alias("_frame"), F.col("size").alias("_size")), [job, "_frame"])
-    summed = shared.groupBy(job, frame).agg(F.sum(F.col("both") / (F.col("size") + F.col("_size") - F.col("both"))).alias("similar"))
-    filled = F.sum((F.col("size") > 0).cast("int")).over(Window.partitionBy(job))
-    mean = F.when(F.col("others") > 0, F.coalesce("similar", F.lit(0.0)) / F.col("others")).otherwise(0.0)
-    joined = sized.withColumn("others", filled - (F.col("size") > 0).cast("int")).join(summed, [job, frame], "left")
-    return joined.select(job, frame, "size", F.when(F.col("size") > 0, (1 - mean) * F.col("size")).otherwise(0.0).alias("unique_content"))
+    named = df.select(F.col(job).alias("job"), F.col(frame).alias("frame"), F.array_sort(word_set(F.col(text))).alias("set")).withColumn("size", F.size("set"))
+    folded = named.filter("size > 0").groupBy("job", "set").agg(F.count("*").alias("m"), F.min("frame").alias("rep"), F.first("size").alias("size"))
+    chunks = F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / words)).cast("int")
+    each = folded.groupBy("job").agg(chunks.alias("chunks"), F.sum("m").alias("filled"))
+    classes = folded.join(each, "job").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    alike = _alike_by_words(classes.filter("chunks = 1")).unionByName(_alike_by_chunks(classes.filter("chunks > 1")))
+    summed = classes.join(alike, ["job", "rep"], "left").select("job", "set", "filled", (F.coalesce("similar", F.lit(0.0)) + F.col("m") - 1).alias("similar"))
+    mean = F.when(F.col("filled") > 1, F.col("similar") / (F.col("filled") - 1)).otherwise(0.0)
+    told = named.join(summed, ["job", "set"], "left")
+    return told.select(F.col("job").alias(job), F.col("frame").alias(frame), "size", F.when(F.col("size") > 0, (1 - mean) * F.col("size")).otherwise(0.0).alias("unique_content"))
 
 
 def top_half(df: DataFrame, job: str, score: str, order: str) -> DataFrame:

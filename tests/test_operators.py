@@ -355,3 +355,21 @@ def test_triggers_let_every_match_through(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "id int, text string")
     found = {r.id for r in entities.entity_rows(df, ["id"], "text").collect()}
     assert found == set(range(len(samples)))
+
+
+def test_unique_content_of_large_jobs_in_chunks(spark):
+    """A word in every frame, copies, empty and missing texts: chunks and the join on words both equal all pairs."""
+    random.seed(5)
+    rows = [("big", i, "common " + " ".join(random.choice("abcdefghij") * 3 + random.choice("xyz") for _ in range(random.randint(0, 6)))) for i in range(60)]
+    rows += [("big", 60 + i, "common aaax bbby") for i in range(25)] + [("big", 90, ""), ("big", 91, None), ("big", 92, "no")]
+    rows += [("small", i, t) for i, t in enumerate(["one two three", "two three four", "two three four", "other"])] + [("single", 0, "alone here")]
+    words = {(j, f): {w for w in re.split(r"\s+", (t or "").lower()) if len(w) > 2} for j, f, t in rows}
+    due = {}
+    for (j, f), mine in words.items():
+        others = [w for (k, g), w in words.items() if k == j and g != f and w]
+        due[j, f] = (1 - (sum(len(mine & w) / len(mine | w) for w in others) / len(others) if others else 0)) * len(mine) if mine else 0
+    df = spark.createDataFrame(rows, "job string, frame int, text string")
+    for sets, most in ((8, 50_000), (512, 40), (512, 50_000)):
+        got = {(r.job, r.frame): r.unique_content for r in search.unique_content(df, "job", "frame", "text", sets, most).collect()}
+        assert got.keys() == due.keys()
+        assert all(abs(got[k] - due[k]) < 1e-9 for k in due)
