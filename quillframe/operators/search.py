@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import rules
+from quillframe.scratch import Scratch
 from quillframe.shipping import ship
 
 
@@ -151,8 +152,10 @@ def unique_content(df: DataFrame, job: str, frame: str, text: str, sets: int = 5
     folded = named.filter("size > 0").groupBy("job", "set").agg(F.count("*").alias("m"), F.min("frame").alias("rep"), F.first("size").alias("size"))
     chunks = F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / words)).cast("int")
     each = folded.groupBy("job").agg(chunks.alias("chunks"), F.sum("m").alias("filled"))
-    classes = folded.join(each, "job").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    alike = _alike_by_words(classes.filter("chunks = 1")).unionByName(_alike_by_chunks(classes.filter("chunks > 1")))
+    classes = Scratch(df.sparkSession, "unique-content").keep(folded.join(each, "job").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int")), "classes")
+    large = classes.filter("chunks > 1")
+    alike = _alike_by_words(classes.filter("chunks = 1"))
+    alike = alike if large.isEmpty() else alike.unionByName(_alike_by_chunks(large))
     summed = classes.join(alike, ["job", "rep"], "left").select("job", "set", "filled", (F.coalesce("similar", F.lit(0.0)) + F.col("m") - 1).alias("similar"))
     mean = F.when(F.col("filled") > 1, F.col("similar") / (F.col("filled") - 1)).otherwise(0.0)
     told = named.join(summed, ["job", "set"], "left")
