@@ -275,11 +275,16 @@ _PHRASES = """phrases as (select distinct phrase, item_id * 3 + k as place, k fr
         from benchmark, (values (0), (1), (2)) v(k))), lex as (select phrase, min(place) as place from phrases where length(phrase) > 1 and regexp_matches(phrase, '^[a-z0-9].*[a-z0-9]$') group by phrase)"""
 
 
+#: A text with signs before and after each word: a phrase with such signs is found at word borders only, and places beyond them take no part in the search.
+_BORDERED = "regexp_replace({}, '([\\p{{L}}\\p{{N}}_]+)', '\ufdd0' || '\\1' || '\ufdd1', 'g')"
+_BARE_LENGTH = "length(replace(replace(x, '\ufdd0', ''), '\ufdd1', ''))"
+
+
 @query(f"""with recursive {_PHRASES},
-    pairs as (select doc_id, lower(text) as low, phrase, place, string_split(lower(text), phrase) as gaps from documents join lex on contains(lower(text), phrase)),
+    texts as materialized (select doc_id, {_BORDERED.format("lower(text)")} as low from documents), sought as materialized (select phrase, place, {_BORDERED.format("phrase")} as form from lex),
+    pairs as (select doc_id, phrase, place, string_split(low, form) as gaps from texts join sought on contains(low, form)),
     each as (select *, unnest(range(len(gaps) - 1)) as i from pairs),
-    placed as (select *, cast(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + i * length(phrase) as int) as start, -length(phrase) as less from each),
-    whole as (select * from placed where not regexp_matches(substr(low, start, 1), '^[\\p{{L}}\\p{{N}}_]$') and not regexp_matches(substr(low, start + length(phrase) + 1, 1), '^[\\p{{L}}\\p{{N}}_]$')),
+    whole as (select *, cast(list_sum(list_transform(gaps[1:i + 1], lambda x: {_BARE_LENGTH})) + i * length(phrase) as int) as start, -length(phrase) as less from each),
     {chosen_sql('select doc_id, phrase, place, less, start, start + length(phrase) as "end" from whole', "doc_id", "less, place", "phrase, place")}
     select doc_id, phrase, start from chosen""")
 def d11_phrase_table(spark: SparkSession, d: str) -> DataFrame:
