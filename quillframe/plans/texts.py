@@ -12,6 +12,7 @@ from quillframe.operators import entities as E
 from quillframe.operators import search as K
 from quillframe.operators import structure as X
 from quillframe.sources import writers
+from quillframe.spread import spread
 
 from .registry import FRAMES, frames, query, table
 
@@ -97,7 +98,7 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("c_custkey")
     text = F.concat(F.lit("Invoice for Maria Lopez, Case #"), (1000 + n % 900).cast("string"), F.lit("\nSSN 123-45-"), (1000 + n % 9000).cast("string"), F.lit(" phone 555-010-"), (1000 + n % 8999).cast("string"),
                     F.lit("\nDate of Birth: 0"), (1 + n % 9).cast("string"), F.lit("/15/1990\nIncome ......... $"), (n % 999).cast("string"), F.lit(".50\nStatus | Active\nELIGIBILITY NOTICE\n- renewal form\n- chip card\n1. apply\n2. wait"))
-    return table(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", text.alias("text"))  # some bytes a row in the file, a form of many lines here
 
 
 _FORMS = f"(select c_custkey, {FORM.format(n='c_custkey')} as text from customer)"
