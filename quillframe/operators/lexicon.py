@@ -1,7 +1,7 @@
-"""Phrases of a lexicon in texts, by an index on each phrase's rarest word.
+"""Phrases of a lexicon in texts, by an index on each phrase's rarest pair of words.
 
-The index is a table: a phrase is filed under the one of its words that the fewest phrases have. Texts are cut into pieces with an
-overlap of the longest phrase, the words of the pieces meet the index by equality, and only what they fetch is compared
+The index is a table: a phrase is filed under its word or, if it has several, under the two neighbours, with what is between them, that the fewest phrases have. Texts are cut into pieces with an
+overlap of the longest phrase, the words and neighbours of the pieces meet the index by equality, and only what they fetch is compared
 with the text. The cost per word does not depend on the size of the lexicon; no expression lists phrases. Hits are then chosen longest phrase first
 over the whole text (ties: the phrase declared first, then the earlier place), and what overlaps a chosen one goes.
 
@@ -42,7 +42,11 @@ def phrase_index(lexicon: DataFrame) -> DataFrame:
     Phrases of one sign are left out, as are those without a word: they have no border on both sides.
     """
     last = lexicon.groupBy(F.lower("phrase").alias("phrase")).agg(F.max_by("canonical", "place").alias("canonical"), F.max_by("label", "place").alias("label"), F.min("place").alias("place"))
-    words = last.filter(F.char_length("phrase") >= 2).select("*", F.explode(spans(F.col("phrase"), WORD)).alias("w")).select("phrase", "canonical", "label", "place", F.col("w.text").alias("word"), F.col("w.start").alias("at"))
+    found = last.filter(F.char_length("phrase") >= 2).withColumn("w", spans(F.col("phrase"), WORD))
+    # one word, or each word with what follows it up to the end of the next
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a["start"].alias("at"), F.substring(F.col("phrase"), a["start"] + 1, b["end"] - a["start"]).alias("word")))
+    alone = F.transform("w", lambda a: F.struct(a["start"].alias("at"), a["text"].alias("word")))
+    words = found.filter(F.size("w") > 0).select("phrase", "canonical", "label", "place", F.explode(F.when(F.size("w") > 1, pairs).otherwise(alone)).alias("k")).select("phrase", "canonical", "label", "place", "k.at", "k.word")
     common = words.groupBy("word").agg(F.count_distinct("phrase").alias("phrases"))
     rarest = F.row_number().over(Window.partitionBy("phrase").orderBy("phrases", -F.char_length("word"), "at"))
     filed = words.join(common, "word").withColumn("n", rarest).filter("n = 1")
@@ -68,9 +72,14 @@ def phrase_hits(df: DataFrame, key: str, text: str, index: DataFrame, phrases: i
     if (seen.longest or 0) >= PIECE:
         raise ValueError(f"a phrase of {seen.longest} signs; pieces have {PIECE}")
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    pieces = rows.select("row", "key", F.explode(_pieces(F.col("text"), longest)).alias("p")).select("row", "key", "p.*").withColumn("atoms", F.regexp_extract_all("piece", F.lit(ATOMS), F.lit(0)))
-    words = pieces.select("row", "key", "offset", "lead", "piece", "atoms", F.posexplode("atoms").alias("i", "atom")).withColumn("word", F.lower("atom"))
-    met = words.join(F.broadcast(index) if phrases <= BROADCAST_PHRASES else index, "word").withColumn("s", F.char_length(F.array_join(F.slice("atoms", F.lit(1), F.col("i")), "")) - F.col("at"))
+    # outer explodes: for plain ones the optimizer puts a filter below, and all would be cut twice
+    pieces = rows.select("row", "key", F.explode_outer(_pieces(F.col("text"), longest)).alias("p")).select("row", "key", "p.*").withColumn("atoms", F.regexp_extract_all("piece", F.lit(ATOMS), F.lit(0)))
+    three = F.arrays_zip("atoms", F.slice("atoms", F.lit(2), F.size("atoms")).alias("gap"), F.slice("atoms", F.lit(3), F.size("atoms")).alias("next"))
+    words = pieces.filter("piece is not null").select("row", "key", "offset", "lead", "piece", F.posexplode_outer(three).alias("i", "a")).filter(F.col("a.atoms").rlike("^" + WORD))
+    forms = words.select("row", "key", "offset", "lead", "piece", "i", F.explode(F.array(F.lower("a.atoms"), F.lower(F.concat("a.atoms", "a.gap", "a.next")))).alias("word"))
+    met = forms.join(F.broadcast(index) if phrases <= BROADCAST_PHRASES else index, "word")
+    start = F.char_length(F.array_join(F.slice(F.regexp_extract_all("piece", F.lit(ATOMS), F.lit(0)), F.lit(1), F.col("i")), "")) - F.col("at")
+    met = met.select("*", F.explode(F.array(start)).alias("s"))  # an item of an array, so that it is found once for all that asks for it
     found = F.substring("piece", F.col("s") + 1, F.col("size"))
     before, after = F.when(F.col("s") > 0, F.substring("piece", F.col("s"), F.lit(1))).otherwise(""), F.substring("piece", F.col("s") + F.col("size") + 1, F.lit(1))
     border = (before.rlike(WORD) != F.left("phrase", F.lit(1)).rlike(WORD)) & (after.rlike(WORD) != F.right("phrase", F.lit(1)).rlike(WORD))
