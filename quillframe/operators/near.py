@@ -11,13 +11,18 @@ import functools
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.scratch import Scratch
+from quillframe.shipping import ship
 
 #: Tables of an index at most, and the fewest bits a key should have; a radius that has no such index is searched chunk against chunk.
 TABLES, KEY_BITS, CHUNKS = 64, 12, 16
+#: Best undecided hashes of a job in a round, where no index helps (up to 1000 Spark picks them before it shuffles), and the most chosen ones that are broadcast.
+HEAD, BROADCAST_HASHES = 1000, 500_000
 
 
 def radius_of(least: float, bits: int) -> int:
@@ -80,6 +85,8 @@ def distinct_frames(df: DataFrame, job: str, score: str, order: str, hash_: str,
         return df
     frames = df.select(F.col(job).alias("job"), F.col(order).alias("order"), F.col(hash_).alias("hash"), F.struct((-F.col(score)).alias("less"), F.col(order).alias("order")).alias("rank"))
     nodes = tmp.keep(frames.filter("hash is not null").groupBy("job", "hash").agg(F.min("rank").alias("rank")), "nodes")
+    if radius > 0 and not block_masks(radius, bits):
+        return df.join(_kept_by_heads(nodes, radius, tmp).select("job", F.col("rank.order").alias("order")).unionByName(frames.filter("hash is null").select("job", "order")).select(F.col("job").alias(job), F.col("order").alias(order)), [job, order], "left_semi")
     pairs = near_pairs(nodes.select("job", "hash"), radius, bits)
     ranked = pairs.join(nodes.select("job", F.col("hash").alias("a"), F.col("rank").alias("ra")), ["job", "a"]).join(nodes.select("job", F.col("hash").alias("b"), F.col("rank").alias("rb")), ["job", "b"])
     first = F.col("ra") < F.col("rb")
@@ -97,6 +104,40 @@ def distinct_frames(df: DataFrame, job: str, score: str, order: str, hash_: str,
     return df.join(kept.select(F.col("job").alias(job), F.col("order").alias(order)), [job, order], "left_semi")
 
 
+def _kept_by_heads(nodes: DataFrame, radius: int, tmp: Scratch) -> DataFrame:
+    """The nodes (job, hash, rank) that stay, for a radius that no index serves: hashes far from each other are then few, and each rules out many.
+
+    In each round the HEAD best undecided hashes of a job are decided among themselves, and those near one that stays go, so that every hash is compared
+    with hashes that stay only, not with its whole job.
+    """
+    ship(nodes.sparkSession)
+
+    def decide(head: pd.DataFrame) -> pd.DataFrame:
+        head = head.sort_values("place", ignore_index=True)
+        left, kept = head["hash"].to_numpy().astype("int64"), []
+        at = np.arange(len(left))
+        while len(at):
+            kept.append(at[0])
+            far = np.bitwise_count((left[at] ^ left[at[0]]).view("uint64")) > radius
+            at = at[far]
+        return head.iloc[kept][["job", "hash"]]
+
+    schema = f"job {nodes.schema['job'].dataType.simpleString()}, hash bigint"
+    undecided, chosen, n = nodes, [], 0
+    while not undecided.isEmpty():
+        place = F.row_number().over(Window.partitionBy("job").orderBy("rank"))
+        head = undecided.select("job", "hash", "rank").withColumn("place", place).filter(F.col("place") <= HEAD).select("job", "hash", "place")
+        stay = tmp.keep(head.groupBy("job").applyInPandas(decide, schema), f"stay{n}")
+        k = stay.select(F.col("job").alias("_job"), F.col("hash").alias("_hash"))
+        near = F.col("job").eqNullSafe(F.col("_job")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("_hash"))) <= radius)
+        undecided = tmp.keep(undecided.join(F.broadcast(k) if stay.count() <= BROADCAST_HASHES else k, near, "left_anti"), f"undecided{n}")
+        chosen.append(stay)
+        if n:
+            tmp.drop(f"undecided{n - 1}")
+        n += 1
+    return nodes.join(functools.reduce(DataFrame.unionByName, chosen), ["job", "hash"], "left_semi") if chosen else nodes
+
+
 def redundant_hashes(df: DataFrame, job: str, order: str, hash_: str, above: float, bits: int = 64) -> DataFrame:
     """Adds redundant: an earlier frame of the job, redundant or not, is more than `above` like it. Only the first frame of each hash meets others."""
     radius = max((d for d in range(bits + 1) if round(1 - d / bits, 4) > above), default=-1)

@@ -76,3 +76,20 @@ def test_redundant_values(spark):
         assert {r.ord: r.redundant for r in got} == want and len(got) == len(rows)
         pairs = timeseries.redundant_with_earlier(df.filter("v is not null"), "job", "ord", lambda a, b: 1 - F.abs(a["v"] - b["v"]), above)
         assert {r.ord for r in pairs.filter("redundant").collect()} == {o for o, r in want.items() if r}
+
+
+def test_without_an_index_no_job_meets_itself(spark, monkeypatch):
+    """A radius that no index serves: heads of the ranking are decided round by round, with no table of pairs."""
+    rows = frames(random.Random(5), 500, 3, 30) + [(None, 1.0, 1000 + i, i * 3) for i in range(5)]
+    want = set()
+    for job in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == job), key=lambda r: (-r[1], r[2])):
+            if r[3] is None or all(k is None or like(k, r[3]) < 0.62 for k in kept):
+                kept.append(r[3])
+                if job is not None:
+                    want.add((job, r[2]))
+    monkeypatch.setattr(near, "near_pairs", lambda *a: pytest.fail("pairs of a whole job"))
+    monkeypatch.setattr(near, "HEAD", 7)
+    got = near.distinct_frames(spark.createDataFrame(rows, SCHEMA), "job", "score", "ord", "hash", 0.62).collect()
+    assert {(r.job, r.ord) for r in got} == want and len(got) == len(want)
