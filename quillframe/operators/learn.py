@@ -15,6 +15,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.spans import bound
+
 from .classify import STOP_WORDS, folds, tokens
 
 
@@ -59,10 +61,15 @@ class TfIdf:
         size = self.vocabulary.count()
         listed = self.weights(df, key, text).groupBy(key).agg(F.collect_list(F.struct("position", "word", "weight")).alias("all"))  # `features` items at most
         ranked = F.array_sort(F.transform("all", lambda x: F.struct((-x["weight"]).alias("less"), x["word"].alias("word"))))
-        at = F.map_from_entries(F.transform("all", lambda x: F.struct(x["position"], x["weight"])))
         none = F.array().cast("array<struct<position:int,word:string,weight:double>>")
         met = df.select(key).join(listed, key, "left").withColumn("all", F.coalesce("all", none))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))) if size else F.array().cast("array<double>")
+        # by position: zeros up to each word, then its weight, so that time goes with the words and the length, not with their product
+        placed = F.sort_array(F.transform("all", lambda x: F.struct(x["position"].alias("position"), x["weight"].alias("weight"))))
+        part = lambda x, before: F.concat(F.array_repeat(F.lit(0.0), x["position"] - before["position"] - 1), F.array(x["weight"]))
+        start = F.struct(F.lit(-1).alias("position"), F.lit(0.0).alias("weight"))
+        parts = bound(placed, lambda p: F.zip_with(p, F.slice(F.concat(F.array(start), p), 1, F.size(p)), part))
+        last = F.coalesce(F.array_max(F.transform("all", lambda x: x["position"])), F.lit(-1))
+        dense = F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0), F.lit(size - 1) - last))
         return met.select(key, F.slice(F.transform(ranked, lambda x: F.struct(x["word"].alias("word"), (-x["less"]).alias("weight"))), 1, most).alias("keywords"), F.size("all").alias("vocab_size"), dense.alias("vector"))
 
 

@@ -88,3 +88,13 @@ def test_fourier_features_part_rings(spark):
     model = learn.CalibratedSvm.fit(ready.filter("id < 180").select("id", "label", "_f").coalesce(1), "label", "id", k=2, iterations=15)
     got = model.probabilities(ready.filter("id >= 180")).collect()
     assert sum(max(r.probabilities, key=r.probabilities.get) == r.label for r in got) >= 57
+
+
+def test_vectors_are_filled_by_position(spark):
+    """As many words as a text has are placed; no map is made anew for each of the vocabulary's positions."""
+    df = spark.createDataFrame([(1, "bb dd dd"), (2, "cc bb"), (3, "dd cc"), (4, ""), (5, None), (6, "aa"), (7, "aa ee"), (8, "ee bb")], "id int, t string")
+    model = learn.TfIdf.fit(df, "id", "t", stop=[])
+    told = model.summaries(df, "id", "t")
+    assert "map_from_entries" not in told._jdf.queryExecution().toString()
+    weights = {(r.id, r.position): r.weight for r in model.weights(df, "id", "t").collect()}
+    assert {r.id: r.vector for r in told.collect()} == {i: [weights.get((i, p), 0.0) for p in range(5)] for i in range(1, 9)}
