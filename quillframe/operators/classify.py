@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # English stop words of the TF-IDF features.
 STOP_WORDS = """
@@ -23,13 +24,19 @@ def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
 def tf_idf(df: DataFrame, key: str, text: str, features: int = 500, least_docs: int = 2, stop: list[str] = STOP_WORDS) -> DataFrame:
     """(key, word, tf, df, weight): tf * (ln((1 + n) / (1 + df)) + 1) over the most frequent words, scaled to length 1 per row.
 
-    The vocabulary, `features` words at most, is broadcast; words are counted map-side before any shuffle.
+    The vocabulary, `features` words at most, is broadcast; with the usual `least_docs` it is found before words are counted per row, so that
+    only its words are shuffled with their rows.
     """
     n = df.agg(F.count("*").alias("n"))
-    counts = df.select(key, F.explode(tokens(F.col(text), stop)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    said = df.select(key, F.explode(tokens(F.col(text), stop)).alias("word"))
+    if least_docs <= 2 and isinstance(df.schema[key].dataType, T.IntegralType):  # in two rows or more: the keys of a word differ, or some are missing
+        differ = F.lit(True) if least_docs < 2 else (F.min(key) < F.max(key)) | ((F.count(key) > 0) & (F.count(key) < F.count("*")))
+        often = said.groupBy("word").agg(F.count("*").alias("total"), differ.alias("differ")).filter("differ").orderBy(F.col("total").desc(), "word").limit(features)
+        said = said.join(F.broadcast(often.select("word")), "word")
+    counts = said.groupBy(key, "word").agg(F.count("*").alias("tf"))
     vocabulary = counts.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= least_docs)
     vocabulary = vocabulary.orderBy(F.col("total").desc(), "word").limit(features).select("word", "df")
-    raw = counts.join(F.broadcast(vocabulary.join(F.broadcast(n))), "word").withColumn("raw", F.col("tf") * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1))  # n: one row
+    raw = counts.repartition(key).join(F.broadcast(vocabulary.join(F.broadcast(n))), "word").withColumn("raw", F.col("tf") * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1))  # n: one row; dealt before there are more columns
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "word", "tf", "df", (F.col("raw") / norm).alias("weight"))
 

@@ -98,3 +98,13 @@ def test_vectors_are_filled_by_position(spark):
     assert "map_from_entries" not in told._jdf.queryExecution().toString()
     weights = {(r.id, r.position): r.weight for r in model.weights(df, "id", "t").collect()}
     assert {r.id: r.vector for r in told.collect()} == {i: [weights.get((i, p), 0.0) for p in range(5)] for i in range(1, 9)}
+
+
+def test_rare_words_are_not_shuffled_with_their_rows(spark):
+    """The vocabulary is joined below the count per row; what is left out (words of one row, missing keys) is as before."""
+    rows = [(1, "aa bb bb"), (1, "cc cc"), (2, "aa dd"), (None, "ee"), (None, "ee ff"), (3, "ff")]
+    told = classify.tf_idf(spark.createDataFrame(rows, "id long, t string"), "id", "t", stop=[])
+    assert sorted((r.id or 0, r.word, r.tf, r.df) for r in told.collect()) == [(0, "ff", 1, 2), (1, "aa", 1, 2), (2, "aa", 1, 2), (3, "ff", 1, 2)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "Aggregate [id#" in line)
+    assert "Join Inner" in "\n".join(plan[first + 1:first + 4])
