@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.scratch import Scratch
 from quillframe.shipping import ship
 
 # Fixed value: signs that are cut from the ends of a word.
@@ -83,12 +84,14 @@ def _bare(part: Column) -> Column:
 
 def corrected(df: DataFrame, text: str, dictionary: DataFrame, out: str = "corrected") -> DataFrame:
     """df with the corrected text: words are cut at white space and bared of ENDS, those of letters that are not all capitals corrected (in lower case), empty ones left out, joined by one blank."""
+    tmp = Scratch(df.sparkSession, "corrected")
+    dictionary = tmp.keep(dictionary.select("word", "n"), "dictionary")  # asked four times, and a corpus may have to be counted for it
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     parts = rows.select("_row", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\s+", -1)).alias("_at", "_part")).withColumn("_bare", _bare(F.col("_part"))).filter("_bare != ''")
     wanted = F.col("_bare").rlike(r"^\p{L}+$") & (F.upper("_bare") != F.col("_bare"))
     marked = parts.withColumn("word", F.when(wanted, F.lower("_bare")))
-    table = corrections(marked.filter("word is not null").select("word"), dictionary)
-    met = marked.join(F.broadcast(table) if dictionary.count() <= BROADCAST_WORDS and table.count() <= BROADCAST_WORDS else table, "word", "left")
+    table = tmp.keep(corrections(marked.filter("word is not null").select("word"), dictionary), "corrections")
+    met = marked.join(F.broadcast(table) if table.count() <= BROADCAST_WORDS else table, "word", "left")
     told = F.when(F.col("word").isNull(), F.col("_bare")).otherwise(F.coalesce("correction", "word"))
     joined = met.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", told.alias("w")))), lambda x: x["w"]), " ").alias(out))  # words of one text
     return rows.join(joined, "_row", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_row")

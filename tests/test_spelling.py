@@ -37,3 +37,16 @@ def test_texts(spark):
     got = sorted((r.id, r.corrected, r.t) for r in spelling.corrected(spark.createDataFrame(rows, "id int, t string"), "t", dictionary).collect() if r.t)
     assert got == [(1, "form", "Form"), (1, "teh income renewal FROM 12a form", rows[0][1])]
     assert spelling.corrected(spark.createDataFrame(rows, "id int, t string"), "t", dictionary).filter("corrected = ''").count() == 2
+
+
+def test_the_dictionary_is_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    dictionary = spark.createDataFrame([("income", 9), ("form", 7)], "word string, n bigint").mapInPandas(count, "word string, n bigint")
+    got = spelling.corrected(spark.createDataFrame([(1, "incmoe form")], "id int, t string"), "t", dictionary).collect()
+    assert got[0].corrected == "income form" and seen.value == 2
