@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.spans import bound
+from quillframe.scratch import Scratch
 
 from .classify import STOP_WORDS, folds, tokens
 
@@ -86,12 +87,21 @@ def text_features(df: DataFrame, text: str, features: int = 500, label: str | No
     Spark's IDF is the logarithm alone; the weights that TF-IDF multiplies with are that plus 1, so the fitted logarithms become a fixed product.
     """
     stages = [StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)] if label else []
-    stages += [RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[A-Za-z0-9_]{2,}", gaps=False), StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=STOP_WORDS)]
-    cut = PipelineModel(stages).transform(df)
+    stages += _cutters(text)
+    return PipelineModel([*stages, *_weighers(PipelineModel(stages).transform(df), features)])
+
+
+def _cutters(text: str) -> list:
+    """From a text to its words `_t`."""
+    return [RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[A-Za-z0-9_]{2,}", gaps=False), StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=STOP_WORDS)]
+
+
+def _weighers(cut: DataFrame, features: int) -> list:
+    """From words `_t` to the vector `_f`, fitted."""
     counter = CountVectorizer(inputCol="_t", outputCol="_tf", vocabSize=features, minDF=2.0).fit(cut)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(cut))
     plus = ElementwiseProduct(inputCol="_tf", outputCol="_idf", scalingVec=Vectors.dense(idf.idf.toArray() + 1))
-    return PipelineModel([*stages, counter, plus, Normalizer(inputCol="_idf", outputCol="_f")])
+    return [counter, plus, Normalizer(inputCol="_idf", outputCol="_f")]
 
 
 def fourier_features(df: DataFrame, columns: list[str], wide: int = 200, seed: int = 42) -> tuple[PipelineModel, Column]:
@@ -183,10 +193,11 @@ def _sigmoid(seen: DataFrame) -> tuple[float, float]:
 
 def calibrated_predictions(df: DataFrame, label: str, key: str, text: str, k: int = 3, features: int = 500, seed: int = 42) -> DataFrame:
     """(key, fold, label, probabilities): each fold by vocabulary, machines and sigmoids of the others."""
-    dealt, out = folds(df.select(label, key, text), label, key, k, seed), None
+    cut = PipelineModel(_cutters(text)).transform(df.select(label, key, text)).select(label, key, "_t")
+    dealt, out = Scratch(df.sparkSession, "folds").keep(folds(cut, label, key, k, seed), "dealt"), None  # cut and dealt once for all fits
     for i in range(k):
         rest = dealt.filter(F.col("fold") != i)
-        words = text_features(rest, text, features)
+        words = PipelineModel(_weighers(rest, features))
         model = CalibratedSvm.fit(words.transform(rest).select(label, key, "_f"), label, key, k=k, seed=seed + 1)
         part = model.probabilities(words.transform(dealt.filter(F.col("fold") == i))).select(key, "fold", label, "probabilities")
         out = part if out is None else out.unionByName(part)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quillframe.operators import classify, learn
@@ -108,3 +109,20 @@ def test_rare_words_are_not_shuffled_with_their_rows(spark):
     plan = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, line in enumerate(plan) if "Aggregate [id#" in line)
     assert "Join Inner" in "\n".join(plan[first + 1:first + 4])
+
+
+def test_texts_are_cut_and_dealt_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [(i, "ab"[i % 2], f"{'red blue' if i % 2 else 'green grey'} word{i % 3}") for i in range(36)]
+    df = spark.createDataFrame(rows, "id long, y string, t string").mapInPandas(count, "id long, y string, t string")
+    model = type("Model", (), {"probabilities": lambda self, rows: rows.withColumn("probabilities", F.create_map(F.lit("a"), F.get(vector_to_array("_f"), F.lit(0))))})
+    monkeypatch.setattr(learn.CalibratedSvm, "fit", staticmethod(lambda *a, **k: model()))
+    told = learn.calibrated_predictions(df, "y", "id", "t", k=2).collect()
+    assert {r.id for r in told} == set(range(36)) and len(told) == 36
+    assert seen.value <= 3 * 36  # the windows and counts of one dealing, whatever the number of fits
