@@ -7,7 +7,6 @@ else the most frequent dictionary word one edit away is taken, else the most fre
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +15,11 @@ from pyspark.sql import functions as F
 
 from quillframe.scratch import Scratch
 from quillframe.shipping import ship
+from quillframe.spread import spread
 
 # Fixed value: signs that are cut from the ends of a word.
 ENDS = ".,*!?;:\"'()-"
-#: A table of corrections of more words than this is not broadcast.
+#: A table of corrections of more words than this is broadcast only where Spark's own threshold, for the bytes of its files, has it so.
 BROADCAST_WORDS = 200_000
 
 
@@ -40,34 +40,49 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, _shorter(one)))
 
 
-@functools.lru_cache(maxsize=1 << 16)
+def _within_one(a: str, b: str) -> bool:
+    """Whether at most one edit is between two words that have not the same last sign."""
+    if len(a) == len(b):
+        return a[:-1] == b[:-1] or a[:-2] == b[:-2] and a[-2:] == b[:-3:-1]
+    return a[:-1] == b or a == b[:-1]
+
+
 def edits(a: str, b: str) -> int:
     """Fewest inserts, deletes, replaces and swaps of neighbours between two words, 3 standing for more than 2."""
-    if abs(len(a) - len(b)) > 2:
+    if len(a) > len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    if n - m > 2:
         return 3
-    far = len(a) + len(b)
-    d = {(-1, -1): far} | {(i, -1): far for i in range(len(a) + 1)} | {(-1, j): far for j in range(len(b) + 1)}
-    d |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-    row_of: dict[str, int] = {}
-    for i in range(1, len(a) + 1):
-        column = 0
-        for j in range(1, len(b) + 1):
-            k, m = row_of.get(b[j - 1], 0), column
-            same = a[i - 1] == b[j - 1]
-            column = j if same else column
-            swapped = d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1) if k and m else far
-            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, swapped)
-        row_of[a[i - 1]] = i
-    return min(d[len(a), len(b)], 3)
+    if a == b:
+        return 0
+    start = 0
+    while start < m and a[start] == b[start]:
+        start += 1
+    while m > start and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = a[start:m], b[start:n]  # they differ in the first sign and in the last: one edit is there and one here, or one does both
+    m, n = m - start, n - start
+    if n == 1 or m == n == 2 and a == b[::-1]:
+        return 1
+    swapped = a[:2] == b[1::-1]
+    if m == n:
+        two = _within_one(a[1:], b[1:]) or a[1:] == b[:-1] or a[:-1] == b[1:] or swapped and _within_one(a[2:], b[2:])
+    elif n == m + 1:
+        two = _within_one(a, b[1:]) or a[1:] == b[1:-1] or swapped and a[2:] == b[2:-1] or m == 2 and a == b[::-2]
+    else:
+        two = a == b[1:-1]
+    return 2 if two else 3
 
 
 def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction) of the words (column word, lower case) that the dictionary (word, n) lacks and has a near word for."""
     ship(words.sparkSession)
     unknown = words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
-    asked = unknown.select("word", F.explode(deletions(F.col("word"))).alias("form"))
-    filed = dictionary.select(F.col("word").alias("known"), "n", F.explode(deletions(F.col("word"))).alias("form"))
-    met = asked.join(filed, "form").select("word", "known", "n").distinct()
+    asked = spread(unknown).select("word", F.explode(deletions(F.col("word"))).alias("form"))
+    filed = spread(dictionary).select(F.col("word").alias("known"), "n", F.explode(deletions(F.col("word"))).alias("form"))
+    # The plan takes the forms for as few bytes as the words, some fifty times too few, and would send them all to the driver; the pairs are short, so they are dealt to all cores by number.
+    met = spread(asked.join(filed.hint("merge"), "form").select("word", "known", "n"), "word", "known").distinct()
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,5 +1,6 @@
 """Corrections by deletions against trying all edits."""
 
+import itertools
 import random
 
 from quillframe.operators import spelling
@@ -20,6 +21,15 @@ def test_edits_are_those_of_two_steps():
             assert spelling.edits(a, b) == (0 if a == b else 1 if b in near else 2 if b in far else 3), (a, b)
 
 
+def test_edits_of_all_short_words():
+    words = ["".join(w) for n in range(5) for w in itertools.product("abc", repeat=n)]
+    for a in words:
+        near = one_edit(a, "abc")
+        far = set().union(*(one_edit(x, "abc") for x in near))
+        assert {b for b in words if spelling.edits(a, b) == 1} == near & set(words) - {a}, a
+        assert {b for b in words if spelling.edits(a, b) == 2} == far & set(words) - near - {a}, a
+
+
 def test_corrections(spark):
     rng = random.Random(2)
     known = {"".join(rng.choices("abcde", k=rng.randint(2, 7))): rng.randint(1, 5) for _ in range(150)}
@@ -50,3 +60,12 @@ def test_the_dictionary_is_counted_once(spark):
     dictionary = spark.createDataFrame([("income", 9), ("form", 7)], "word string, n bigint").mapInPandas(count, "word string, n bigint")
     got = spelling.corrected(spark.createDataFrame([(1, "incmoe form")], "id int, t string"), "t", dictionary).collect()
     assert got[0].corrected == "income form" and seen.value == 2
+
+
+def test_forms_are_not_sent_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([("incmoe",)], "word string").write.parquet(f"{tmp_path}/words")
+    spark.createDataFrame([("income", 9), ("form", 7)], "word string, n bigint").write.parquet(f"{tmp_path}/dictionary")  # small files, as far as the plan can see
+    got = spelling.corrections(spark.read.parquet(f"{tmp_path}/words"), spark.read.parquet(f"{tmp_path}/dictionary"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [form" in plan and "BroadcastHashJoin [form" not in plan
+    assert [tuple(r) for r in got.collect()] == [("incmoe", "income")]
